@@ -39,8 +39,12 @@ def _split_positions(val: float, test: float):
 
 def _split(df, unit, cls, val, test, seed, classes) -> DataFrame:
     key = order_key(seed, F.col(cls), F.col(unit))
-    keys = df.select(cls, key.alias("_key")).distinct()
+    keys = df.select(cls, key.alias("_key"))
     proven = classes is not None
+    if proven:
+        # The closed list is what bounds the broadcast cut tables.
+        keys = keys.filter(F.col(cls).isin(list(classes)))
+    keys = keys.distinct()
     cuts = key_cuts(keys, cls, "_key", _split_positions(val, test), proven_classes=proven)
     cuts = F.broadcast(cuts) if proven else bounded_lookup(cuts)
     split = (
@@ -48,6 +52,8 @@ def _split(df, unit, cls, val, test, seed, classes) -> DataFrame:
         .when(F.col("_key") <= F.col("_val_cut"), "val")
         .otherwise("train")
     )
+    if proven:
+        split = F.when(F.col(cls).isin(list(classes)), split)
     return (
         df.withColumn("_key", key)
         .join(cuts, cls, "left")
@@ -69,7 +75,8 @@ def grouped_split(
 
     Only the two cut-off keys of each class are computed; every row then decides
     for itself by comparing its group's key, so the items are never shuffled.
-    Pass ``classes`` (a closed class list) to have the plan stay fully lazy.
+    Pass ``classes`` (a closed class list) to have the plan stay fully lazy; rows of
+    other classes then get no split. Without it the number of classes is checked.
     """
     return _split(df, group, cls, val, test, seed, classes)
 
@@ -94,8 +101,11 @@ def sample_per_class(
     """Exactly ``n`` items of each class (all where there are fewer)."""
     key = order_key(seed, F.col(cls), F.col(item))
     proven = classes is not None
+    keys = df.select(cls, key.alias("_key"))
+    if proven:
+        keys = keys.filter(F.col(cls).isin(list(classes)))
     cuts = key_cuts(
-        df.select(cls, key.alias("_key")), cls, "_key",
+        keys, cls, "_key",
         lambda size: {"_cut_at": F.least(size, F.lit(n))}, proven_classes=proven,
     )
     cuts = F.broadcast(cuts) if proven else bounded_lookup(cuts)
