@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-from pyspark.sql import Column, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 
 def as_col(value: Column | str) -> Column:
@@ -26,7 +26,8 @@ def total(values: Column) -> Column:
 
 
 def clip(value: Column, low: float, high: float) -> Column:
-    return F.greatest(F.lit(float(low)), F.least(F.lit(float(high)), value))
+    """Value limited to low..high; a missing value counts as ``low``."""
+    return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), value))
 
 
 def ratio(numerator: Column, denominator: Column) -> Column:
@@ -51,3 +52,14 @@ def uniform(seed: int | str, *parts: Column) -> Column:
     """Reproducible number in [0, 1): the first 52 bits of an md5."""
     digest = F.md5(F.concat_ws(":", F.lit(str(seed)), *[p.cast("string") for p in parts]))
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
+
+
+def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
+    """Add columns through a one-row generator.
+
+    A later filter on such a column reads its value; on an ordinary projection the
+    optimizer would rewrite the filter in terms of the whole defining expression and
+    evaluate that again, once per mention.
+    """
+    row = F.struct(*[c.alias(n) for n, c in columns.items()])
+    return df.select("*", F.inline(F.array(row)))

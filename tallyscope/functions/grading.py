@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, functions as F
 
 from ..sources.taxonomy import TIERS
-from .basic import clip
+from .basic import clip, literal_array
 
 # ---- fixed values -----------------------------------------------------------
 PART_WEIGHTS = {"neural": 0.52, "morphology": 0.24, "uncertainty": 0.16, "quality": 0.08}
@@ -31,11 +31,11 @@ def uncertainty_risk(entropy: Column, agreement: Column, margin: Column) -> Colu
     combined = (
         0.45 * entropy + 0.30 * (1.0 - agreement) + 0.25 * (1.0 - clip(margin, 0.0, 1.0))
     )
-    return F.coalesce(clip(combined * 100.0, 0.0, 100.0), F.lit(0.0))
+    return clip(combined * 100.0, 0.0, 100.0)
 
 
 def quality_risk(score: Column) -> Column:
-    return F.coalesce(clip(100.0 - score, 0.0, 100.0), F.lit(0.0))
+    return clip(100.0 - score, 0.0, 100.0)
 
 
 def composite(parts: dict[str, Column], usable: Column) -> Column:
@@ -48,18 +48,20 @@ def composite(parts: dict[str, Column], usable: Column) -> Column:
 
 
 def tier_rank(score: Column) -> Column:
-    expr = None
-    for cut, tier in TIER_CUTS:
-        hit = F.lit(TIERS[tier][0])
-        expr = F.when(score >= cut, hit) if expr is None else expr.when(score >= cut, hit)
-    return expr.otherwise(F.lit(TIERS["LOW"][0]))
+    """LOW's rank plus one for every cut reached (the score appears once)."""
+    cuts = literal_array([cut for cut, _tier in TIER_CUTS])
+    return F.size(F.filter(cuts, lambda c: score >= c)) + TIERS["LOW"][0]
+
+
+def by_rank(rank: Column, field: int | None = None) -> Column:
+    """Tier name (or another field of the tier table) for a rank."""
+    rows = sorted(TIERS.items(), key=lambda kv: kv[1][0])
+    values = [name if field is None else row[field] for name, row in rows]
+    return F.element_at(literal_array(values), rank + 1)
 
 
 def tier_name(rank: Column) -> Column:
-    expr = None
-    for tier, (r, *_rest) in TIERS.items():
-        expr = F.when(rank == r, tier) if expr is None else expr.when(rank == r, tier)
-    return expr
+    return by_rank(rank)
 
 
 def tier_from_score(score: Column) -> Column:

@@ -11,12 +11,13 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions import texts as T
-from ..functions.basic import literal_array, ratio, texts
+from ..functions.basic import literal_array, pin, ratio, texts
 from ..functions.grading import (
     PART_WEIGHTS,
     PART_WEIGHTS_NO_SCORES,
     TDS_HIGHLY_SUSPICIOUS,
     TDS_SUSPICIOUS,
+    by_rank,
     composite,
     legacy_tier,
     morphology_risk,
@@ -38,7 +39,6 @@ from ..sources.taxonomy import (
     SHORT_NAMES,
     TIERS,
     classes,
-    tiers,
 )
 
 # Optional evidence columns of a scored record and the type of a missing one.
@@ -219,13 +219,15 @@ def _drivers(trained: bool) -> Column:
                 F.col("entropy").isNotNull() & F.lit(trained), "Prediction stability",
                 F.format_string(
                     T.DRIVER_STABILITY, F.col("stability"), F.col("entropy"),
-                    F.col("agreement") * 100.0,
+                    F.rint(F.col("agreement") * 100.0),
                 ),
                 F.col("stability") != "confident", points("uncertainty"),
             ),
             entry(
                 F.col("quality_score").isNotNull(), "Image quality",
-                F.format_string(T.DRIVER_QUALITY, F.col("quality_verdict"), F.col("quality_score")),
+                F.format_string(
+                    T.DRIVER_QUALITY, F.col("quality_verdict"), F.rint("quality_score")
+                ),
                 F.col("quality_score") < 70, points("quality"),
             ),
             entry(
@@ -247,7 +249,8 @@ def _headline(trained: bool) -> Column:
     )
     for tier, template in T.HEADLINES.items():
         expr = expr.when(
-            F.col("tier") == tier, F.format_string(template, name, F.col("confidence") * 100.0)
+            F.col("tier") == tier,
+            F.format_string(template, name, F.rint(F.col("confidence") * 100.0)),
         )
     return expr
 
@@ -260,7 +263,7 @@ def grade(df: DataFrame, trained: bool = True) -> DataFrame:
     """
     parts = score_parts(df, trained)
     rank = F.when(F.col("neural_usable"), _escalated_rank()).otherwise(F.lit(0))
-    graded = parts.withColumn("tier_rank", rank).withColumn("tier", tier_name(F.col("tier_rank")))
+    graded = pin(parts, {"tier_rank": rank}).withColumn("tier", tier_name(F.col("tier_rank")))
     graded = graded.withColumns(
         {
             "overrides": _overrides(trained),
@@ -272,12 +275,14 @@ def grade(df: DataFrame, trained: bool = True) -> DataFrame:
     review = (F.size("review_reasons") > 0) | F.col("tier").isin(
         "HIGH", "CRITICAL", "INDETERMINATE"
     )
-    graded = graded.withColumn("requires_human_review", review)
-    guidance = tiers(df.sparkSession).select(
-        "tier", "timeframe", F.col("action").alias("recommendation")
+    # Five tiers: looked up in place, without a join.
+    return graded.withColumns(
+        {
+            "requires_human_review": review,
+            "timeframe": by_rank(F.col("tier_rank"), 1),
+            "recommendation": by_rank(F.col("tier_rank"), 2),
+        }
     )
-    # Five rows: broadcasting this dimension is bounded by construction.
-    return graded.join(F.broadcast(guidance), "tier")
 
 
 # ------------------------------------------------------------ ranked classes
@@ -344,7 +349,7 @@ def narrative(
     say = F.format_string
     if trained:
         impression = say(
-            T.IMPRESSION, name, pct, F.col("tier"), F.col("score"), F.col("recommendation"),
+            T.IMPRESSION, name, pct, F.col("tier"), F.rint("score"), F.col("recommendation"),
             F.col("timeframe"),
         )
         lead = say(T.SUMMARY_SCORES, name, pct, F.col("malignant_probability") * 100.0)
@@ -363,7 +368,10 @@ def narrative(
         ),
         F.when(
             F.col("entropy").isNotNull() & F.lit(trained),
-            say(T.SUMMARY_STABILITY, F.col("stability"), F.col("agreement") * 100.0, F.col("entropy")),
+            say(
+                T.SUMMARY_STABILITY, F.col("stability"), F.rint(F.col("agreement") * 100.0),
+                F.col("entropy"),
+            ),
         ),
     )
     symmetry = F.lit(None).cast("string")
@@ -394,7 +402,7 @@ def narrative(
         ).when(n_structs == 0, "No distinct dermoscopic structures were detected (D=0/5)."),
         F.when(
             F.col("quality_score").isNotNull(),
-            say(T.FINDING_QUALITY, F.col("quality_verdict"), F.col("quality_score")),
+            say(T.FINDING_QUALITY, F.col("quality_verdict"), F.rint("quality_score")),
         ),
     )
     best = F.slice(

@@ -1,6 +1,6 @@
 """Registered queries and their SQL twins."""
 
-from . import score_queries, split_queries  # noqa: F401
+from . import case_queries, grading_queries, score_queries, split_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
