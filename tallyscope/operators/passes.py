@@ -6,6 +6,8 @@ item whose buffers hold a number per class, never a list of vectors.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from ..functions.basic import clip, pin, total
@@ -52,9 +54,11 @@ def masked_passes(
 ) -> DataFrame:
     """Scores under random feature dropout, reproducible from (seed, item, pass).
 
-    One md5 decides eight dimensions, four hex digits each.
+    One md5 decides eight dimensions, four hex digits each; digits of equal length
+    compare as text the way they compare as numbers.
     """
-    keep = f"conv(substring(element_at(_d, cast(i div 8 AS int) + 1), 1 + 4 * (i % 8), 4), 16, 10) / 65536.0D >= {p}D"
+    cut = format(math.ceil(p * 65536), "04x")
+    keep = f"substring(element_at(_d, cast(i div 8 AS int) + 1), 1 + 4 * (i % 8), 4) >= '{cut}'"
     long = df.select(item, vector, F.explode(F.sequence(F.lit(0), F.lit(passes - 1))).alias("pass"))
     digests = F.expr(
         f"transform(sequence(0, cast((size({vector}) - 1) div 8 AS int)), "

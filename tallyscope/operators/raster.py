@@ -161,60 +161,75 @@ def dilate(px: DataFrame, mask: str, size: int, out: str = "dilated") -> DataFra
 
 def exposure(px: DataFrame) -> DataFrame:
     """Brightness and contrast of the grey image."""
-    return with_gray(px).groupBy("image_id").agg(
-        F.avg("gray").alias("brightness"), F.stddev_pop("gray").alias("contrast")
-    )
+    return with_gray(px).groupBy("image_id").agg(*_exposure())
 
 
-def sharpness(px: DataFrame) -> DataFrame:
-    """Variance of the four-neighbour Laplacian (needs colocated pixels)."""
-    out = pad(with_gray(px), 1)
+def _exposure() -> list[Column]:
+    return [F.avg("gray").alias("brightness"), F.stddev_pop("gray").alias("contrast")]
+
+
+def _laplacian() -> Column:
+    """Four-neighbour Laplacian of a padded grey image."""
     rows, cols = along_rows(), along_columns()
-    lap = (
+    return (
         F.lag("gray").over(rows) + F.lead("gray").over(rows)
         + F.lag("gray").over(cols) + F.lead("gray").over(cols) - 4.0 * F.col("gray")
     )
-    return unpad(out.withColumn("_lap", lap)).groupBy("image_id").agg(
-        F.var_pop("_lap").alias("sharpness")
-    )
 
 
-def colorfulness(px: DataFrame, channel_order: str = "reference") -> DataFrame:
-    """Opponent-channel colourfulness.
+def sharpness(px: DataFrame) -> DataFrame:
+    """Variance of the four-neighbour Laplacian (needs colocated pixels)."""
+    out = unpad(pad(with_gray(px), 1).withColumn("_lap", _laplacian()))
+    return out.groupBy("image_id").agg(F.var_pop("_lap").alias("sharpness"))
 
-    ``channel_order='reference'`` reads red and blue under swapped names, which is
-    how the published figures were produced; ``'rgb'`` is the textbook formula.
-    """
+
+def _opponents(channel_order: str) -> dict[str, Column]:
     r, g, b = F.col("r"), F.col("g"), F.col("b")
     if channel_order == "reference":
         r, b = b, r
-    rg, yb = F.abs(r - g), F.abs(0.5 * (r + g) - b)
+    return {"_rg": F.abs(r - g), "_yb": F.abs(0.5 * (r + g) - b)}
+
+
+def _colorfulness() -> Column:
     spread = F.sqrt(F.pow(F.stddev_pop("_rg"), F.lit(2)) + F.pow(F.stddev_pop("_yb"), F.lit(2)))
     level = F.sqrt(F.pow(F.avg("_rg"), F.lit(2)) + F.pow(F.avg("_yb"), F.lit(2)))
-    return px.select("image_id", rg.alias("_rg"), yb.alias("_yb")).groupBy("image_id").agg(
-        (spread + 0.3 * level).alias("colorfulness")
-    )
+    return (spread + 0.3 * level).alias("colorfulness")
+
+
+def colorfulness(px: DataFrame, channel_order: str = "reference") -> DataFrame:
+    """Opponent-channel colourfulness.
+
+    ``channel_order='reference'`` reads red and blue under swapped names, which is
+    how the published figures were produced; ``'rgb'`` is the textbook formula.
+    """
+    return px.withColumns(_opponents(channel_order)).groupBy("image_id").agg(_colorfulness())
 
 
 def _share(condition: Column) -> Column:
     return F.avg(F.when(condition, 1.0).otherwise(0.0))
 
 
-def skin_fraction(px: DataFrame) -> DataFrame:
-    """Share of pixels inside the union of the HSV and the chroma envelopes."""
+def _skin() -> Column:
     half = F.col("hue") / 2.0
     hue_ok = F.lit(False)
     for low, high in SKIN_HSV:
         hue_ok = hue_ok | half.between(low, high)
     hsv = hue_ok & (F.col("sat") >= SKIN_SAT_MIN) & (F.col("val") >= SKIN_VAL_MIN)
     chroma = F.col("cr").between(*SKIN_CR) & F.col("cb").between(*SKIN_CB)
-    return with_ycrcb(with_hsv(px)).groupBy("image_id").agg(_share(hsv | chroma).alias("skin"))
+    return _share(hsv | chroma).alias("skin")
+
+
+def skin_fraction(px: DataFrame) -> DataFrame:
+    """Share of pixels inside the union of the HSV and the chroma envelopes."""
+    return with_ycrcb(with_hsv(px)).groupBy("image_id").agg(_skin())
+
+
+def _glare(val_min: float, sat_max: float) -> Column:
+    return _share((F.col("val") > val_min) & (F.col("sat") < sat_max)).alias("glare")
 
 
 def glare_fraction(px: DataFrame, val_min: float = 245, sat_max: float = 30) -> DataFrame:
-    return with_hsv(px).groupBy("image_id").agg(
-        _share((F.col("val") > val_min) & (F.col("sat") < sat_max)).alias("glare")
-    )
+    return with_hsv(px).groupBy("image_id").agg(_glare(val_min, sat_max))
 
 
 def texture(px: DataFrame, size: int = 9) -> DataFrame:
@@ -224,6 +239,25 @@ def texture(px: DataFrame, size: int = 9) -> DataFrame:
     )
 
 
+def quality_measures(px: DataFrame, stencil: int = 9) -> DataFrame:
+    """All quality measures in one pass over colocated pixels, one row per image."""
+    g = F.col("gray")
+    out = with_ycrcb(with_hsv(with_gray(px))).withColumns(
+        {**_opponents("reference"), "_m": g, "_m2": g * g}
+    )
+    out = pad(out, stencil // 2).withColumn("_lap", _laplacian())
+    for axis in (along_rows(), along_columns()):
+        frame = axis.rowsBetween(-(stencil // 2), stencil // 2)
+        out = out.withColumns({c: F.avg(c).over(frame) for c in ("_m", "_m2")})
+    spread = F.sqrt(F.greatest(F.lit(0.0), F.col("_m2") - F.col("_m") * F.col("_m")))
+    return unpad(out).groupBy("image_id").agg(
+        F.first("w").alias("w"), F.first("h").alias("h"),
+        F.least(F.first("w"), F.first("h")).alias("min_dim"),
+        *_exposure(), F.var_pop("_lap").alias("sharpness"), _colorfulness(), _skin(),
+        _glare(245, 30), F.stddev_pop(spread).alias("texture"),
+    )
+
+
 def dark_border(px: DataFrame, dark: float = 28, band: int | None = None) -> DataFrame:
     """Share of near-black pixels in the four border bands; corners count twice."""
     width = (
@@ -245,41 +279,41 @@ def dark_border(px: DataFrame, dark: float = 28, band: int | None = None) -> Dat
     )
 
 
-def quality_measures(px: DataFrame, stencil: int = 9) -> DataFrame:
-    """All quality measures, one row per image (colocated pixels, joined by image)."""
-    size = px.groupBy("image_id").agg(F.first("w").alias("w"), F.first("h").alias("h"))
-    out = size.withColumn("min_dim", F.least("w", "h"))
-    for part in (
-        exposure(px), sharpness(px), colorfulness(px), skin_fraction(px), glare_fraction(px),
-        texture(px, stencil),
-    ):
-        out = out.join(part, "image_id")
-    return out
-
-
 # ------------------------------------------------------------ colour constancy
 
 
 def gray_world_gains(px: DataFrame, power: int = 6) -> DataFrame:
     """Shades-of-Gray gains per image."""
-    norms = px.groupBy("image_id").agg(
-        *[
-            F.pow(F.avg(F.pow(F.col(c), F.lit(float(power)))), F.lit(1.0 / power)).alias(f"_n{c}")
-            for c in "rgb"
-        ]
-    )
-    whole = F.sqrt(sum((F.pow(F.col(f"_n{c}"), F.lit(2)) for c in "gb"), start=F.pow(F.col("_nr"), F.lit(2))))
-    gain = lambda c: F.when(F.col("_all") <= 1e-6, 1.0).otherwise(
-        (F.col("_all") / math.sqrt(3.0)) / F.greatest(F.col(f"_n{c}"), F.lit(1e-6))
-    )
-    return norms.withColumn("_all", whole).select(
-        "image_id", *[gain(c).alias(f"gain_{c}") for c in "rgb"]
+    norms = px.groupBy("image_id").agg(*[_power_mean(c, power).alias(f"_n{c}") for c in "rgb"])
+    return _with_gains(norms).select("image_id", *[f"gain_{c}" for c in "rgb"])
+
+
+def _power_mean(channel: str, power: int, over=None) -> Column:
+    mean = F.avg(F.pow(F.col(channel), F.lit(float(power))))
+    return F.pow(mean if over is None else mean.over(over), F.lit(1.0 / power))
+
+
+def _with_gains(norms: DataFrame) -> DataFrame:
+    squares = [F.col(f"_n{c}") * F.col(f"_n{c}") for c in "rgb"]
+    norms = norms.withColumn("_all", F.sqrt(squares[0] + squares[1] + squares[2]))
+
+    def gain(c: str) -> Column:
+        return F.when(F.col("_all") <= 1e-6, 1.0).otherwise(
+            (F.col("_all") / math.sqrt(3.0)) / F.greatest(F.col(f"_n{c}"), F.lit(1e-6))
+        )
+
+    return norms.withColumns({f"gain_{c}": gain(c) for c in "rgb"}).drop(
+        "_all", *[f"_n{c}" for c in "rgb"]
     )
 
 
 def correct_colors(px: DataFrame, power: int = 6) -> DataFrame:
-    """Scale every channel by its image's gain and cut back to whole 0..255."""
-    joined = px.join(gray_world_gains(px, power), "image_id")
+    """Scale every channel by its image's gain and cut back to whole 0..255.
+
+    The gains are window values over the image, so the pixels are read once.
+    """
+    whole = W.partitionBy("image_id")
+    joined = _with_gains(px.withColumns({f"_n{c}": _power_mean(c, power, whole) for c in "rgb"}))
     fixed = {
         # The small offset keeps products that are whole but for rounding noise whole.
         c: F.floor(F.least(F.lit(255.0), F.col(c) * F.col(f"gain_{c}")) + 1e-6).cast("double")

@@ -49,10 +49,13 @@ def lesion_channel(px: DataFrame, blur: int = 7) -> DataFrame:
     """
     lab = with_lab(px)
     ends = F.array(F.lit(0.01), F.lit(0.99))
-    limits = lab.groupBy("image_id").agg(
-        F.percentile("lightness", ends).alias("_pl"), F.percentile("b", ends).alias("_pb")
+    whole = W.partitionBy("image_id")
+    joined = lab.withColumns(
+        {
+            "_pl": F.percentile("lightness", ends).over(whole),
+            "_pb": F.percentile("b", ends).over(whole),
+        }
     )
-    joined = lab.join(limits, "image_id")
 
     def stretched(value: str, limit: str) -> Column:
         low, high = F.col(limit)[0], F.col(limit)[1]
@@ -78,31 +81,43 @@ def otsu(df: DataFrame, key: str, value: str) -> DataFrame:
     )
     upto = W.partitionBy(key).orderBy("bin")
     whole = W.partitionBy(key)
+    mass = F.col("n") * F.col("bin")
     sums = hist.select(
         key, "bin",
-        F.sum("n").over(upto).alias("n1"),
-        F.sum(F.col("n") * F.col("bin")).over(upto).alias("s1"),
-        F.sum("n").over(whole).alias("n"),
-        F.sum(F.col("n") * F.col("bin")).over(whole).alias("s"),
-    )
-    apart = (F.col("n") * F.col("s1") - F.col("n1") * F.col("s")).cast("double")
-    between = F.try_divide(
-        apart * apart, F.col("n1").cast("double") * (F.col("n") - F.col("n1"))
+        F.sum("n").over(upto).alias("_n1"), F.sum(mass).over(upto).alias("_s1"),
+        F.sum("n").over(whole).alias("_n"), F.sum(mass).over(whole).alias("_s"),
     )
-    best = F.max(F.struct(F.coalesce(between, F.lit(0.0)).alias("v"), (-F.col("bin")).alias("neg")))
+    best = F.max(F.struct(_between().alias("v"), (-F.col("bin")).alias("neg")))
     return sums.groupBy(key).agg(best.alias("_b")).select(
         key, (-F.col("_b.neg")).alias("threshold"), F.col("_b.v").alias("spread")
     )
 
 
+def _between() -> Column:
+    """Between-class variance (up to a constant) from whole-number sums."""
+    apart = (F.col("_n") * F.col("_s1") - F.col("_n1") * F.col("_s")).cast("double")
+    weight = F.col("_n1").cast("double") * (F.col("_n") - F.col("_n1"))
+    return F.coalesce(F.try_divide(apart * apart, weight), F.lit(0.0))
+
+
 def with_mask(px: DataFrame, blur: int = 7) -> DataFrame:
     """Add ``channel`` and ``is_mask``: every pixel above its image's Otsu threshold."""
-    channel = lesion_channel(px, blur)
-    cut = otsu(channel, "image_id", "channel").select("image_id", "threshold")
+    binned = lesion_channel(px, blur).withColumn("_bin", F.floor("channel").cast("long"))
+    # The same sums as in ``otsu``, as window values: the pixels are read once and no
+    # join repeats the colour conversion.
+    whole = W.partitionBy("image_id")
+    upto = whole.orderBy("_bin").rangeBetween(W.unboundedPreceding, W.currentRow)
+    sums = binned.withColumns(
+        {
+            "_n1": F.count(F.lit(1)).over(upto), "_s1": F.sum("_bin").over(upto),
+            "_n": F.count(F.lit(1)).over(whole), "_s": F.sum("_bin").over(whole),
+        }
+    )
+    best = F.max(F.struct(_between().alias("v"), (-F.col("_bin")).alias("neg"))).over(whole)
     return (
-        channel.join(cut, "image_id")
-        .withColumn("is_mask", F.floor("channel") > F.col("threshold"))
-        .drop("threshold")
+        sums.withColumn("_best", best)
+        .withColumn("is_mask", F.col("_bin") > -F.col("_best.neg"))
+        .drop("_bin", "_n1", "_s1", "_n", "_s", "_best")
     )
 
 
@@ -166,6 +181,24 @@ def mask_moments(px: DataFrame) -> DataFrame:
     )
 
 
+def with_moments(px: DataFrame) -> DataFrame:
+    """Mask pixels with their image's moments alongside (window values)."""
+    y, x = F.col("y").cast("long"), F.col("x").cast("long")
+    whole = W.partitionBy("image_id")
+    sums = {
+        "n": F.count(F.lit(1)), "sx": F.sum(x), "sy": F.sum(y), "_sxx": F.sum(x * x),
+        "_syy": F.sum(y * y), "_sxy": F.sum(x * y),
+    }
+    inside = px.filter("is_mask").withColumns({c: v.over(whole) for c, v in sums.items()})
+    n, sx, sy = (F.col(c) for c in ("n", "sx", "sy"))
+    return inside.withColumns(
+        {
+            "vxx": n * F.col("_sxx") - sx * sx, "vyy": n * F.col("_syy") - sy * sy,
+            "vxy": n * F.col("_sxy") - sx * sy,
+        }
+    ).drop("_sxx", "_syy", "_sxy")
+
+
 def eccentricity(px: DataFrame) -> DataFrame:
     """From the second moments (the ellipse of equal moments)."""
     m = mask_moments(px)
@@ -190,15 +223,15 @@ def asymmetry(px: DataFrame) -> DataFrame:
     its mirror image falls on; mirroring is a coordinate expression, so this is an
     equi-join inside the image.
     """
-    m = mask_moments(px)
-    angle = 0.5 * F.atan2(
+    # Twice the angle of the major axis.
+    double = F.atan2(
         2.0 * F.col("vxy").cast("double"), (F.col("vxx") - F.col("vyy")).cast("double")
     )
-    axes = m.select(
-        "image_id", (F.col("sx") / F.col("n")).alias("_cx"), (F.col("sy") / F.col("n")).alias("_cy"),
-        F.cos(2.0 * angle).alias("_c"), F.sin(2.0 * angle).alias("_s"),
+    inside = with_moments(with_gray(px)).select(
+        "image_id", "y", "x", "gray",
+        (F.col("sx") / F.col("n")).alias("_cx"), (F.col("sy") / F.col("n")).alias("_cy"),
+        F.cos(double).alias("_c"), F.sin(double).alias("_s"),
     )
-    inside = with_gray(px).filter("is_mask").select("image_id", "y", "x", "gray")
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
     # Reflection about the major axis, and (negated) about the minor one.
     rx = F.col("_c") * dx + F.col("_s") * dy
@@ -207,7 +240,7 @@ def asymmetry(px: DataFrame) -> DataFrame:
     def nearest(v: Column) -> Column:
         return F.floor(v + 0.500001).cast("int")
 
-    mirrored = inside.join(axes, "image_id").select(
+    mirrored = inside.select(
         "image_id", "gray",
         F.explode(
             F.array(
@@ -216,7 +249,7 @@ def asymmetry(px: DataFrame) -> DataFrame:
             )
         ).alias("m"),
     ).select("image_id", "gray", "m.axis", F.col("m.my").alias("y"), F.col("m.mx").alias("x"))
-    partner = inside.withColumnRenamed("gray", "gray2")
+    partner = with_gray(px.filter("is_mask")).select("image_id", "y", "x", F.col("gray").alias("gray2"))
     joined = mirrored.join(partner, ["image_id", "y", "x"], "left")
     miss = F.col("gray2").isNull()
     per_axis = joined.groupBy("image_id", "axis").agg(
@@ -245,9 +278,7 @@ def border(px: DataFrame) -> DataFrame:
         neighbour(F.lag("is_mask").over(rows)) & neighbour(F.lead("is_mask").over(rows))
         & neighbour(F.lag("is_mask").over(cols)) & neighbour(F.lead("is_mask").over(cols)),
     )
-    rim = edged.filter("is_mask AND NOT _inner").join(
-        mask_moments(px).select("image_id", "n", "sx", "sy"), "image_id"
-    )
+    rim = with_moments(edged).filter("NOT _inner")
     # Offsets scaled by the pixel count stay whole numbers: sectors are decided exactly.
     rim = rim.select(
         "image_id", "n", (F.col("n") * F.col("x") - F.col("sx")).alias("dx"),
@@ -388,10 +419,22 @@ def alignment(px: DataFrame, weight: str) -> DataFrame:
 
 def mask_crop(px: DataFrame, pad_share: float = 0.12) -> DataFrame:
     """Crop to the padded bounding box (boxes under four pixels keep the frame)."""
-    box = mask_geometry(px).select("image_id", "bbox_x", "bbox_y", "bbox_w", "bbox_h")
+    whole = W.partitionBy("image_id")
+
+    def bound(fn, c: str) -> Column:
+        return fn(F.when(F.col("is_mask"), F.col(c))).over(whole)
+
+    corners = px.withColumns(
+        {
+            "bbox_x": F.coalesce(bound(F.min, "x"), F.lit(0)),
+            "bbox_y": F.coalesce(bound(F.min, "y"), F.lit(0)),
+            "bbox_w": F.coalesce(bound(F.max, "x") - bound(F.min, "x") + 1, F.lit(0)),
+            "bbox_h": F.coalesce(bound(F.max, "y") - bound(F.min, "y") + 1, F.lit(0)),
+        }
+    )
     p = F.floor(pad_share * F.greatest("bbox_w", "bbox_h")).cast("int")
     tiny = (F.col("bbox_w") < 4) | (F.col("bbox_h") < 4)
-    joined = px.join(box, "image_id").withColumns(
+    joined = corners.withColumns(
         {
             "_x0": F.when(tiny, 0).otherwise(F.greatest(F.lit(0), F.col("bbox_x") - p)),
             "_y0": F.when(tiny, 0).otherwise(F.greatest(F.lit(0), F.col("bbox_y") - p)),

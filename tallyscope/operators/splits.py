@@ -37,14 +37,15 @@ def _split_positions(val: float, test: float):
     return positions
 
 
-def _split(df, unit, cls, val, test, seed, classes) -> DataFrame:
+def _split(df, unit, cls, val, test, seed, classes, unique) -> DataFrame:
     key = order_key(seed, F.col(cls), F.col(unit))
     keys = df.select(cls, key.alias("_key"))
     proven = classes is not None
     if proven:
         # The closed list is what bounds the broadcast cut tables.
         keys = keys.filter(F.col(cls).isin(list(classes)))
-    keys = keys.distinct()
+    if not unique:
+        keys = keys.distinct()
     cuts = key_cuts(keys, cls, "_key", _split_positions(val, test), proven_classes=proven)
     cuts = F.broadcast(cuts) if proven else bounded_lookup(cuts)
     split = (
@@ -78,7 +79,7 @@ def grouped_split(
     Pass ``classes`` (a closed class list) to have the plan stay fully lazy; rows of
     other classes then get no split. Without it the number of classes is checked.
     """
-    return _split(df, group, cls, val, test, seed, classes)
+    return _split(df, group, cls, val, test, seed, classes, unique=False)
 
 
 def itemwise_split(
@@ -90,8 +91,12 @@ def itemwise_split(
     seed: int = 42,
     classes: Sequence[str] | None = None,
 ) -> DataFrame:
-    """Stratified split over items, blind to groups (kept to measure its leak)."""
-    return _split(df, item, cls, val, test, seed, classes)
+    """Stratified split over items, blind to groups (kept to measure its leak).
+
+    An item is one row, so nothing needs to be made distinct: only counts per class
+    and the few rows next to the cuts are shuffled.
+    """
+    return _split(df, item, cls, val, test, seed, classes, unique=True)
 
 
 def sample_per_class(

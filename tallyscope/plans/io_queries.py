@@ -15,7 +15,7 @@ from ..operators import grading as G
 from ..operators import metrics as M
 from ..sources import bindings as B
 from ..sources import io as IO
-from ..session import checkpoint_dir
+from ..session import scratch_path as scratch
 from ..streaming import triage as ST
 from ..functions.scores import linear_logits, softmax
 from .grading_queries import parts_sql
@@ -24,10 +24,6 @@ from .score_queries import COMPARISON_METRICS, r6
 from .sql import CASES, CLASSES, PREDS, TIERS_CTE, VECS
 
 
-def scratch(spark, name):
-    return f"{checkpoint_dir(spark)}/tallyscope/{uuid.uuid4().hex}/{name}"
-
-
 @query(
     "a1_read_items",
     "SELECT c_custkey AS image_id, c_mktsegment AS dx, round(c_acctbal, 6) AS age FROM customer",

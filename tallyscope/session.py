@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Settings every job here assumes. AQE sizes shuffles at run time, so the
 # static partition number only has to be an upper bound.
@@ -49,3 +50,20 @@ def checkpoint_dir(spark: SparkSession) -> str:
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
     return configured
+
+
+def scratch_path(spark: SparkSession, name: str) -> str:
+    """A fresh path under the shared checkpoint folder."""
+    return f"{checkpoint_dir(spark)}/tallyscope/{uuid.uuid4().hex}/{name}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """Write a narrow intermediate table once and read it back.
+
+    For results that several branches of a plan read and that are dear to derive: the
+    lineage is cut in shared storage, so a lost executor costs a re-read, and the copy
+    is columnar, so each branch still reads only its own columns.
+    """
+    path = scratch_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from ..functions.basic import literal_array
 from ..functions.scores import linear_logits, softmax
-from ..operators.splits import grouped_split
+from ..operators.splits import itemwise_split
+from ..session import stored
 from .taxonomy import CLASS_CODES
 
 LANGS = ("de", "en", "es", "fr")
@@ -39,6 +40,16 @@ def items_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def stored_items(spark: SparkSession, sf_dir: str, big: bool = False) -> DataFrame:
+    """Items written once as three narrow columns.
+
+    Splitting and auditing read them several times; hashing whole texts (or joining
+    orders with customers) must not be repeated for each.
+    """
+    frame = items_big(spark, sf_dir) if big else items(spark, sf_dir)
+    return stored(frame, "items")
+
+
 def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Labelled vectors of the seven classes."""
     code = F.element_at(literal_array(CLASS_CODES), F.col("label") + 1)
@@ -55,7 +66,8 @@ def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def split_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return grouped_split(vecs(spark, sf_dir), "vec_id", "code", classes=CLASS_CODES)
+    # Every vector is its own group.
+    return itemwise_split(vecs(spark, sf_dir), "vec_id", "code", classes=CLASS_CODES)
 
 
 def class_means(train: DataFrame) -> DataFrame:
