@@ -298,7 +298,8 @@ def ranked(df: DataFrame, item: str, k: int | None = None) -> DataFrame:
     )
     if k is not None:
         order = F.slice(order, 1, k)
-    long = df.select(item, F.posexplode(order).alias("pos", "e")).select(
+    # Never empty; the outer form evaluates the sorted array once.
+    long = df.select(item, F.posexplode_outer(order).alias("pos", "e")).select(
         item, (F.col("pos") + 1).alias("rank"), "e.class_idx", "e.probability"
     )
     dim = F.broadcast(

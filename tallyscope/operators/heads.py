@@ -13,7 +13,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.basic import literal_array, let, total
+from ..functions.basic import let, literal_array, pin, total
 from ..sources.taxonomy import CLASS_CODES
 from .metrics import confusion_counts, macro_f1
 
@@ -159,7 +159,7 @@ def _nll(logits: Column, target: Column, t: Column) -> Column:
 def _nll_by_temperature(df: DataFrame, grid: Column) -> DataFrame:
     """Mean NLL per grid value; partial sums keep the shuffle as small as the grid."""
     return (
-        df.withColumn("t", F.explode(grid))
+        df.withColumn("t", F.explode_outer(grid))
         .select("t", _nll(F.col("logits"), F.col("target"), F.col("t")).alias("nll"))
         .groupBy("t")
         .agg(F.avg("nll").alias("nll"))
@@ -182,7 +182,7 @@ def calibrate(df: DataFrame, lo: float = 0.25, hi: float = 10.0, step: float = 0
             offsets, lambda o: F.least(F.lit(hi), F.greatest(F.lit(lo), F.col("_t0") + o))
         )
     )
-    scanned = _nll_by_temperature(around, grid)
+    scanned = _nll_by_temperature(pin(around, {"_grid": grid}), F.col("_grid"))
     return scanned.agg(F.min(F.struct("nll", "t")).alias("m")).select(
         F.col("m.t").alias("temperature"), F.col("m.nll").alias("nll")
     )

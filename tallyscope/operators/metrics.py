@@ -286,7 +286,7 @@ def _rank_mass(df: DataFrame) -> DataFrame:
     row), sorting happens inside slices only, and slices are then chained through
     their totals. The slicing affects balance, never the result.
     """
-    exploded = df.select("target", F.posexplode("probs").alias("class_idx", "score")).select(
+    exploded = df.select("target", F.posexplode_outer("probs").alias("class_idx", "score")).select(
         "class_idx", "score", (F.col("target") == F.col("class_idx")).alias("pos")
     )
     merged = (
@@ -335,8 +335,13 @@ def roc_auc(df: DataFrame) -> DataFrame:
     rows = _class_dim(df.sparkSession).join(usable, "class_idx").select(
         "code", F.bround(auc, 4).alias("auc")
     )
-    macro = rows.agg(F.bround(F.avg("auc"), 4).alias("auc")).filter("auc IS NOT NULL")
-    return rows.unionByName(macro.select(F.lit("macro").alias("code"), "auc"))
+    # The grand total of the rollup is the macro average.
+    return (
+        rows.rollup("code")
+        .agg(F.bround(F.avg("auc"), 4).alias("auc"))
+        .select(F.coalesce("code", F.lit("macro")).alias("code"), "auc")
+        .filter("auc IS NOT NULL")
+    )
 
 
 # ----------------------------------------------------------------- comparison
@@ -348,8 +353,14 @@ def compare_models(results: DataFrame, new: DataFrame, metrics: Sequence[str]) -
     Both are (model, metric, value, verified); keys starting with an underscore
     are provenance, not models. One model name is replaced as a whole.
     """
-    kept = results.join(new.select("model").distinct(), "model", "left_anti")
-    merged = kept.unionByName(new).filter(~F.col("model").startswith("_"))
+    both = results.withColumn("_new", F.lit(0)).unionByName(new.withColumn("_new", F.lit(1)))
+    newest = F.max("_new").over(W.partitionBy("model"))  # a few metrics per model
+    merged = (
+        both.filter(~F.col("model").startswith("_"))
+        .withColumn("_newest", newest)
+        .filter("_new = _newest")
+        .drop("_new", "_newest")
+    )
     known = F.broadcast(
         results.sparkSession.createDataFrame([(m,) for m in metrics], "metric STRING")
     )

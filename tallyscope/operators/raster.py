@@ -30,7 +30,10 @@ def pixels(arrays: DataFrame, colocate: bool = False) -> DataFrame:
     """One row per pixel from one row per image (``px`` ARRAY<STRUCT<r,g,b>>)."""
     if colocate:
         arrays = arrays.repartition("image_id")
-    long = arrays.select("image_id", "w", "h", F.posexplode("px").alias("_pos", "_p"))
+    # The outer form spares an extra evaluation of the array to see whether it is empty.
+    long = arrays.select("image_id", "w", "h", F.posexplode_outer("px").alias("_pos", "_p")).filter(
+        "_pos IS NOT NULL"
+    )
     return long.select(
         "image_id", "w", "h",
         F.floor(F.col("_pos") / F.col("w")).cast("int").alias("y"),
@@ -68,7 +71,7 @@ def pad(px: DataFrame, radius: int) -> DataFrame:
 
     def copies(at: str, size: str) -> Column:
         v, n = F.col(at), F.col(size)
-        return F.explode(
+        return F.explode_outer(
             F.array_compact(
                 F.array(
                     v,

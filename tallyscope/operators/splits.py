@@ -6,7 +6,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.basic import order_key, ratio, uniform
+from ..functions.basic import order_key, pin, ratio, uniform
 from .ranks import bounded_lookup, class_ranks, key_cuts
 
 SPLITS = ("train", "val", "test")
@@ -211,7 +211,8 @@ def allocation(df_split: DataFrame, item: str, group: str) -> DataFrame:
         )
     )
     # Two one-row results.
-    return items.select("*", *[groups.select(c).scalar().alias(c) for c in groups.columns])
+    both = items.withColumn("_g", groups.select(F.struct(*groups.columns)).scalar())
+    return both.select("items", "items_twice", "_g.*")
 
 
 def unallocated(df: DataFrame, df_split: DataFrame, item: str) -> DataFrame:
@@ -220,21 +221,23 @@ def unallocated(df: DataFrame, df_split: DataFrame, item: str) -> DataFrame:
 
 
 def split_overlap(df_split: DataFrame, group: str) -> DataFrame:
-    """Groups shared by each pair of splits, through set intersection."""
-    side = {s: df_split.filter(F.col("split") == s).select(group) for s in SPLITS}
-    parts = [
-        side[a].intersect(side[b]).agg(F.count(F.lit(1)).alias("shared_groups")).select(
-            F.lit(f"{a}-{b}").alias("pair"), "shared_groups"
-        )
-        for a, b in (("train", "val"), ("train", "test"), ("val", "test"))
-    ]
-    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+    """Groups shared by each pair of splits.
+
+    The intersections of all pairs come from one grouping: a group is in a split when
+    it has a row there.
+    """
+    per_group = df_split.groupBy(group).agg(
+        *[F.bool_or(F.col("split") == s).alias(s) for s in SPLITS]
+    )
+    pairs = (("train", "val"), ("train", "test"), ("val", "test"))
+    counts = per_group.agg(*[F.count_if(F.col(a) & F.col(b)).alias(f"{a}-{b}") for a, b in pairs])
+    names = [f"{a}-{b}" for a, b in pairs]
+    return counts.unpivot([], names, "pair", "shared_groups")
 
 
 def split_union(df: DataFrame, df_split: DataFrame, item: str) -> DataFrame:
     """Does the union of the three splits give back the input?"""
-    parts = [df_split.filter(F.col("split") == s).select(item) for s in SPLITS]
-    union = parts[0].unionByName(parts[1]).unionByName(parts[2])
+    union = df_split.filter(F.col("split").isin(*SPLITS)).select(item)
     tagged = union.select(item, F.lit(1).alias("_s")).unionByName(
         df.select(item, F.lit(0).alias("_s"))
     )
@@ -374,13 +377,13 @@ def weighted_sample(
     located = (
         draws.select(draw, u.alias("_u"))
         .withColumn("_t", table.scalar())
-        .withColumn(
-            "_hit",
-            F.filter(
-                "_t",
-                lambda s: (F.col("_u") >= s["_lo"]) & ((F.col("_u") < s["_hi"]) | (s["_last"] == 1)),
-            )[0],
-        )
+    )
+    hit = F.filter(
+        "_t",
+        lambda s: (F.col("_u") >= s["_lo"]) & ((F.col("_u") < s["_hi"]) | (s["_last"] == 1)),
+    )[0]
+    located = (
+        pin(located, {"_hit": hit})
         .select(
             draw,
             F.col("_hit")[cls].alias(cls),

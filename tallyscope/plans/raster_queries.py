@@ -34,8 +34,8 @@ def paired(spark, sf_dir):
         {"pair_id": F.floor(F.col("image_id") / 2), "side": (F.col("image_id") % 2).cast("int")}
     )
     long = arrays.repartition("pair_id").select(
-        "pair_id", "side", "w", "h", F.posexplode("px").alias("_pos", "_p")
-    )
+        "pair_id", "side", "w", "h", F.posexplode_outer("px").alias("_pos", "_p")
+    ).filter("_pos IS NOT NULL")
     return long.select(
         "pair_id", "side", "w", "h", F.floor(F.col("_pos") / F.col("w")).cast("int").alias("y"),
         (F.col("_pos") % F.col("w")).cast("int").alias("x"), "_p.r", "_p.g", "_p.b",

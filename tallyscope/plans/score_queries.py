@@ -9,6 +9,7 @@ from ..functions.grading import legacy_message, legacy_tier
 from ..operators import grading as G
 from ..operators import metrics as M
 from ..operators.splits import class_weights
+from ..session import stored as stored_once
 from ..sources import bindings as B
 from ..sources.taxonomy import CLASS_CODES, MALIGNANT_FLAGS, RISK_WEIGHTS, classes
 from .registry import query
@@ -380,7 +381,7 @@ SELECT metric, (SELECT value FROM la WHERE la.metric = m.metric) AS seen,
 
 @query("g22_model_comparison", COMPARE)
 def g22(spark, sf_dir):
-    scored = B.probs(spark, sf_dir)
+    scored = stored_once(B.probs(spark, sf_dir).select("target", "probs", "split"), "scores")
     stored = (
         _metric_rows(scored.filter("split = 'train'"), "seen", "self_reported")
         .unionByName(_metric_rows(scored, "unseen", "self_reported"))

@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.basic import literal_array
+from ..functions.basic import literal_array, pin
 from ..functions.scores import linear_logits, softmax
 from ..operators.splits import itemwise_split
 from ..session import stored
@@ -83,12 +83,9 @@ def probs(spark: SparkSession, sf_dir: str, scale: float = 40.0) -> DataFrame:
     """Vectors scored against the class means of the train split."""
     split = split_vecs(spark, sf_dir)
     weights = class_means(split.filter("split = 'train'"))
-    return (
-        split.withColumn("_w", weights.scalar())
-        .withColumn("logits", linear_logits(F.col("v"), F.col("_w"), scale=scale))
-        .withColumn("probs", softmax(F.col("logits")))
-        .drop("_w")
-    )
+    logits = linear_logits(F.col("v"), F.col("_w"), scale=scale)
+    scored = pin(split.withColumn("_w", weights.scalar()), {"logits": logits}).drop("_w")
+    return pin(scored, {"probs": softmax(F.col("logits"))})
 
 
 def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
