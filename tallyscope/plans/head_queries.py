@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..operators import heads as H
 from ..operators import metrics as M
 from ..operators import passes as P
+from ..session import stored
 from ..sources import bindings as B
 from ..sources.taxonomy import CLASS_CODES
 from .registry import query
@@ -118,7 +119,9 @@ def s6(spark, sf_dir):
 def standardised(spark, sf_dir):
     split = B.split_vecs(spark, sf_dir)
     moments = H.feature_moments(split.filter("split = 'train'"), "v")
-    return H.standardise(split.select("vec_id", "target", "split", "v"), moments, "v", "v")
+    scaled = H.standardise(split.select("vec_id", "target", "split", "v"), moments, "v", "v")
+    # An optimiser reads its input once per step: fit on stored features.
+    return stored(scaled, "features")
 
 
 @query("s1_fitted_head")

@@ -7,6 +7,8 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
+from ..operators.ranks import bounded_lookup
+
 # ---- fixed values -----------------------------------------------------------
 REQUIRED_COLUMNS = ("lesion_id", "image_id", "dx")
 IMAGE_EXTENSIONS = ("jpg", "jpeg", "png")  # the first one wins when a stem occurs twice
@@ -109,7 +111,7 @@ def resolve(items: DataFrame, index: DataFrame, on: str) -> tuple[DataFrame, int
 
 def unknown_codes(items: DataFrame, classes: DataFrame, code: str) -> DataFrame:
     """Observed codes that the class dimension does not have."""
-    return items.select(code).distinct().join(F.broadcast(classes.select(code)), code, "left_anti")
+    return items.select(code).distinct().join(bounded_lookup(classes.select(code)), code, "left_anti")
 
 
 def encode_class(items: DataFrame, classes: DataFrame, code: str, strict: bool = True) -> DataFrame:
@@ -119,8 +121,8 @@ def encode_class(items: DataFrame, classes: DataFrame, code: str, strict: bool =
         bad = sorted(r[0] for r in unknown_codes(items, classes, code).limit(20).collect() if r[0] is not None)
         if bad:
             raise ValueError(f"Unexpected codes in metadata: {bad}")
-    dim = F.broadcast(classes.select(code, F.col("class_idx").alias("label")))
-    return items.join(dim, code, "left")
+    dim = classes.select(code, F.col("class_idx").alias("label"))
+    return items.join(bounded_lookup(dim), code, "left")
 
 
 # ---------------------------------------------------------------------- images
