@@ -201,18 +201,15 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shape measures of each document's whole text, for the rule engine."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    words = F.filter(F.split("text", r"\s+"), lambda w: F.length(w) > 0)
-    lines = F.filter(F.split("text", "\n"), lambda s: F.length(s) > 0)
+    words = F.array_remove(F.split("text", r"\s+"), "")
+    lines = F.array_remove(F.split("text", "\n"), "")
     return docs.select(
         "doc_id", F.length("text").alias("chars"), words.alias("words"), lines.alias("lines")
     ).select(
         "doc_id",
         F.col("chars").cast("double").alias("chars"),
-        (
-            F.try_divide(
-                F.aggregate("words", F.lit(0), lambda s, w: s + F.length(w)).cast("double"),
-                F.size("words").cast("double"),
-            )
+        F.try_divide(
+            F.length(F.array_join("words", "")).cast("double"), F.size("words").cast("double")
         ).alias("mean_word"),
         F.try_divide(
             F.size(F.array_distinct("words")).cast("double"), F.size("words").cast("double")
