@@ -130,8 +130,14 @@ def fold_scaler(head: DataFrame, moments: DataFrame, std: str = "std_sample") ->
     return folded.select("class_idx", F.col("_w").alias("w"), (F.col("b") - shift).alias("b"))
 
 
-def fit_margin_baseline(train: DataFrame, weights: Sequence[float], max_iter: int = 20):
-    """One-vs-rest linear SVM with class weights; returns the fitted model."""
+def fit_margin_baseline(
+    train: DataFrame, weights: Sequence[float], max_iter: int = 20
+) -> DataFrame:
+    """One-vs-rest linear SVM with class weights, as a head (largest margin wins).
+
+    Scoring with the coefficients stays inside SQL expressions; the fitted models
+    themselves would drag their training summaries into every task.
+    """
     w = literal_array([float(x) for x in weights])
     rows = train.select(
         array_to_vector("v").alias("features"),
@@ -139,7 +145,12 @@ def fit_margin_baseline(train: DataFrame, weights: Sequence[float], max_iter: in
         F.element_at(w, F.col("target") + 1).alias("weight"),
     )
     svc = LinearSVC(maxIter=max_iter, regParam=0.1, weightCol="weight")
-    return OneVsRest(classifier=svc, weightCol="weight").fit(rows)
+    models = OneVsRest(classifier=svc, weightCol="weight").fit(rows).models
+    return head_frame(
+        train.sparkSession,
+        [[float(x) for x in m.coefficients.toArray()] for m in models],
+        [float(m.intercept) for m in models],
+    )
 
 
 # ---------------------------------------------------------------- temperature

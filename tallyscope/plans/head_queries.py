@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.ml.functions import array_to_vector
 from pyspark.sql import functions as F
 
+from ..functions.scores import top_index
 from ..operators import heads as H
 from ..operators import metrics as M
 from ..operators import passes as P
@@ -149,9 +149,9 @@ def s2(spark, sf_dir):
 def s7(spark, sf_dir):
     """Summary per split of the one-vs-rest linear margin classifier."""
     data = standardised(spark, sf_dir)
-    model = H.fit_margin_baseline(data.filter("split = 'train'"), train_weights(spark, sf_dir))
-    labelled = model.transform(data.withColumn("features", array_to_vector("v")))
-    counts = labelled.groupBy("split", "target", F.col("prediction").cast("int").alias("pred")).agg(
+    fitted = H.fit_margin_baseline(data.filter("split = 'train'"), train_weights(spark, sf_dir))
+    labelled = H.score_linear(data, fitted, "v").withColumn("pred", top_index("logits"))
+    counts = labelled.groupBy("split", "target", "pred").agg(
         F.count(F.lit(1)).alias("n")
     )
     parts = [

@@ -138,3 +138,20 @@ def test_replayed_stream_changes_nothing(spark, tmp_path):
     state = {r["id"]: r["tier"] for r in C.current(C.read_log(spark, log)).collect()}
     assert state == {"0": "MODERATE", "1": "CRITICAL"}
     assert C.read_log(spark, log).count() == 4
+
+
+def test_margin_baseline_scores_after_an_observation(spark, tmp_path):
+    """Observing a job must not keep fitted heads from being applied."""
+    from tallyscope.operators import heads as H
+
+    (tmp_path / "n.tab").write_text("a\tb\n1\t2\n3\t4\n")
+    assert IO.convert_delimited(spark, str(tmp_path / "n.tab"), str(tmp_path / "n.csv")) == 2
+    data = spark.createDataFrame(
+        [(i % 7, [float(10 * (i % 7 == k)) + (i % 5) * 0.1 for k in range(7)]) for i in range(70)],
+        "target INT, v ARRAY<DOUBLE>",
+    )
+    head = H.fit_margin_baseline(data.coalesce(1), [1.0] * 7, max_iter=3)
+    scored = H.score_linear(data, head, "v").selectExpr(
+        "target", "array_position(logits, array_max(logits)) - 1 AS pred"
+    )
+    assert scored.filter("target = pred").count() == 70
