@@ -4,7 +4,7 @@ Base counts come from one pass over the texts and are written, a few numbers a r
 is learned from labelled rows by sequential covering: a rule grows by one threshold
 condition at a time (the best gain in purity on the growing part), is pruned to the prefix
 of its conditions that does best on the pruning part, and is kept if it is pure enough
-there; rows it covers leave, and the next rule grows. Each step is one grouped count over
+over both parts; rows it covers leave, and the next rule grows. Each step is one grouped count over
 (statistic, bin), so the driver only sees counts of a few hundred bins. The list becomes
 one ordered conditional expression.
 
@@ -175,13 +175,14 @@ def learn(
         if not rule:
             break
         hits = [_all(rule[: i + 1]) for i in range(len(rule))]
-        tallies = [F.sum(F.when(h & (F.col("bad") == b), 1).otherwise(0)) for h in hits for b in (True, False)]
-        tally = [x or 0 for x in rest.filter("prunes").agg(*[t.alias(f"t{i}") for i, t in enumerate(tallies)]).first()]
-        worth = [((tally[2 * i] + 1) / (tally[2 * i] + tally[2 * i + 1] + 2), i) for i in range(len(rule))]
-        # The shortest of the prefixes that do about as well as the best.
-        top = max(w for w, _ in worth)
-        keep = next(i for w, i in worth if w >= top - 0.005)
-        if worth[keep][0] < purity:
+        parts = [(h, b, p) for h in hits for p in (True, False) for b in (True, False)]
+        tallies = [F.sum(F.when(h & (F.col("bad") == b) & (F.col("prunes") == p), 1).otherwise(0)) for h, b, p in parts]
+        tally = [x or 0 for x in rest.agg(*[t.alias(f"t{i}") for i, t in enumerate(tallies)]).first()]
+        pruning = [(tally[i] + 1) / (tally[i] + tally[i + 1] + 2) for i in range(0, len(tally), 4)]
+        # The shortest of the prefixes that do about as well as the best on the pruning part.
+        keep = next(i for i, worth in enumerate(pruning) if worth >= max(pruning) - 0.005)
+        bad_hits, good_hits = (tally[4 * keep + i] + tally[4 * keep + 2 + i] for i in (0, 1))
+        if (bad_hits + 1) / (bad_hits + good_hits + 2) < purity:
             break
         rule = rule[: keep + 1]
         learned.rules.append(rule)
