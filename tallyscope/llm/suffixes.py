@@ -39,6 +39,7 @@ LENGTH = 400
 # Bytes of text that are hashed at a time, and bytes of contexts in one suffix array.
 CHUNK_BYTES = 1 << 18
 BLOCK_BYTES = 1 << 18
+SALTS = 64
 
 _BASE = 0x9E3779B97F4A7C15
 _ODD = 0x1E3779B97F4A7C15
@@ -433,8 +434,12 @@ def repeats(source: DataFrame, length: int, gram: int, most_contexts: int) -> Da
     """(doc_id, row_key, lo, n): strings that start at lo .. lo + n - 1 also start elsewhere."""
     met = stored(_met(_contexts(source, length, gram)), "contexts")
     open_rows = met.filter("NOT is_mark").select("fp", "settled", "doc_id", "row_key", "lo", "n")
-    crowded = open_rows.groupBy("fp").count().filter(F.col("count") > most_contexts).select(F.col("fp").alias("_fp"), F.lit(True).alias("_hot"))
-    wanted = open_rows.join(crowded, F.col("fp") == F.col("_fp"), "left").withColumn("hot", F.coalesce("_hot", F.lit(False)))
+    # A crowded anchor's contexts are dealt out over SALTS tasks for this join.
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    crowded = open_rows.groupBy("fp").count().filter(F.col("count") > most_contexts).select(F.col("fp").alias("_fp"), salts.alias("_salt"))
+    salted = open_rows.withColumn("salt", F.pmod("row_key", F.lit(SALTS).cast("long")))
+    same = (F.col("fp") == F.col("_fp")) & (F.col("salt") == F.col("_salt"))
+    wanted = salted.join(crowded, same, "left").withColumn("hot", F.col("_fp").isNotNull())
     joined = _with_bytes(source, wanted)
     by_array = _compared(_context_bytes(joined.filter(F.exists("wanted", lambda w: ~w["hot"])), length), length)
     by_string = _marks(_met(_single_strings(joined.filter(F.exists("wanted", lambda w: w["hot"])), length)))
