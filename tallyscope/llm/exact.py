@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import SPACE, SPACE_CLASS, clean_rows, documents, query, texts
+from .common import SPACE, SPACE_CLASS, clean_rows, documents, query, texts, unused
 
 # Bytes of labels that a task's trie may hold before its largest subtree is spilled.
 TRIE_BYTES = 24 << 20
@@ -214,13 +214,12 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts."""
-    columns = docs.columns
-    keep = owners(docs, id_col, text_col).select(F.col("digest").alias("_digest"), F.col("keep_id").alias("_keep"))
-    keyed = docs.withColumn("_digest", F.unhex(F.sha2(form_of(text_col), 256)))
-    same = (keyed["_digest"] == keep["_digest"]) & keyed[id_col].eqNullSafe(keep["_keep"])
-    kept = keyed.join(keep, same, "left_semi")
-    # Repeated rows of an owner: the rows of one doc_id and text become one.
-    return kept.dropDuplicates(["_digest"]).select(*columns)
+    digest, owner, owned = (unused(n, docs) for n in ("_digest", "_keep", "_owned"))
+    keep = owners(docs, id_col, text_col).select(F.col("digest").alias(owned), F.col("keep_id").alias(owner))
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(form_of(text_col), 256)))
+    same = (F.col(digest) == F.col(owned)) & F.col(id_col).eqNullSafe(F.col(owner))
+    # Several rows of a text are left only where its owner's doc_id is repeated; one stays.
+    return keyed.join(keep, same, "left_semi").dropDuplicates([digest]).drop(digest)
 
 
 SQL = r"""

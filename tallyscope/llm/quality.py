@@ -26,9 +26,8 @@ from pyspark.sql import functions as F
 
 from tallyscope.session import stored
 
-from .common import documents, query
+from .common import documents, query, row_key, without
 from .features import counted, shares
-from .minhash import row_key
 
 STEPS = (0.01, 0.05, 0.1, 0.2, 0.35, 0.5, 0.65, 0.8, 0.9, 0.95, 0.99)
 # Probabilities stay this far from 0 and 1, so that no single document decides for a site.
@@ -169,10 +168,7 @@ def classify(
 def drop_rejected(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     """The rows of docs that the classifier keeps."""
     found = classify(docs, labels, id_col=id_col, text_col=text_col, **options)
-    rejected = found.filter("NOT kept").select(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_other"))
-    keyed = docs.withColumn("_key", row_key(id_col, text_col))
-    same = (F.col("_key") == F.col("_other")) & F.col(id_col).eqNullSafe(F.col("_doc"))
-    return keyed.join(rejected, same, "left_anti").select(*docs.columns)
+    return without(docs, found.filter("NOT kept"), id_col, text_col)
 
 
 @query("op1_quality_classifier")

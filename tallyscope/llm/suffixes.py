@@ -32,7 +32,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.session import stored
 
-from .common import clean_rows, documents, hex_digest, query
+from .common import clean_rows, documents, hex_digest, query, row_key
 
 # Fixed values of the contract.
 LENGTH = 400
@@ -262,7 +262,7 @@ def _collapsed(fp, ctx, row, lo, n, ids: pa.Array, keys: pa.Array) -> pa.RecordB
 def _keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """doc_id, row_key, text bytes. The key tells rows with one doc_id and different texts apart."""
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    return docs.select(F.col(id_col).alias("doc_id"), F.xxhash64(F.col(id_col), text).alias("row_key"), text.alias("text"))
+    return docs.select(F.col(id_col).alias("doc_id"), row_key(id_col, text_col).alias("row_key"), text.alias("text"))
 
 
 def _contexts(source: DataFrame, length: int, gram: int) -> DataFrame:
