@@ -161,14 +161,15 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Itera
         yield pa.Table.from_batches(held)
 
 
-def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text") -> DataFrame:
+def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """One row per input turn: conv_id, turn, old_role, role, action (turn, or merge into the one
-    before), inserted (roles of empty turns around it), fragment, part and place (order)."""
+    before), inserted (roles of empty turns around it), fragment, part and place (order). tasks: into how many ranges turns are dealt; by default as many as
+    the session shuffles into."""
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("old_role"), F.col(text_col).cast("string").alias("text")
     )
     order = ["conv_id", "turn", "old_role", "text"]
-    ranged = rows.repartitionByRange(*order).sortWithinPartitions(*order)
+    ranged = rows.repartitionByRange(*([tasks] if tasks else []), *order).sortWithinPartitions(*order)
     # The part and place of a turn are fixed once here; all later steps read them.
     dealt = stored(ranged.withColumn("part", F.spark_partition_id()).withColumn("place", F.monotonically_increasing_id()), "turns")
     kind, turn_kind = (dealt.schema[c].dataType.simpleString() for c in ("conv_id", "turn"))

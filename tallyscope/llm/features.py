@@ -44,6 +44,11 @@ def _share(part: str, whole: str) -> Column:
     return F.when(F.col(whole) > 0, F.col(part) / F.col(whole)).otherwise(F.lit(0.0))
 
 
+SHARE_NAMES = (
+    "words", "word_length", "symbol_share", "dup_line_share", "distinct_share", "upper_share", "digit_share", "mark_share", "line_words",
+)
+
+
 def shares() -> dict[str, Column]:
     """What the quality operators look at, from the counts above."""
     return {

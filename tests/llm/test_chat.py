@@ -93,7 +93,7 @@ def test_long_conversation_over_many_tasks(spark):
     turns = [(1, i, draw.choice(["system", "user", "assistant", None]), f"t{i}") for i in range(900)]
     turns += [(c, i, draw.choice(["user", "assistant"]), f"t{i}") for c in range(2, 60) for i in range(5)]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(6)
-    found = conversations(chat.repair(frame))
+    found = conversations(chat.repair(frame, tasks=7))
     assert len({r["part"] for r in found[1]}) > 1
     for conv, rows in found.items():
         roles = [t[2] for t in sorted(t for t in turns if t[0] == conv)]

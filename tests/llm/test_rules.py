@@ -7,9 +7,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.llm import rules
-from tallyscope.llm.features import shares
+from tallyscope.llm.features import SHARE_NAMES, shares
 
-NAMES = [*shares(), "repeat_share"]
+NAMES = [*SHARE_NAMES, "repeat_share"]
 
 
 def brute(text: str | None) -> tuple:
@@ -45,6 +45,10 @@ def test_odd_rows(nasty, empty, labels):
     assert [r["kept"] for r in rules.judged(counts, learned).collect()] == [not r["base_failed"] for r in counts.collect()]
 
 
+def test_share_names(spark):
+    assert tuple(shares()) == SHARE_NAMES
+
+
 def test_no_python_on_the_way(spark, sf_dir):
     plan = rules.op5(spark, sf_dir)._jdf.queryExecution().executedPlan().toString()
     assert "Python" not in plan and "Arrow" not in plan and "Pandas" not in plan
