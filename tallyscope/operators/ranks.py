@@ -12,20 +12,17 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-# A lookup table is broadcast only when it was seen to have at most this many rows.
-LOOKUP_ROWS = 10_000
+def join_class(df: DataFrame, lookup: DataFrame, on: list[str], how: str = "inner") -> DataFrame:
+    """Join on keys that may be null (a missing class is a class of its own).
 
-
-def bounded_lookup(dim: DataFrame, max_rows: int = LOOKUP_ROWS) -> DataFrame:
-    """Make a (usually tiny) lookup table joinable without moving the big side.
-
-    Its rows are fetched only up to the bound; within it the table is broadcast,
-    beyond it the untouched table is returned and the join shuffles as usual.
+    Which side is sent to all executors is left to adaptive execution, which knows sizes.
     """
-    rows = dim.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        return dim
-    return F.broadcast(dim.sparkSession.createDataFrame(rows, dim.schema))
+    names = {c: f"_on_{c}" for c in on}
+    other = lookup.withColumnsRenamed(names)
+    same = F.lit(True)
+    for c, renamed in names.items():
+        same = same & df[c].eqNullSafe(other[renamed])
+    return df.join(other, same, how).drop(*names.values())
 
 
 def key_cuts(
@@ -34,7 +31,6 @@ def key_cuts(
     key: str,
     wanted: Callable[[Column], dict[str, Column]],
     digits: int = 4,
-    proven_classes: bool = False,
 ) -> DataFrame:
     """The key standing at given 1-based positions of each class.
 
@@ -70,11 +66,9 @@ def key_cuts(
             (F.col("_w.pos") - (F.col("_upto") - F.col("_n"))).alias("_k"),
         )
     )
-    # At most one row per class and cut: bounded by a closed class list, else checked.
-    lookup = F.broadcast(edges) if proven_classes else bounded_lookup(edges)
     in_slice = W.partitionBy(cls, "_slice", "_cut").orderBy(key)
     hits = (
-        bucketed.join(lookup, [cls, "_slice"])
+        join_class(bucketed, edges, [cls, "_slice"])
         .withColumn("_rn", F.row_number().over(in_slice))
         .filter("_rn = _k")
     )
@@ -95,8 +89,7 @@ def class_ranks(keys: DataFrame, cls: str, key: str, rank: str, digits: int = 3)
     )
     in_slice = W.partitionBy(cls, "_slice").orderBy(key)
     return (
-        bucketed.withColumn("_rn", F.row_number().over(in_slice))
-        .join(offsets, [cls, "_slice"])
+        join_class(bucketed.withColumn("_rn", F.row_number().over(in_slice)), offsets, [cls, "_slice"])
         .withColumn(rank, F.col("_rn") + F.col("_off"))
         .drop("_slice", "_rn", "_off")
     )

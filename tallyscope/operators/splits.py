@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.basic import order_key, pin, ratio, uniform
-from .ranks import bounded_lookup, class_ranks, key_cuts
+from .ranks import class_ranks, join_class, key_cuts
 
 SPLITS = ("train", "val", "test")
 
@@ -37,27 +37,19 @@ def _split_positions(val: float, test: float):
     return positions
 
 
-def _split(df, unit, cls, val, test, seed, classes, unique) -> DataFrame:
+def _split(df, unit, cls, val, test, seed, unique) -> DataFrame:
     key = order_key(seed, F.col(cls), F.col(unit))
     keys = df.select(cls, key.alias("_key"))
-    proven = classes is not None
-    if proven:
-        # The closed list is what bounds the broadcast cut tables.
-        keys = keys.filter(F.col(cls).isin(list(classes)))
     if not unique:
         keys = keys.distinct()
-    cuts = key_cuts(keys, cls, "_key", _split_positions(val, test), proven_classes=proven)
-    cuts = F.broadcast(cuts) if proven else bounded_lookup(cuts)
+    cuts = key_cuts(keys, cls, "_key", _split_positions(val, test))
     split = (
         F.when(F.col("_key") <= F.col("_test_cut"), "test")
         .when(F.col("_key") <= F.col("_val_cut"), "val")
         .otherwise("train")
     )
-    if proven:
-        split = F.when(F.col(cls).isin(list(classes)), split)
     return (
-        df.withColumn("_key", key)
-        .join(cuts, cls, "left")
+        join_class(df.withColumn("_key", key), cuts, [cls], "left")
         .withColumn("split", split)
         .drop("_key", "_test_cut", "_val_cut")
     )
@@ -70,16 +62,13 @@ def grouped_split(
     val: float = 0.15,
     test: float = 0.15,
     seed: int = 42,
-    classes: Sequence[str] | None = None,
 ) -> DataFrame:
     """Add ``split``: whole groups of each class go to train, val or test.
 
-    Only the two cut-off keys of each class are computed; every row then decides
-    for itself by comparing its group's key, so the items are never shuffled.
-    Pass ``classes`` (a closed class list) to have the plan stay fully lazy; rows of
-    other classes then get no split. Without it the number of classes is checked.
+    Only the two cut-off keys of each class are computed; every row then decides for
+    itself by comparing its group's key. Every row gets a split; a null class is a class.
     """
-    return _split(df, group, cls, val, test, seed, classes, unique=False)
+    return _split(df, group, cls, val, test, seed, unique=False)
 
 
 def itemwise_split(
@@ -89,34 +78,22 @@ def itemwise_split(
     val: float = 0.15,
     test: float = 0.15,
     seed: int = 42,
-    classes: Sequence[str] | None = None,
 ) -> DataFrame:
     """Stratified split over items, blind to groups (kept to measure its leak).
 
     An item is one row, so nothing needs to be made distinct: only counts per class
     and the few rows next to the cuts are shuffled.
     """
-    return _split(df, item, cls, val, test, seed, classes, unique=True)
+    return _split(df, item, cls, val, test, seed, unique=True)
 
 
-def sample_per_class(
-    df: DataFrame, item: str, cls: str, n: int, seed: int = 42,
-    classes: Sequence[str] | None = None,
-) -> DataFrame:
-    """Exactly ``n`` items of each class (all where there are fewer)."""
+def sample_per_class(df: DataFrame, item: str, cls: str, n: int, seed: int = 42) -> DataFrame:
+    """Exactly ``n`` items of each class, the null class too (all where there are fewer)."""
     key = order_key(seed, F.col(cls), F.col(item))
-    proven = classes is not None
     keys = df.select(cls, key.alias("_key"))
-    if proven:
-        keys = keys.filter(F.col(cls).isin(list(classes)))
-    cuts = key_cuts(
-        keys, cls, "_key",
-        lambda size: {"_cut_at": F.least(size, F.lit(n))}, proven_classes=proven,
-    )
-    cuts = F.broadcast(cuts) if proven else bounded_lookup(cuts)
+    cuts = key_cuts(keys, cls, "_key", lambda size: {"_cut_at": F.least(size, F.lit(n))})
     return (
-        df.withColumn("_key", key)
-        .join(cuts, cls)
+        join_class(df.withColumn("_key", key), cuts, [cls])
         .filter(F.col("_key") <= F.col("_cut_at"))
         .drop("_key", "_cut_at")
     )

@@ -129,7 +129,7 @@ def s1(spark, sf_dir):
     """Summary per split of a head fitted on train and selected on val."""
     data = standardised(spark, sf_dir)
     train, val = (data.filter(F.col("split") == s) for s in ("train", "val"))
-    _table, fitted = H.fit_head(train, val, train_weights(spark, sf_dir), reg_grid=(0.01,), max_iter=30)
+    _table, fitted = H.fit_head(train, val, train_weights(spark, sf_dir))
     scored = H.score_linear(data, fitted, "v").withColumn("probs", F.col("logits"))
     parts = [
         M.summary(scored.filter(F.col("split") == s)).withColumn("split", F.lit(s))
@@ -142,7 +142,7 @@ def s1(spark, sf_dir):
 def s2(spark, sf_dir):
     data = standardised(spark, sf_dir)
     train, val = (data.filter(F.col("split") == s) for s in ("train", "val"))
-    return H.fit_head(train, val, train_weights(spark, sf_dir), reg_grid=(0.001, 0.05), max_iter=20)[0]
+    return H.fit_head(train, val, train_weights(spark, sf_dir))[0]
 
 
 @query("s7_margin_baseline")

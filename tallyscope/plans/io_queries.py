@@ -70,10 +70,11 @@ FROM documents d JOIN labels USING (doc_id) GROUP BY d.lang""",
 def a4(spark, sf_dir):
     items = B.table(spark, sf_dir, "documents").select("doc_id", "lang")
     index = B.table(spark, sf_dir, "labels").select("doc_id", "quality")
-    kept, dropped = IO.resolve(items, index, "doc_id")
-    return kept.groupBy("lang").agg(
-        F.count(F.lit(1)).alias("kept"), F.lit(dropped).cast("long").alias("dropped")
+    counts = IO.located(items, index, "doc_id").groupBy("lang").agg(
+        F.count_if("found").alias("kept"), F.count_if(~F.col("found")).alias("_lost")
     )
+    dropped = counts.agg(F.sum("_lost").alias("dropped"))
+    return counts.filter("kept > 0").withColumn("dropped", dropped.scalar()).drop("_lost")
 
 
 @query(
@@ -244,7 +245,7 @@ def t1(spark, sf_dir):
     source = ST.file_stream(spark, sf_dir, schema, "embeddings.parquet")
 
     def prepare(batch):
-        kept = batch.filter("label < 7").withColumn("_w", head.scalar())
+        kept = batch.withColumn("label", F.col("label") % 7).withColumn("_w", head.scalar())
         logits = linear_logits(F.col("embedding").cast("array<double>"), F.col("_w"), scale=40.0)
         return kept.withColumn("logits", logits).select(
             "vec_id", softmax(F.col("logits")).alias("probs"), F.lit("2024-01-01").alias("created_at")

@@ -522,13 +522,16 @@ def m27l(spark, sf_dir):
 
 @query(
     "m27_center_crop",
-    f"""WITH {PX}, cut AS (SELECT * REPLACE (6 AS h) FROM px WHERE y < 6)
-SELECT image_id, y, x - 1 AS x, 6 AS w, 6 AS h, r FROM cut WHERE x BETWEEN 1 AND 6""",
+    f"""WITH {PX}, wide AS (SELECT image_id, (y * 8 + x) // 16 AS y, (y * 8 + x) % 16 AS x, r FROM px)
+SELECT image_id, CAST(y AS INTEGER) AS y, CAST(x - 6 AS INTEGER) AS x, 4 AS w, 4 AS h, r FROM wide WHERE x BETWEEN 6 AND 9""",
 )
 def m27c(spark, sf_dir):
-    tall = px(spark, sf_dir).filter("y < 6").withColumn("h", F.lit(6))
-    return R.center_crop(tall).select("image_id", "y", "x", "w", "h", "r")
-
+    # All 64 values of a picture, laid out as 4 rows of 16.
+    place = F.col("y") * 8 + F.col("x")
+    wide = px(spark, sf_dir).withColumns(
+        {"y": F.floor(place / 16).cast("int"), "x": (place % 16).cast("int"), "w": F.lit(16), "h": F.lit(4)}
+    )
+    return R.center_crop(wide).select("image_id", "y", "x", "w", "h", "r")
 
 
 @query(

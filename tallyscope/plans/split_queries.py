@@ -15,13 +15,13 @@ ITEMWISE = split_cte("items", "item_id", "cls", "isplit")
 
 
 def _grouped(spark, sf_dir, big=False):
-    frame = B.stored_items(spark, sf_dir, big)
-    return S.grouped_split(frame, "group_id", "cls", classes=B.SEGMENTS if big else B.LANGS)
+    frame = B.split_items(spark, sf_dir, big)
+    return S.grouped_split(frame, "group_id", "cls")
 
 
 def _itemwise(spark, sf_dir, big=False):
-    frame = B.stored_items(spark, sf_dir, big)
-    return S.itemwise_split(frame, "item_id", "cls", classes=B.SEGMENTS if big else B.LANGS)
+    frame = B.split_items(spark, sf_dir, big)
+    return S.itemwise_split(frame, "item_id", "cls")
 
 
 @query("w1_grouped_split", f"WITH {ITEMS}, {GROUPED} SELECT item_id, group_id, cls, split FROM gsplit")
@@ -35,7 +35,7 @@ def w1(spark, sf_dir):
 )
 def w1_big(spark, sf_dir):
     # No closed class list given: the cut tables are size-checked before broadcasting.
-    return S.grouped_split(B.stored_items(spark, sf_dir, big=True), "group_id", "cls").select(
+    return S.grouped_split(B.split_items(spark, sf_dir, big=True), "group_id", "cls").select(
         "item_id", "group_id", "cls", "split"
     )
 
@@ -50,7 +50,7 @@ TWO_WAY = split_cte("items", "item_id", "cls", "isplit", val=0, test=0.2)
 
 @query("w2_two_way_split", f"WITH {ITEMS_BIG}, {TWO_WAY} SELECT item_id, cls, split FROM isplit")
 def w2_two_way(spark, sf_dir):
-    frame = B.stored_items(spark, sf_dir, big=True)
+    frame = B.split_items(spark, sf_dir, big=True)
     return S.itemwise_split(frame, "item_id", "cls", val=0, test=0.2).select(
         "item_id", "cls", "split"
     )
@@ -107,9 +107,9 @@ FROM o"""
 
 @query("g24_leakage_report", REPORT_SQL)
 def g24(spark, sf_dir):
-    frame = B.stored_items(spark, sf_dir)
-    by_item = S.itemwise_split(frame, "item_id", "cls", classes=B.LANGS)
-    by_group = S.grouped_split(frame, "group_id", "cls", classes=B.LANGS)
+    frame = B.split_items(spark, sf_dir)
+    by_item = S.itemwise_split(frame, "item_id", "cls")
+    by_group = S.grouped_split(frame, "group_id", "cls")
     return S.leakage_report(by_item, by_group, "group_id", "cls").select(
         "method", "split", "cls", "items", "leaked", "leaked_pct", "overall_pct", "severe", "verdict"
     )
@@ -133,8 +133,8 @@ def j2(spark, sf_dir):
 SELECT count(*) AS unallocated FROM items WHERE item_id NOT IN (SELECT item_id FROM gsplit)""",
 )
 def j2_anti(spark, sf_dir):
-    frame = B.stored_items(spark, sf_dir, big=True)
-    split = S.grouped_split(frame, "group_id", "cls", classes=B.SEGMENTS)
+    frame = B.split_items(spark, sf_dir, big=True)
+    split = S.grouped_split(frame, "group_id", "cls")
     return S.unallocated(frame, split, "item_id").agg(
         F.count(F.lit(1)).alias("unallocated")
     )
@@ -164,8 +164,8 @@ def x2(spark, sf_dir):
  (SELECT count(*) FROM (SELECT item_id FROM items EXCEPT SELECT item_id FROM gsplit)) AS mismatched""",
 )
 def x4(spark, sf_dir):
-    frame = B.stored_items(spark, sf_dir)
-    split = S.grouped_split(frame, "group_id", "cls", classes=B.LANGS)
+    frame = B.split_items(spark, sf_dir)
+    split = S.grouped_split(frame, "group_id", "cls")
     return S.split_union(frame, split, "item_id")
 
 
@@ -269,7 +269,7 @@ r AS (SELECT item_id, cls, row_number() OVER (PARTITION BY cls
 SELECT draw, item_id, cls FROM h JOIN r USING (cls, rk)""",
 )
 def j7(spark, sf_dir):
-    frame = B.stored_items(spark, sf_dir)
+    frame = B.split_items(spark, sf_dir)
     dim = spark.createDataFrame([(c,) for c in B.LANGS], "cls STRING")
     weights = S.class_weights(frame, "cls", dim)
     draws = frame.select(F.col("item_id").alias("draw"))

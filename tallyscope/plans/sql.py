@@ -75,8 +75,8 @@ def split_cte(
 
 
 VECS = (
-    f"vecs AS (SELECT vec_id, label AS target, list_extract({CODES}, label + 1) AS code, "
-    "CAST(embedding AS DOUBLE[]) AS v FROM embeddings WHERE label < 7)"
+    f"vecs AS (SELECT vec_id, label % 7 AS target, list_extract({CODES}, label % 7 + 1) AS code, "
+    "CAST(embedding AS DOUBLE[]) AS v FROM embeddings)"
 )
 SPLIT_VECS = VECS + "," + split_cte("vecs", "vec_id", "code", "svecs")
 MEANS = """

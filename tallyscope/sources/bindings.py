@@ -9,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from ..functions.basic import literal_array, pin
 from ..functions.scores import linear_logits, softmax
 from ..operators.splits import itemwise_split
-from ..session import stored
 from .taxonomy import CLASS_CODES
 
 LANGS = ("de", "en", "es", "fr")
@@ -40,34 +39,25 @@ def items_big(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def stored_items(spark: SparkSession, sf_dir: str, big: bool = False) -> DataFrame:
-    """Items written once as three narrow columns.
-
-    Splitting and auditing read them several times; hashing whole texts (or joining
-    orders with customers) must not be repeated for each.
-    """
-    frame = items_big(spark, sf_dir) if big else items(spark, sf_dir)
-    return stored(frame, "items")
+def split_items(spark: SparkSession, sf_dir: str, big: bool = False) -> DataFrame:
+    """Items for splitting and auditing: three narrow columns of one scan (and one join)."""
+    return items_big(spark, sf_dir) if big else items(spark, sf_dir)
 
 
 def vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Labelled vectors of the seven classes."""
-    code = F.element_at(literal_array(CLASS_CODES), F.col("label") + 1)
-    return (
-        table(spark, sf_dir, "embeddings")
-        .filter(F.col("label") < len(CLASS_CODES))
-        .select(
-            "vec_id",
-            F.col("label").alias("target"),
-            code.alias("code"),
-            F.col("embedding").cast("array<double>").alias("v"),
-        )
+    """All labelled vectors; the tables' labels are folded onto the seven classes."""
+    target = F.pmod(F.col("label"), F.lit(len(CLASS_CODES)))
+    return table(spark, sf_dir, "embeddings").select(
+        "vec_id",
+        target.alias("target"),
+        F.element_at(literal_array(CLASS_CODES), target + 1).alias("code"),
+        F.col("embedding").cast("array<double>").alias("v"),
     )
 
 
 def split_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
     # Every vector is its own group.
-    return itemwise_split(vecs(spark, sf_dir), "vec_id", "code", classes=CLASS_CODES)
+    return itemwise_split(vecs(spark, sf_dir), "vec_id", "code")
 
 
 def class_means(train: DataFrame) -> DataFrame:

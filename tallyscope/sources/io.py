@@ -7,7 +7,6 @@ from collections.abc import Callable, Sequence
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, functions as F, types as T
 
-from ..operators.ranks import bounded_lookup
 
 # ---- fixed values -----------------------------------------------------------
 REQUIRED_COLUMNS = ("lesion_id", "image_id", "dx")
@@ -97,32 +96,42 @@ def index_files(spark: SparkSession, root: str, exts: Sequence[str] = IMAGE_EXTE
     return index_paths(files.select("path"), "path", exts)
 
 
-def resolve(items: DataFrame, index: DataFrame, on: str) -> tuple[DataFrame, int]:
-    """Items with their index entry; rows without one are dropped and counted."""
-    known = [c for c in index.columns if c != on]
-    joined = items.join(index, on, "left")
-    missing = F.col(known[0]).isNull()
-    dropped = joined.filter(missing).count()
-    return joined.filter(~missing), dropped
+def located(items: DataFrame, index: DataFrame, on: str) -> DataFrame:
+    """Items with their index entry and ``found``: whether there is one (its values may be null)."""
+    marked = index.withColumn("found", F.lit(True))
+    return items.join(marked, on, "left").withColumn("found", F.coalesce("found", F.lit(False)))
+
+
+def resolve(items: DataFrame, index: DataFrame, on: str) -> tuple[DataFrame, Observation]:
+    """Items with their index entry; rows without one go.
+
+    How many went is observed (``dropped``) in the pass that reads the result.
+    """
+    seen = Observation()
+    joined = located(items, index, on).observe(seen, F.count_if(~F.col("found")).alias("dropped"))
+    return joined.filter("found").drop("found"), seen
 
 
 # --------------------------------------------------------------------- labels
 
 
 def unknown_codes(items: DataFrame, classes: DataFrame, code: str) -> DataFrame:
-    """Observed codes that the class dimension does not have."""
-    return items.select(code).distinct().join(bounded_lookup(classes.select(code)), code, "left_anti")
+    """Observed codes that the class dimension does not have, null among them."""
+    known = classes.select(F.col(code).alias("_known"))
+    return items.select(code).distinct().join(known, F.col(code).eqNullSafe(F.col("_known")), "left_anti")
 
 
 def encode_class(items: DataFrame, classes: DataFrame, code: str, strict: bool = True) -> DataFrame:
-    """Add ``label`` from the (small) class dimension; unknown codes are an error."""
+    """Add ``label`` from the class dimension; a code it lacks, or none, is an error."""
     if strict:
-        # Reported up to a bound: a column of the wrong kind may hold any number of them.
-        bad = sorted(r[0] for r in unknown_codes(items, classes, code).limit(20).collect() if r[0] is not None)
-        if bad:
-            raise ValueError(f"Unexpected codes in metadata: {bad}")
+        bad = unknown_codes(items, classes, code).agg(
+            F.count(F.lit(1)).alias("n"),
+            F.array_join(F.sort_array(F.collect_list(F.coalesce(F.col(code).cast("string"), F.lit("NULL")))), ", ").alias("codes"),
+        ).first()
+        if bad["n"]:
+            raise ValueError(f"{bad['n']} codes without a class: {bad['codes']}")
     dim = classes.select(code, F.col("class_idx").alias("label"))
-    return items.join(bounded_lookup(dim), code, "left")
+    return items.join(dim, code, "left")
 
 
 # ---------------------------------------------------------------------- images

@@ -64,7 +64,21 @@ def test_first_extension_wins_and_resolution_counts(spark, tmp_path):
     assert set(got) == {"x", "y"} and got["x"].endswith("a/x.jpg")
     items = spark.createDataFrame([("x",), ("q",)], "stem STRING")
     kept, dropped = IO.resolve(items, index, "stem")
-    assert kept.count() == 1 and dropped == 1
+    assert kept.count() == 1 and dropped.get == {"dropped": 1}
+
+
+def test_a_match_without_values_is_no_miss(spark):
+    items = spark.createDataFrame([("x",), ("q",), ("z",)], "stem STRING")
+    index = spark.createDataFrame([("x", None), ("z", "there")], "stem STRING, path STRING")
+    kept, dropped = IO.resolve(items, index, "stem")
+    assert {r["stem"]: r["path"] for r in kept.collect()} == {"x": None, "z": "there"}
+    assert dropped.get == {"dropped": 1}
+
+
+def test_missing_codes_and_all_unknown_ones_are_named(spark):
+    items = spark.createDataFrame([("1", None), *[(str(i), f"z{i}") for i in range(30)]], "item STRING, code STRING")
+    with pytest.raises(ValueError, match="^31 codes.*NULL.*z29"):
+        IO.encode_class(items, classes(spark), "code")
 
 
 def test_images_decode_and_broken_ones_are_set_aside(spark, tmp_path):

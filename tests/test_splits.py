@@ -45,9 +45,17 @@ def reference_split(pairs, val=0.15, test=0.15, seed=42):
     return out
 
 
-@pytest.mark.parametrize("classes", [None, ("big", "small", "tiny")])
-def test_grouped_split_equals_plain_sort(skewed, classes):
-    got = S.grouped_split(skewed, "grp", "cls", classes=classes).collect()
+def test_every_class_and_the_null_class_are_split(spark):
+    frame = rows(spark, [(f"i{i}", f"g{i}", None if i % 2 else "it") for i in range(60)])
+    for split in (S.grouped_split(frame, "grp", "cls"), S.itemwise_split(frame, "item", "cls")):
+        got = Counter((r["cls"], r["split"]) for r in split.collect())
+        assert got == {(c, s): n for c in (None, "it") for s, n in (("test", 4), ("val", 4), ("train", 22))}
+    picked = Counter(r["cls"] for r in S.sample_per_class(frame, "item", "cls", 7).collect())
+    assert picked == {None: 7, "it": 7}
+
+
+def test_grouped_split_equals_plain_sort(skewed):
+    got = S.grouped_split(skewed, "grp", "cls").collect()
     want = reference_split((r["cls"], r["grp"]) for r in got)
     assert len(got) == 1202
     assert all(r["split"] == want[r["cls"], r["grp"]] for r in got)
