@@ -185,6 +185,19 @@ LIMIT_GEOMETRY = (
     "Automatic lesion segmentation was unreliable for this image, so all geometric measurements "
     "are approximate."
 )
+LIMIT_WITHHELD = (
+    "This image was judged not to be a dermoscopic photograph of skin, so classification was "
+    "withheld rather than reported as a random guess."
+)
+ATTENTION_INSIDE = (
+    "Grad-CAM places %.0f%% of its activation inside the segmented lesion, so the prediction is "
+    "anchored to the lesion itself."
+)
+ATTENTION_OUTSIDE = (
+    "Only %.0f%% of Grad-CAM activation falls inside the segmented lesion. The prediction may be "
+    "responding to background skin, hair or frame artefacts rather than the lesion, and should be "
+    "weighted accordingly."
+)
 LIMIT_UNTRAINED = "No trained model weights were loaded. Classification output is random."
 ADVICE_ACTION = "%s (%s)."
 ADVICE_CLASS = "Class-specific guidance: %s"

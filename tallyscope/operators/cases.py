@@ -10,7 +10,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.basic import ratio
 from ..sources.taxonomy import CLASS_CODES, TIERS
@@ -78,21 +78,33 @@ def current(log: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
 
     ``columns`` limits what the aggregation carries (leave the payload out of lists).
     """
+    return _versions(log, columns).drop("note_seq")
+
+
+def _versions(log: DataFrame, columns: Sequence[str] | None = None) -> DataFrame:
+    """Current cases with ``note_seq``, the record their note came with.
+
+    Only numbers are aggregated: the last record and the last note of each id. The rows
+    themselves are found by (id, seq), which spreads an id with very many versions; a
+    record that was delivered twice counts once.
+    """
     wanted = list(columns or [c for c in log.columns if c not in ("seq", "op", "notes")])
     carried = [c for c in dict.fromkeys([*wanted]) if c not in ("id", "notes")]
     is_note = F.col("op") == "note"
-    state = F.struct("seq", "op", *carried)
-    latest = log.groupBy("id").agg(
-        F.max_by(F.when(~is_note, state), F.when(~is_note, F.col("seq"))).alias("_s"),
-        F.max_by(
-            F.when(is_note, F.struct("seq", "notes")), F.when(is_note, F.col("seq"))
-        ).alias("_n"),
-    )
-    note = F.when(F.col("_n.seq") > F.col("_s.seq"), F.col("_n.notes"))
-    return latest.filter(F.col("_s.op") == "upsert").select(
-        "id", F.col("_s.seq").alias("seq"), *[F.col(f"_s.{c}").alias(c) for c in carried],
-        note.alias("notes"),
+    last = log.groupBy("id").agg(
+        F.max(F.when(~is_note, F.col("seq"))).alias("_seq"), F.max(F.when(is_note, F.col("seq"))).alias("_note_seq")
     )
+    once = W.partitionBy("id").orderBy("seq")
+
+    def at(rows: DataFrame, which: str) -> DataFrame:
+        keys = last.select(F.col("id").alias("_id"), which, "_note_seq" if which == "_seq" else "_seq")
+        found = rows.join(keys, (F.col("id") == F.col("_id")) & (F.col("seq") == F.col(which)))
+        return found.withColumn("_copy", F.row_number().over(once)).filter("_copy = 1")
+
+    state = at(log.filter(~is_note).select("id", "seq", "op", *carried), "_seq").filter("op = 'upsert'")
+    notes = at(log.filter(is_note).select("id", "seq", "notes"), "_note_seq").filter("seq > _seq")
+    notes = notes.select(F.col("id").alias("_of"), "notes", F.col("seq").alias("note_seq"))
+    return state.join(notes, F.col("id") == F.col("_of"), "left").select("id", "seq", *carried, "notes", "note_seq")
 
 
 def get(log: DataFrame, case_id: str) -> DataFrame:
@@ -231,12 +243,12 @@ def attach_thumbnail(cases: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- storage
 
 
-def write_log(rows: DataFrame, path: str) -> None:
+def write_log(rows: DataFrame, path: str, mode: str = "append") -> None:
     """Append to a log stored as Parquet, by day; rows of one day are sorted by id."""
     (
         rows.withColumn("day", F.to_date(F.coalesce("created_at", F.current_timestamp())))
         .sortWithinPartitions("day", "id")
-        .write.mode("append")
+        .write.mode(mode)
         .partitionBy("day")
         .parquet(path)
     )
@@ -247,7 +259,7 @@ def read_log(spark: SparkSession, path: str) -> DataFrame:
 
 
 def compact(log: DataFrame, path: str) -> None:
-    """Write the current state as a fresh log of plain upserts and notes."""
-    cases = current(log)
-    notes = cases.filter("notes IS NOT NULL").select("id", (F.col("seq") + 1).alias("seq"), "notes")
-    write_log(append_notes(append_upserts(None, cases), notes), path)
+    """Write the current state as a fresh log of plain upserts and notes; path must be new."""
+    cases = _versions(log)
+    notes = cases.filter("note_seq IS NOT NULL").select("id", F.col("note_seq").alias("seq"), "notes")
+    write_log(append_notes(append_upserts(None, cases.drop("note_seq")), notes), path, mode="error")

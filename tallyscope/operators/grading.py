@@ -216,7 +216,7 @@ def _drivers(trained: bool) -> Column:
                 tds >= TDS_SUSPICIOUS, points("morphology"),
             ),
             entry(
-                F.col("entropy").isNotNull() & F.lit(trained), "Prediction stability",
+                F.col("entropy").isNotNull() & usable, "Prediction stability",
                 F.format_string(
                     T.DRIVER_STABILITY, F.col("stability"), F.col("entropy"),
                     F.rint(F.col("agreement") * 100.0),
@@ -333,14 +333,15 @@ def _labels(names: Mapping[str, str], present: Column) -> Column:
     return F.concat_ws(", ", F.transform(present, lambda n: F.coalesce(table[n], n)))
 
 
-def narrative(
-    graded: DataFrame, trained: bool = True, limitations: Sequence[str] = ()
-) -> DataFrame:
+def narrative(graded: DataFrame, limitations: Sequence[str] = ()) -> DataFrame:
     """Report sections as text columns, from an already graded table.
 
-    ``limitations`` are extra, data-specific statements put first.
+    Whether the scores may be spoken of is each record's own ``neural_usable``; without it
+    no class is named. ``attention`` is the share of evidence inside the outline (from 0.5
+    on it speaks for the prediction). ``limitations`` are extra statements put first.
     """
     df = graded
+    usable = F.col("neural_usable")
     for name in ("colors", "structures"):
         if name not in df.columns:
             df = df.withColumn(name, F.lit(None).cast("array<string>"))
@@ -348,17 +349,19 @@ def narrative(
     name = _pick([CLASS_NAMES[c] for c in CLASS_CODES], idx)
     pct = F.col("confidence") * 100.0
     say = F.format_string
-    if trained:
-        impression = say(
-            T.IMPRESSION, name, pct, F.col("tier"), F.rint("score"), F.col("recommendation"),
-            F.col("timeframe"),
-        )
-        lead = say(T.SUMMARY_SCORES, name, pct, F.col("malignant_probability") * 100.0)
-    else:
-        impression = F.when(F.col("non_domain"), T.IMPRESSION_OUT_OF_DOMAIN).otherwise(
-            say(T.IMPRESSION_UNTRAINED, F.lower(F.replace("tier", F.lit("_"), F.lit(" "))))
+    impression = (
+        F.when(
+            usable,
+            say(T.IMPRESSION, name, pct, F.col("tier"), F.rint("score"), F.col("recommendation"), F.col("timeframe")),
         )
-        lead = F.when(F.col("non_domain"), T.SUMMARY_OUT_OF_DOMAIN).otherwise(T.SUMMARY_UNTRAINED)
+        .when(F.col("non_domain"), T.IMPRESSION_OUT_OF_DOMAIN)
+        .otherwise(say(T.IMPRESSION_UNTRAINED, F.lower(F.replace("tier", F.lit("_"), F.lit(" ")))))
+    )
+    lead = (
+        F.when(usable, say(T.SUMMARY_SCORES, name, pct, F.col("malignant_probability") * 100.0))
+        .when(F.col("non_domain"), T.SUMMARY_OUT_OF_DOMAIN)
+        .otherwise(T.SUMMARY_UNTRAINED)
+    )
     tds = F.col("tds")
     summary = F.concat_ws(
         " ",
@@ -368,7 +371,7 @@ def narrative(
             say(T.SUMMARY_MORPHOLOGY, tds, F.replace(tds_band(tds), F.lit("_"), F.lit(" "))),
         ),
         F.when(
-            F.col("entropy").isNotNull() & F.lit(trained),
+            F.col("entropy").isNotNull() & usable,
             say(
                 T.SUMMARY_STABILITY, F.col("stability"), F.rint(F.col("agreement") * 100.0),
                 F.col("entropy"),
@@ -415,18 +418,20 @@ def narrative(
     names, about = (
         literal_array([d[c] for c in CLASS_CODES]) for d in (CLASS_NAMES, DESCRIPTIONS)
     )
-    differential = (
-        F.transform(
-            best,
-            lambda e: F.format_string(
-                T.DIFFERENTIAL, F.element_at(names, e["i"] + 1), e["p"] * 100.0,
-                F.element_at(about, e["i"] + 1),
-            ),
-        )
-        if trained
-        else F.array().cast("array<string>")
+    ranked = F.transform(
+        best,
+        lambda e: F.format_string(
+            T.DIFFERENTIAL, F.element_at(names, e["i"] + 1), e["p"] * 100.0, F.element_at(about, e["i"] + 1)
+        ),
     )
+    differential = F.when(usable, ranked).otherwise(F.array().cast("array<string>"))
+    inside = F.col("attention") if "attention" in df.columns else F.lit(None).cast("double")
     explanation = F.concat(
+        texts(
+            F.when(inside >= 0.5, say(T.ATTENTION_INSIDE, F.rint(inside * 100.0))).when(
+                inside < 0.5, say(T.ATTENTION_OUTSIDE, F.rint(inside * 100.0))
+            )
+        ),
         F.transform("drivers", lambda d: F.concat_ws(": ", d["label"], d["detail"])),
         F.transform("overrides", lambda o: F.concat(F.lit("Grading override - "), o)),
     )
@@ -436,13 +441,11 @@ def narrative(
         F.lit(T.LIMIT_STRUCTURES),
         F.when(F.col("blocking"), T.LIMIT_QUALITY),
         F.when(~F.col("reliable"), T.LIMIT_GEOMETRY),
-        F.when(F.lit(not trained) & ~F.col("non_domain"), T.LIMIT_UNTRAINED),
+        F.when(~usable & F.col("non_domain"), T.LIMIT_WITHHELD).when(~usable, T.LIMIT_UNTRAINED),
     )
     advice = texts(
         say(T.ADVICE_ACTION, F.col("recommendation"), F.col("timeframe")),
-        F.when(
-            F.lit(trained), say(T.ADVICE_CLASS, _pick([MANAGEMENT[c] for c in CLASS_CODES], idx))
-        ),
+        F.when(usable, say(T.ADVICE_CLASS, _pick([MANAGEMENT[c] for c in CLASS_CODES], idx))),
         F.when(
             F.col("requires_human_review"),
             F.when(

@@ -199,9 +199,11 @@ def p18(spark, sf_dir):
 
 @query(
     "p22_narrative",
-    GRADED + f""" SELECT vec_id, printf({lit(T.IMPRESSION)}, name, conf * 100, tier, score, action, timeframe) AS impression,
- concat_ws(' ', printf({lit(T.SUMMARY_SCORES)}, name, conf * 100, mp * 100), printf({lit(T.SUMMARY_MORPHOLOGY)}, tds, {BAND}),
-  printf({lit(T.SUMMARY_STABILITY)}, stability, agreement * 100, ent)) AS summary FROM gt""",
+    GRADED + f""" SELECT vec_id, CASE WHEN usable THEN printf({lit(T.IMPRESSION)}, name, conf * 100, tier, score, action, timeframe)
+  WHEN NOT in_domain THEN {lit(T.IMPRESSION_OUT_OF_DOMAIN)} ELSE printf({lit(T.IMPRESSION_UNTRAINED)}, lower(replace(tier, '_', ' '))) END AS impression,
+ concat_ws(' ', CASE WHEN usable THEN printf({lit(T.SUMMARY_SCORES)}, name, conf * 100, mp * 100)
+  WHEN NOT in_domain THEN {lit(T.SUMMARY_OUT_OF_DOMAIN)} ELSE {lit(T.SUMMARY_UNTRAINED)} END, printf({lit(T.SUMMARY_MORPHOLOGY)}, tds, {BAND}),
+  CASE WHEN usable THEN printf({lit(T.SUMMARY_STABILITY)}, stability, agreement * 100, ent) END) AS summary FROM gt""",
 )
 def p22(spark, sf_dir):
     return G.narrative(graded(spark, sf_dir)).select("vec_id", "impression", "summary")

@@ -5,6 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.errors import AnalysisException
 from pyspark.sql import functions as F
 
 from tallyscope.operators import cases as C
@@ -143,3 +144,18 @@ def test_spans_do_not_change_the_previous_capture(spark):
     plain = CH.previous_capture(df, "subject", "ts", ["v"]).select("v", "prev.v").collect()
     spans = CH.previous_capture(df, "subject", "ts", ["v"], span="day").select("v", "prev.v").collect()
     assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, spans), key=str)
+
+
+def test_records_delivered_twice_and_notes_after_compaction(spark, tmp_path):
+    rows = spark.createDataFrame([("a", 1), ("b", 1)], "id STRING, seq BIGINT")
+    log = C.append_upserts(C.append_upserts(None, rows), rows)
+    log = C.append_note(C.append_note(log, "a", 3, "first"), "a", 5, "second")
+    C.compact(log, str(tmp_path / "log"))
+    fresh = C.read_log(spark, str(tmp_path / "log"))
+    later = C.append_note(fresh, "a", 4, "between")
+    for state in (log, fresh, later):
+        assert {r["id"]: (r["seq"], r["notes"]) for r in C.current(state).collect()} == {"a": (1, "second"), "b": (1, None)}
+    plan = C.current(fresh)._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate" not in plan and "HashAggregate" in plan
+    with pytest.raises(AnalysisException):
+        C.compact(log, str(tmp_path / "log"))

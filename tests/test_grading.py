@@ -97,6 +97,21 @@ def test_drivers_and_narrative(spark):
     assert "D=0/5" in " ".join(r["findings"]) and r["impression"].startswith("Melanoma favoured at 80.0%")
 
 
+def test_narrative_names_no_class_without_usable_scores(spark):
+    rows = [(1, vector(mel=0.8), True, 0.7), (2, vector(mel=0.8), False, 0.2)]
+    df = spark.createDataFrame(rows, "item INT, probs ARRAY<DOUBLE>, in_domain BOOLEAN, attention DOUBLE")
+    usable, foreign = G.narrative(G.grade(df)).orderBy("item").collect()
+    assert usable["impression"].startswith("Melanoma favoured at 80.0%")
+    assert usable["explanation"][0].startswith("Grad-CAM places 70%")
+    assert foreign["impression"].startswith("Automated classification unavailable: this image")
+    assert foreign["summary"].startswith("This image does not appear") and foreign["differential"] == []
+    assert not any("Class-specific" in t for t in foreign["advice"])
+    assert foreign["limitations"][-1].endswith("withheld rather than reported as a random guess.")
+    assert foreign["explanation"][0].startswith("Only 20%")
+    (untrained,) = G.narrative(G.grade(df.filter("item = 1"), trained=False)).collect()
+    assert "no trained weights" in untrained["impression"] and untrained["limitations"][-1].startswith("No trained model")
+
+
 def test_malignancy_sum(spark):
     from tallyscope.functions.scores import malignant_sum
     from tallyscope.sources.taxonomy import MALIGNANT_FLAGS
