@@ -24,6 +24,9 @@ FLAT_STD, FLAT_SHARE = 6.0, 0.30
 COLOR_NAMES = ("white", "red", "light_brown", "dark_brown", "blue_gray", "black")
 # ---- end of fixed values ----------------------------------------------------
 
+# Whole numbers wider than 64 bits.
+WIDE = "decimal(38,0)"
+
 
 def _color_rules() -> dict[str, Column]:
     light, a, b = F.col("lightness"), F.col("a_star"), F.col("b_star")
@@ -87,15 +90,20 @@ def otsu(df: DataFrame, key: str, value: str) -> DataFrame:
         F.sum("n").over(upto).alias("_n1"), F.sum(mass).over(upto).alias("_s1"),
         F.sum("n").over(whole).alias("_n"), F.sum(mass).over(whole).alias("_s"),
     )
-    best = F.max(F.struct(_between().alias("v"), (-F.col("bin")).alias("neg")))
+    best = F.max(F.struct(_between(WIDE).alias("v"), (-F.col("bin")).alias("neg")))
     return sums.groupBy(key).agg(best.alias("_b")).select(
         key, (-F.col("_b.neg")).alias("threshold"), F.col("_b.v").alias("spread")
     )
 
 
-def _between() -> Column:
-    """Between-class variance (up to a constant) from whole-number sums."""
-    apart = (F.col("_n") * F.col("_s1") - F.col("_n1") * F.col("_s")).cast("double")
+def _between(kind: str = "long") -> Column:
+    """Between-class variance (up to a constant) from whole-number sums of this kind.
+
+    Within an image (at most some 10^9 pixels) products fit in 64 bits; the rows of any other
+    key need not.
+    """
+    n, s1, n1, s = (F.col(c).cast(kind) for c in ("_n", "_s1", "_n1", "_s"))
+    apart = (n * s1 - n1 * s).cast("double")
     weight = F.col("_n1").cast("double") * (F.col("_n") - F.col("_n1"))
     return F.coalesce(F.try_divide(apart * apart, weight), F.lit(0.0))
 
@@ -167,17 +175,23 @@ def mask_geometry(px: DataFrame) -> DataFrame:
     ).drop("w")
 
 
+def _central(n: Column, pair: Column, first: Column, second: Column) -> Column:
+    """n times a sum of products less the product of sums, in decimals: on large masks the
+    products leave 64 bits."""
+    return n.cast(WIDE) * pair.cast(WIDE) - first.cast(WIDE) * second.cast(WIDE)
+
+
 def mask_moments(px: DataFrame) -> DataFrame:
     """Whole-number coordinate sums of the mask, the base of axes and eccentricity."""
     y, x = F.col("y").cast("long"), F.col("x").cast("long")
-    return px.filter("is_mask").groupBy("image_id").agg(
+    sums = px.filter("is_mask").groupBy("image_id").agg(
         F.count(F.lit(1)).alias("n"), F.sum(x).alias("sx"), F.sum(y).alias("sy"),
         F.sum(x * x).alias("sxx"), F.sum(y * y).alias("syy"), F.sum(x * y).alias("sxy"),
-    ).select(
-        "image_id", "n", "sx", "sy",
-        (F.col("n") * F.col("sxx") - F.col("sx") * F.col("sx")).alias("vxx"),
-        (F.col("n") * F.col("syy") - F.col("sy") * F.col("sy")).alias("vyy"),
-        (F.col("n") * F.col("sxy") - F.col("sx") * F.col("sy")).alias("vxy"),
+    )
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in ("n", "sx", "sy", "sxx", "syy", "sxy"))
+    return sums.select(
+        "image_id", "n", "sx", "sy", _central(n, sxx, sx, sx).alias("vxx"),
+        _central(n, syy, sy, sy).alias("vyy"), _central(n, sxy, sx, sy).alias("vxy"),
     )
 
 
@@ -190,27 +204,32 @@ def with_moments(px: DataFrame) -> DataFrame:
         "_syy": F.sum(y * y), "_sxy": F.sum(x * y),
     }
     inside = px.filter("is_mask").withColumns({c: v.over(whole) for c, v in sums.items()})
-    n, sx, sy = (F.col(c) for c in ("n", "sx", "sy"))
+    n, sx, sy, sxx, syy, sxy = (F.col(c) for c in sums)
     return inside.withColumns(
-        {
-            "vxx": n * F.col("_sxx") - sx * sx, "vyy": n * F.col("_syy") - sy * sy,
-            "vxy": n * F.col("_sxy") - sx * sy,
-        }
+        {"vxx": _central(n, sxx, sx, sx), "vyy": _central(n, syy, sy, sy), "vxy": _central(n, sxy, sx, sy)}
     ).drop("_sxx", "_syy", "_sxy")
 
 
+def every_image(px: DataFrame, found: DataFrame, **empty: Column) -> DataFrame:
+    """``found`` with a row for images whose mask is empty too: there the values in ``empty``."""
+    ids = px.select("image_id").distinct()
+    columns = [F.coalesce(F.col(name), value).alias(name) for name, value in empty.items()]
+    return ids.join(found, "image_id", "left").select("image_id", *columns)
+
+
 def eccentricity(px: DataFrame) -> DataFrame:
     """From the second moments (the ellipse of equal moments)."""
     m = mask_moments(px)
     xx, yy, xy = (F.col(c).cast("double") for c in ("vxx", "vyy", "vxy"))
     root = F.sqrt((xx - yy) * (xx - yy) + 4.0 * xy * xy)
     major, minor = xx + yy + root, xx + yy - root
-    return m.select(
+    found = m.select(
         "image_id",
         F.when(major <= 0, 0.0).otherwise(
             F.sqrt(F.greatest(F.lit(0.0), 1.0 - F.try_divide(minor, major)))
         ).alias("eccentricity"),
     )
+    return every_image(px, found, eccentricity=F.lit(0.0))
 
 
 # ------------------------------------------------------------------ asymmetry
@@ -259,11 +278,13 @@ def asymmetry(px: DataFrame) -> DataFrame:
             2.0 * F.sum("gray"),
         ).alias("color"),
     )
-    return per_axis.groupBy("image_id").agg(
+    found = per_axis.groupBy("image_id").agg(
         F.count_if(F.greatest("shape", "color") > ASYMMETRY_CUT).alias("a"),
         clip(F.avg("shape"), 0.0, 1.0).alias("shape_index"),
         clip(F.avg("color"), 0.0, 1.0).alias("color_index"),
     )
+    none = F.lit(0.0)
+    return every_image(px, found, a=F.lit(0).cast("long"), shape_index=none, color_index=none)
 
 
 # --------------------------------------------------------------------- border
@@ -296,7 +317,7 @@ def border(px: DataFrame) -> DataFrame:
         .when(dy < 0, 7)
         .otherwise(0)
     )
-    radius = F.sqrt((dx * dx + dy * dy).cast("double")) / F.col("n")
+    radius = F.sqrt(F.pow(dx.cast("double"), 2) + F.pow(dy.cast("double"), 2)) / F.col("n")
     per_sector = rim.select("image_id", sector.alias("sector"), radius.alias("rad")).groupBy(
         "image_id", "sector"
     ).agg(F.count(F.lit(1)).alias("k"), F.sum("rad").alias("sum"), F.stddev_pop("rad").alias("sd"))
@@ -315,11 +336,12 @@ def border(px: DataFrame) -> DataFrame:
     mean_variation = ratio(
         F.aggregate("_v", F.lit(0.0), lambda acc, v: acc + v), F.size("_v").cast("double")
     )
-    return image.select(
+    found = image.select(
         "image_id",
         F.size(F.filter("_v", lambda v: v > SECTOR_CUT)).alias("b"),
         clip(mean_variation / IRREGULARITY_SCALE, 0.0, 1.0).alias("irregularity"),
     )
+    return every_image(px, found, b=F.lit(0), irregularity=F.lit(0.0))
 
 
 # -------------------------------------------------------------------- colours
@@ -335,29 +357,34 @@ def colors_present(px: DataFrame, min_share: float = MIN_COLOR_SHARE) -> DataFra
     present = F.array_compact(
         F.array(*[F.when(F.col(f"_{n}") >= min_share, F.lit(n)) for n in COLOR_NAMES])
     )
-    return shares.select("image_id", present.alias("colors")).withColumn("c", F.size("colors"))
+    found = every_image(px, shares.select("image_id", present.alias("colors")), colors=F.array().cast("array<string>"))
+    return found.withColumn("c", F.size("colors"))
 
 
 def veil_fraction(px: DataFrame) -> DataFrame:
     light = F.col("lightness")
     veil = (F.col("b_star") < -4) & (light > 35) & (light < 75)
-    return with_lab(px.filter("is_mask")).groupBy("image_id").agg(
+    found = with_lab(px.filter("is_mask")).groupBy("image_id").agg(
         F.avg(F.when(veil, 1.0).otherwise(0.0)).alias("veil")
     )
+    return every_image(px, found, veil=F.lit(0.0))
 
 
 def color_variance(px: DataFrame) -> DataFrame:
     """Mean over the channels of their deviation inside the mask."""
     spread = (F.stddev_pop("r") + F.stddev_pop("g") + F.stddev_pop("b")) / 3.0
-    return px.filter("is_mask").groupBy("image_id").agg(spread.alias("color_variance"))
+    found = px.filter("is_mask").groupBy("image_id").agg(spread.alias("color_variance"))
+    return every_image(px, found, color_variance=F.lit(0.0))
 
 
 def structureless(px: DataFrame, size: int = 15) -> DataFrame:
     """Share of the mask whose Gaussian-weighted neighbourhood hardly varies."""
     flat = local_std(with_gray(px), gaussian_weights(size)).filter("is_mask")
-    return flat.groupBy("image_id").agg(
+    found = flat.groupBy("image_id").agg(
         F.avg(F.when(F.col("local_std") < FLAT_STD, 1.0).otherwise(0.0)).alias("flat_share")
-    ).withColumn("structureless", F.col("flat_share") > FLAT_SHARE)
+    )
+    shares = every_image(px, found, flat_share=F.lit(0.0))
+    return shares.withColumn("structureless", F.col("flat_share") > FLAT_SHARE)
 
 
 def surround_contrast(px: DataFrame, size: int = 31) -> DataFrame:

@@ -153,3 +153,28 @@ def test_gradient_blocks_have_unit_length(px):
     assert len(rows) == 2 * 2 * 2 and all(len(r["features"]) == 32 for r in rows)
     for r in rows:
         assert math.sqrt(sum(v * v for v in r["features"])) == pytest.approx(1.0, abs=1e-3)
+
+
+def test_empty_masks_keep_their_image(px):
+    masked = px.withColumn("is_mask", (F.col("image_id") == "blob") & (F.col("x") > 3))
+    both = {"noise", "blob"}
+    none = {
+        RS.asymmetry: {"a": 0, "shape_index": 0.0, "color_index": 0.0}, RS.border: {"b": 0, "irregularity": 0.0},
+        RS.colors_present: {"colors": [], "c": 0}, RS.veil_fraction: {"veil": 0.0}, RS.color_variance: {"color_variance": 0.0},
+        RS.structureless: {"flat_share": 0.0, "structureless": False}, RS.eccentricity: {"eccentricity": 0.0},
+    }
+    for measure, want in none.items():
+        got = {r["image_id"]: r.asDict() for r in measure(masked).collect()}
+        assert set(got) == both and got["noise"] == {"image_id": "noise", **want}
+
+
+def test_large_full_mask_and_wide_sums(spark):
+    side = 2000
+    full = spark.range(side * side).select(
+        F.lit("all").alias("image_id"), (F.col("id") / side).cast("int").alias("y"), (F.col("id") % side).cast("int").alias("x"),
+        F.lit(True).alias("is_mask"),
+    )
+    assert RS.eccentricity(full).first()["eccentricity"] == pytest.approx(0.0, abs=1e-6)
+    sums = spark.createDataFrame([(5 * 10**8, 10**10, 10**9, 2 * 10**11)], "_n1 LONG, _s1 LONG, _n LONG, _s LONG")
+    apart = 10**9 * 10**10 - 5 * 10**8 * 2 * 10**11
+    assert sums.select(RS._between(RS.WIDE)).first()[0] == pytest.approx(apart**2 / (5 * 10**8) ** 2)

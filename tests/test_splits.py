@@ -118,13 +118,6 @@ def test_class_ranks_cover_each_class(skewed):
         assert [p[1] for p in ordered] == sorted(p[1] for p in pairs)
 
 
-def test_lookup_beyond_its_bound_is_not_broadcast(spark):
-    dim = spark.range(50).withColumnRenamed("id", "k")
-    big = spark.range(1000).withColumnRenamed("id", "k")
-    assert big.join(ranks.bounded_lookup(dim, 10), "k").count() == 50
-    assert ranks.bounded_lookup(dim, 10) is dim
-
-
 def test_sample_per_class_counts(skewed):
     got = Counter(r["cls"] for r in S.sample_per_class(skewed, "item", "cls", 5).collect())
     assert got == {"big": 5, "small": 5, "tiny": 2}
