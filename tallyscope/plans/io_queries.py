@@ -6,8 +6,6 @@ checkpoint folder first.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import functions as F
 
 from ..operators import cases as C
@@ -20,7 +18,7 @@ from ..streaming import triage as ST
 from ..functions.scores import linear_logits, softmax
 from .grading_queries import parts_sql
 from .registry import query
-from .score_queries import COMPARISON_METRICS, r6
+from .score_queries import COMPARISON_METRICS, SUMMARY_SQL, r6
 from .sql import CASES, CLASSES, PREDS, TIERS_CTE, VECS
 
 
@@ -181,14 +179,17 @@ def a12(spark, sf_dir):
     return rows.select(F.col("document").isNotNull().alias("found"), F.length("document").alias("chars"))
 
 
-@query("a13_result_documents")
+@query("a13_result_documents", SUMMARY_SQL)
 def a13(spark, sf_dir):
     folder = scratch(spark, "evaluation")
     IO.write_artifact(M.summary(B.probs(spark, sf_dir)), folder)
     return spark.read.json(folder)
 
 
-@query("a14_feature_cache")
+@query(
+    "a14_feature_cache",
+    f"WITH {VECS} SELECT code, count(*) AS n, count(*) AS again FROM vecs GROUP BY code",
+)
 def a14(spark, sf_dir):
     folder = scratch(spark, "features")
     first = IO.cached(spark, folder, lambda: B.vecs(spark, sf_dir))
@@ -266,6 +267,6 @@ def t2(spark, sf_dir):
     v = F.col("value")
     tier = F.when(v >= 150, "CRITICAL").when(v >= 75, "HIGH").when(v >= 25, "MODERATE").otherwise("LOW")
     cases = events.select(tier.alias("tier"), (v / (v + 50)).alias("confidence"), (v >= 75).alias("requires_review"))
-    name = f"live_{uuid.uuid4().hex}"
-    ST.live_stats(cases, name, scratch(spark, "offsets")).awaitTermination()
-    return spark.table(name).select("tier", "n", "flagged", r6("mean_confidence", "mean_confidence"))
+    table = scratch(spark, "live")
+    ST.live_stats(cases, table, scratch(spark, "offsets")).awaitTermination()
+    return ST.latest_stats(spark, table).select("tier", "n", "flagged", r6("mean_confidence", "mean_confidence"))

@@ -200,12 +200,12 @@ def g12(spark, sf_dir):
     return M.per_class(counts).drop("class_idx", "tp", "predicted")
 
 
-@query(
-    "g13_summary",
-    PER_CLASS + """ SELECT CAST(sum(support) AS BIGINT) AS items, round_even(sum(tp) / sum(support), 4) AS accuracy,
+SUMMARY_SQL = PER_CLASS + """ SELECT CAST(sum(support) AS BIGINT) AS items, round_even(sum(tp) / sum(support), 4) AS accuracy,
  round_even(avg(recall), 4) AS balanced_accuracy, round_even(avg(f1), 4) AS macro_f1,
- round_even(sum(f1 * support) / sum(support), 4) AS weighted_f1 FROM pc""",
-)
+ round_even(sum(f1 * support) / sum(support), 4) AS weighted_f1 FROM pc"""
+
+
+@query("g13_summary", SUMMARY_SQL)
 def g13(spark, sf_dir):
     return M.summary(B.probs(spark, sf_dir))
 

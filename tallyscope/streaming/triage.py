@@ -67,14 +67,28 @@ def tier_counts(cases: DataFrame) -> DataFrame:
     )
 
 
-def live_stats(source: DataFrame, name: str, checkpoint: str) -> StreamingQuery:
-    """Running case statistics by tier; the result table has one row per tier."""
+def live_stats(source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
+    """Running case statistics by tier, written as one version of a table per micro-batch.
+
+    Counts live in the stream's state store and results in shared storage, so neither is
+    lost with the driver; a batch that is run again replaces its own version.
+    """
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+
     return (
         tier_counts(source)
         .writeStream.outputMode("complete")
-        .format("memory")
-        .queryName(name)
+        .foreachBatch(write)
         .option("checkpointLocation", checkpoint)
         .trigger(availableNow=True)
         .start()
     )
+
+
+def latest_stats(spark: SparkSession, path: str) -> DataFrame:
+    """The newest version of the statistics: one row per tier."""
+    versions = spark.read.parquet(path)
+    newest = versions.agg(F.max("version").alias("version"))
+    return versions.filter(F.col("version") == newest.scalar()).drop("version")
