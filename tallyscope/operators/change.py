@@ -71,32 +71,34 @@ def attribute_diff(baseline: Column | str, followup: Column | str) -> tuple[Colu
 
 
 def previous_capture(
-    df: DataFrame, subject: str, ts: str, columns: Sequence[str], span: str | None = None
+    df: DataFrame, subject: str, ts: str, columns: Sequence[str], span: str | Sequence[str] = ()
 ) -> DataFrame:
     """Add ``prev`` (struct of ``columns`` and ``ts``): the latest earlier capture.
 
     Without ``span`` the history of a subject must be short (say, one row a day).
-    With ``span`` (a ``date_trunc`` unit) histories of any length are cut into
-    spans: rows are ordered inside a span only, and the first row of each span
-    takes the last row of the nearest earlier span, found among one summary row per
-    span.
+    With ``span`` (``date_trunc`` units, fine ones first) histories of any length are cut
+    into spans: rows are ordered inside the finest span only, and the first row of each
+    span takes the last row of the nearest earlier span, which is the same question about
+    one summary row per span, cut by the next unit.
     """
+    spans = (span,) if isinstance(span, str) else tuple(span)
     packed = F.struct(ts, *[c for c in columns if c != ts])
-    if span is None:
+    if not spans:
         return df.withColumn(
             "prev", F.lag(packed).over(W.partitionBy(subject).orderBy(ts))
         )
-    cut = df.withColumn("_span", F.date_trunc(span, F.col(ts)))
-    inside = W.partitionBy(subject, "_span").orderBy(ts)
+    cell = f"_span{len(spans)}"
+    cut = df.withColumn(cell, F.date_trunc(spans[0], F.col(ts)))
+    inside = W.partitionBy(subject, cell).orderBy(ts)
     ranked = cut.withColumn("_in", F.lag(packed).over(inside))
-    last = cut.groupBy(subject, "_span").agg(F.max_by(packed, F.col(ts)).alias("_last"))
-    carried = last.withColumn(
-        "_before", F.lag("_last").over(W.partitionBy(subject).orderBy("_span"))
-    ).drop("_last")
+    last = cut.groupBy(subject, cell).agg(F.max_by(packed, F.col(ts)).alias("_last"))
+    carried = previous_capture(last, subject, cell, ["_last"], spans[1:]).select(
+        subject, cell, F.col("prev._last").alias("_before")
+    )
     return (
-        ranked.join(carried, [subject, "_span"], "left")
+        ranked.join(carried, [subject, cell], "left")
         .withColumn("prev", F.coalesce("_in", "_before"))
-        .drop("_span", "_in", "_before")
+        .drop(cell, "_in", "_before")
     )
 
 

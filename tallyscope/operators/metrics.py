@@ -270,13 +270,14 @@ def operating_curve(df: DataFrame, class_idx: int = CRITICAL_INDEX, step: float
 
 
 def _score_slice(score: Column) -> Column:
-    """Non-decreasing slice number: log-odds cut into narrow steps."""
-    odds = F.log(clip_open(score) / (1.0 - clip_open(score)))
-    return F.floor((odds + 40.0) * 512.0)
+    """Non-decreasing slice number: log-odds cut into narrow steps.
 
-
-def clip_open(score: Column) -> Column:
-    return F.greatest(F.lit(1e-17), F.least(F.lit(1.0 - 1e-16), score))
+    A confident classifier gives most classes scores far below 1e-17; log-odds go on down
+    to the smallest double, so these spread over slices too.
+    """
+    inner = F.greatest(F.lit(5e-324), F.least(F.lit(1.0 - 1e-16), score))
+    odds = F.log(inner) - F.log1p(-inner)
+    return F.floor((odds + 750.0) * 512.0)
 
 
 def _rank_mass(df: DataFrame) -> DataFrame:

@@ -275,7 +275,7 @@ def j8(spark, sf_dir):
 def j8_spans(spark, sf_dir):
     # Raw events: one user may own a third of them, so histories are cut into days.
     events = B.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value")
-    out = CH.previous_capture(events, "user_id", "ts", ("event_id", "value"), span="day")
+    out = CH.previous_capture(events, "user_id", "ts", ("event_id", "value"), span=("minute", "hour", "day"))
     return out.select("event_id", F.col("prev.event_id").alias("prev_event"), r6("prev.value", "prev_value"))
 
 

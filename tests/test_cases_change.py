@@ -142,6 +142,8 @@ def test_spans_do_not_change_the_previous_capture(spark):
     rows += [("cold", datetime(2025, 3, 1), 1000), ("cold", datetime(2025, 9, 1), 1001)]
     df = spark.createDataFrame(rows, "subject STRING, ts TIMESTAMP, v INT")
     plain = CH.previous_capture(df, "subject", "ts", ["v"]).select("v", "prev.v").collect()
+    nested = CH.previous_capture(df, "subject", "ts", ["v"], span=("minute", "hour", "day")).select("v", "prev.v").collect()
+    assert sorted(map(str, nested)) == sorted(map(str, CH.previous_capture(df, "subject", "ts", ["v"]).select("v", "prev.v").collect()))
     spans = CH.previous_capture(df, "subject", "ts", ["v"], span="day").select("v", "prev.v").collect()
     assert sorted(map(tuple, plain), key=str) == sorted(map(tuple, spans), key=str)
 

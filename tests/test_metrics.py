@@ -118,6 +118,13 @@ def test_auc_with_ties_and_hot_scores(spark):
     assert got["macro"] == pytest.approx(sum(values) / 7, abs=5.1e-5)
 
 
+def test_tiny_scores_spread_over_slices(spark):
+    rows = [(10.0 ** -k,) for k in range(1, 320)] + [(0.0,), (1.0,), (1.0 - 1e-16,)]
+    cut = spark.createDataFrame(rows, "p DOUBLE").select("p", M._score_slice(F.col("p")).alias("s")).orderBy("p").collect()
+    assert [r["s"] for r in cut] == sorted(r["s"] for r in cut)
+    assert len({r["s"] for r in cut}) > 315
+
+
 def test_auc_skips_single_valued_classes(spark):
     got = {r["code"] for r in M.roc_auc(scored(spark, [(1, 0, one_hot(0)), (2, 1, one_hot(1))])).collect()}
     assert got == {"akiec", "bcc", "macro"}
