@@ -19,7 +19,7 @@ has proposed few more pairs than had to be refuted. A band with more than `block
 dealt out as pairs of blocks.
 
 A pair at the threshold shares no band with probability (1 - similarity^rows)^bands: 7e-11
-for 0.85 with 40 bands of 5, 1e-9 for 0.8 with 48 bands of 4 (with 40 it is 7e-10).
+for 0.85 with 40 bands of 5, 1e-11 for 0.8 with 48 bands of 4.
 
 Results by case: null and empty texts, and those without words, have an empty set, no link
 and are their own component; very long texts are whole sets; repeated rows are copies of
