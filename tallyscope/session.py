@@ -49,7 +49,8 @@ def checkpoint_dir(spark: SparkSession) -> str:
         configured = tempfile.mkdtemp(prefix="tallyscope-")
     if context.getCheckpointDir() is None:
         context.setCheckpointDir(configured)
-    return configured
+    # Spark puts a folder of this application's own below the configured one.
+    return context.getCheckpointDir()
 
 
 def scratch_path(spark: SparkSession, name: str) -> str:
@@ -57,6 +58,14 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{checkpoint_dir(spark)}/tallyscope/{uuid.uuid4().hex}/{name}"
 
 
+def clear_scratch(spark: SparkSession) -> None:
+    """Delete what this application has stored; call it when no result is read any more."""
+    jvm, context = spark._jvm, spark.sparkContext
+    if context.getCheckpointDir() is not None:
+        folder = jvm.org.apache.hadoop.fs.Path(f"{context.getCheckpointDir()}/tallyscope")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
 def stored(df: DataFrame, name: str) -> DataFrame:
     """Write a narrow intermediate table once and read it back.
 

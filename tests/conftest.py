@@ -8,7 +8,7 @@ import pytest
 sys.path.insert(0, str(Path(__file__).resolve().parent.parent))
 sys.path.insert(0, str(Path(__file__).resolve().parent))
 
-from tallyscope.session import local_session  # noqa: E402
+from tallyscope.session import clear_scratch, local_session  # noqa: E402
 
 SF_DIR = "/root/testdata/sf0.001"
 
@@ -17,6 +17,7 @@ SF_DIR = "/root/testdata/sf0.001"
 def spark():
     session = local_session("tests", "8", shuffle_partitions=4)
     yield session
+    clear_scratch(session)
     session.stop()
 
 

@@ -169,3 +169,13 @@ def test_margin_baseline_scores_after_an_observation(spark, tmp_path):
         "target", "array_position(logits, array_max(logits)) - 1 AS pred"
     )
     assert scored.filter("target = pred").count() == 70
+
+
+def test_stored_tables_can_be_cleared(spark):
+    from tallyscope.session import clear_scratch, scratch_path, stored
+
+    kept = stored(spark.range(5).toDF("a"), "numbers")
+    assert kept.count() == 5 and scratch_path(spark, "x").startswith(spark.sparkContext.getCheckpointDir())
+    clear_scratch(spark)
+    with pytest.raises(Exception, match="(?i)exist"):
+        spark.read.schema("a LONG").parquet(kept.inputFiles()[0]).count()
