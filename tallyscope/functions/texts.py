@@ -105,6 +105,12 @@ CHANGE_CAVEATS = {
     "no_dates": "No capture dates supplied, so growth rate is not computed.",
 }
 
+# Leakage audit.
+LEAK_VERDICT = (
+    "The image-wise split leaks %.2f%% of %s images, so any accuracy measured on it is "
+    "optimistically biased. The lesion-grouped split leaks %.2f%%."
+)
+
 # Narrative.
 COLOR_LABELS = {
     "white": "white / depigmented areas",
@@ -185,6 +191,12 @@ LIMIT_GEOMETRY = (
     "Automatic lesion segmentation was unreliable for this image, so all geometric measurements "
     "are approximate."
 )
+FINDING_COLORS = "%d of 6 diagnostic colours present (C=%d/6): %s."
+FINDING_MANY_COLORS = " Five or more colours is itself a recognised melanoma-specific feature."
+FINDING_NO_COLOR = "No single colour occupies more than 5% of the lesion (C=0/6)."
+FINDING_STRUCTURES = "Detected structures (D=%d/5): %s."
+FINDING_NO_STRUCTURE = "No distinct dermoscopic structures were detected (D=0/5)."
+OVERRIDE_PREFIX = "Grading override - "
 LIMIT_WITHHELD = (
     "This image was judged not to be a dermoscopic photograph of skin, so classification was "
     "withheld rather than reported as a random guess."

@@ -391,19 +391,16 @@ def narrative(graded: DataFrame, limitations: Sequence[str] = ()) -> DataFrame:
         F.when(
             n_colors > 0,
             F.concat(
-                say("%d of 6 diagnostic colours present (C=%d/6): %s.", n_colors, n_colors,
+                say(T.FINDING_COLORS, n_colors, n_colors,
                     _labels(T.COLOR_LABELS, F.col("colors"))),
-                F.when(
-                    n_colors >= 5,
-                    " Five or more colours is itself a recognised melanoma-specific feature.",
-                ).otherwise(""),
+                F.when(n_colors >= 5, T.FINDING_MANY_COLORS).otherwise(""),
             ),
-        ).when(n_colors == 0, "No single colour occupies more than 5% of the lesion (C=0/6)."),
+        ).when(n_colors == 0, T.FINDING_NO_COLOR),
         F.when(
             n_structs > 0,
-            say("Detected structures (D=%d/5): %s.", n_structs,
+            say(T.FINDING_STRUCTURES, n_structs,
                 _labels(T.STRUCTURE_LABELS, F.col("structures"))),
-        ).when(n_structs == 0, "No distinct dermoscopic structures were detected (D=0/5)."),
+        ).when(n_structs == 0, T.FINDING_NO_STRUCTURE),
         F.when(
             F.col("quality_score").isNotNull(),
             say(T.FINDING_QUALITY, F.col("quality_verdict"), F.rint("quality_score")),
@@ -433,7 +430,7 @@ def narrative(graded: DataFrame, limitations: Sequence[str] = ()) -> DataFrame:
             )
         ),
         F.transform("drivers", lambda d: F.concat_ws(": ", d["label"], d["detail"])),
-        F.transform("overrides", lambda o: F.concat(F.lit("Grading override - "), o)),
+        F.transform("overrides", lambda o: F.concat(F.lit(T.OVERRIDE_PREFIX), o)),
     )
     limits = texts(
         *[F.lit(t) for t in limitations],

@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.basic import order_key, pin, ratio, uniform
+from ..functions.texts import LEAK_VERDICT
 from .ranks import class_ranks, join_class, key_cuts
 
 SPLITS = ("train", "val", "test")
@@ -166,9 +167,7 @@ def leakage_report(
     return rows.withColumn(
         "verdict",
         F.format_string(
-            "The image-wise split leaks %.2f%% of %s images, so any accuracy measured on it "
-            "is optimistically biased. The lesion-grouped split leaks %.2f%%.",
-            pct["itemwise"], F.col("split"), pct["grouped"],
+            LEAK_VERDICT, pct["itemwise"], F.col("split"), pct["grouped"],
         ),
     )
 

@@ -27,7 +27,7 @@ ITEM_SCHEMA = (
 def require_columns(df: DataFrame, required: Sequence[str], source: str = "input") -> DataFrame:
     missing = sorted(set(required) - set(df.columns))
     if missing:
-        raise ValueError(f"{source} is missing columns: {missing}")
+        raise ValueError(f"columns {missing} are not in {source}")
     return df
 
 
@@ -58,7 +58,7 @@ def convert_delimited(
     """Rewrite a delimited file set with another separator; returns the row count."""
     rows = spark.read.option("header", True).option("sep", sep_in).csv(src)
     if rows.isEmpty():
-        raise ValueError(f"No rows parsed from {src}")
+        raise ValueError(f"{src} holds no record")
     seen = Observation("converted")
     counted = rows.observe(seen, F.count(F.lit(1)).alias("rows"))
     counted.write.mode("overwrite").option("header", True).option("sep", sep_out).csv(dst)
