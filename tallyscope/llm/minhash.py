@@ -148,11 +148,16 @@ def _signed(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.mapInArrow(run, f"doc_id {kind}, row_key long, n long, node long, bands array<long>, sketch binary")
 
 
-@lru_cache(maxsize=256)
-def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+@lru_cache(maxsize=64)
+def _few_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
     return np.triu_indices(n, 1)
 
 
+def _all_pairs(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """All pairs i < j below n; only those of small n are kept for the next band of that size."""
+    return _few_pairs(n) if n <= 64 else np.triu_indices(n, 1)
+
+
 class Proposer:
     """Proposes forests of likely pairs for bands."""
 
@@ -265,7 +270,7 @@ def _proposed(rows: DataFrame, count: int, num: int, den: int, width: int) -> Da
                 pending_a.append(a + begin)
                 pending_b.append(b + begin)
                 total += len(a)
-                if total >= 1 << 20:
+                if total >= 1 << 19:
                     propose()
                     pending_a.clear()
                     pending_b.clear()
