@@ -159,6 +159,27 @@ def dilate(px: DataFrame, mask: str, size: int, out: str = "dilated") -> DataFra
     return px.withColumn(out, best > 0).drop(*[f"_d{k}" for k in set(half.values())])
 
 
+def with_ranks(px: DataFrame, value: str, wanted: dict[str, float]) -> DataFrame:
+    """Add exact quantiles of a column per image (nulls do not count), by interpolation between ranks.
+
+    Ranks come from the column's order inside the image's partition: a sort that can spill and two
+    values kept, where the percentile aggregate holds every different value of an image.
+    """
+    whole = W.partitionBy("image_id")
+    ranked = px.withColumns({"_rank": F.row_number().over(whole.orderBy(F.asc_nulls_last(value))), "_count": F.count(value).over(whole)})
+    at = {name: share * (F.col("_count") - 1) for name, share in wanted.items()}
+
+    def value_at(rank: Column) -> Column:
+        return F.max(F.when(F.col("_rank") == rank + 1, F.col(value))).over(whole)
+
+    ends = {f"_{k}_{n}": value_at(fn(a)) for n, a in at.items() for k, fn in (("lo", F.floor), ("hi", F.ceil))}
+    between = {
+        n: F.when(F.floor(a) == F.ceil(a), F.col(f"_lo_{n}")).otherwise((F.ceil(a) - a) * F.col(f"_lo_{n}") + (a - F.floor(a)) * F.col(f"_hi_{n}"))
+        for n, a in at.items()
+    }
+    return ranked.withColumns(ends).withColumns(between).drop("_rank", "_count", *ends)
+
+
 # -------------------------------------------------------------------- quality
 
 

@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from ..functions.basic import clip, ratio
 from ..functions.color import with_gray, with_hsv, with_lab
-from .raster import along_columns, along_rows, dilate, gaussian_weights, local_std, smooth
+from .raster import along_columns, along_rows, dilate, gaussian_weights, local_std, smooth, with_ranks
 
 # ---- fixed values -----------------------------------------------------------
 LIGHT_SHARE, BLUE_SHARE = 0.65, 0.35
@@ -51,25 +51,18 @@ def lesion_channel(px: DataFrame, blur: int = 7) -> DataFrame:
     is the size of the Gaussian applied at the end (0 for none).
     """
     lab = with_lab(px)
-    ends = F.array(F.lit(0.01), F.lit(0.99))
-    whole = W.partitionBy("image_id")
-    joined = lab.withColumns(
-        {
-            "_pl": F.percentile("lightness", ends).over(whole),
-            "_pb": F.percentile("b", ends).over(whole),
-        }
-    )
+    joined = with_ranks(with_ranks(lab, "lightness", {"_l0": 0.01, "_l1": 0.99}), "b", {"_b0": 0.01, "_b1": 0.99})
 
     def stretched(value: str, limit: str) -> Column:
-        low, high = F.col(limit)[0], F.col(limit)[1]
+        low, high = F.col(f"{limit}0"), F.col(f"{limit}1")
         return F.when(high - low < 1e-3, 0.0).otherwise(
             clip(F.try_divide(F.col(value) - low, high - low), 0.0, 1.0)
         )
 
-    mixed = LIGHT_SHARE * (1.0 - stretched("lightness", "_pl")) + BLUE_SHARE * (
-        1.0 - stretched("b", "_pb")
+    mixed = LIGHT_SHARE * (1.0 - stretched("lightness", "_l")) + BLUE_SHARE * (
+        1.0 - stretched("b", "_b")
     )
-    out = joined.withColumn("channel", F.floor(mixed * 255.0).cast("double")).drop("_pl", "_pb")
+    out = joined.withColumn("channel", F.floor(mixed * 255.0).cast("double")).drop("_l0", "_l1", "_b0", "_b1")
     return smooth(out, {"channel": F.col("channel")}, gaussian_weights(blur)) if blur > 1 else out
 
 
@@ -90,19 +83,19 @@ def otsu(df: DataFrame, key: str, value: str) -> DataFrame:
         F.sum("n").over(upto).alias("_n1"), F.sum(mass).over(upto).alias("_s1"),
         F.sum("n").over(whole).alias("_n"), F.sum(mass).over(whole).alias("_s"),
     )
-    best = F.max(F.struct(_between(WIDE).alias("v"), (-F.col("bin")).alias("neg")))
+    best = F.max(F.struct(_between().alias("v"), (-F.col("bin")).alias("neg")))
     return sums.groupBy(key).agg(best.alias("_b")).select(
         key, (-F.col("_b.neg")).alias("threshold"), F.col("_b.v").alias("spread")
     )
 
 
-def _between(kind: str = "long") -> Column:
-    """Between-class variance (up to a constant) from whole-number sums of this kind.
+def _between() -> Column:
+    """Between-class variance (up to a constant) from whole-number sums.
 
-    Within an image (at most some 10^9 pixels) products fit in 64 bits; the rows of any other
-    key need not.
+    Products of counts and sums leave 64 bits from about 2 * 10^8 rows of a key on, so they are
+    taken in decimals.
     """
-    n, s1, n1, s = (F.col(c).cast(kind) for c in ("_n", "_s1", "_n1", "_s"))
+    n, s1, n1, s = (F.col(c).cast(WIDE) for c in ("_n", "_s1", "_n1", "_s"))
     apart = (n * s1 - n1 * s).cast("double")
     weight = F.col("_n1").cast("double") * (F.col("_n") - F.col("_n1"))
     return F.coalesce(F.try_divide(apart * apart, weight), F.lit(0.0))
@@ -235,41 +228,63 @@ def eccentricity(px: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------ asymmetry
 
 
-def asymmetry(px: DataFrame) -> DataFrame:
-    """Shape and pigment mismatch under mirroring about the mask's own axes.
-
-    The axes come from the second moments. Each mask pixel is joined with the pixel
-    its mirror image falls on; mirroring is a coordinate expression, so this is an
-    equi-join inside the image.
-    """
-    # Twice the angle of the major axis.
+def moment_axes(px: DataFrame) -> DataFrame:
+    """Mask pixels with the mask's centre and cosine and sine of twice its major axis' angle."""
     double = F.atan2(
         2.0 * F.col("vxy").cast("double"), (F.col("vxx") - F.col("vyy")).cast("double")
     )
-    inside = with_moments(with_gray(px)).select(
+    return with_moments(px).select(
         "image_id", "y", "x", "gray",
         (F.col("sx") / F.col("n")).alias("_cx"), (F.col("sy") / F.col("n")).alias("_cy"),
         F.cos(double).alias("_c"), F.sin(double).alias("_s"),
     )
+
+
+def rectangle_axes(px: DataFrame, rectangles: DataFrame) -> DataFrame:
+    """As ``moment_axes``, about the centre and the longer side of the smallest rectangle around the mask.
+
+    rectangles: from ``raster_hull.smallest_rectangles``, one small row per image.
+    """
+    ux, uy = F.col("ux"), F.col("uy")
+    sides = rectangles.select(
+        "image_id", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), (ux * ux - uy * uy).alias("_c"), (2.0 * ux * uy).alias("_s"),
+    )
+    return px.filter("is_mask").join(sides, "image_id").select("image_id", "y", "x", "gray", "_cx", "_cy", "_c", "_s")
+
+
+def asymmetry(px: DataFrame, rectangles: DataFrame | None = None) -> DataFrame:
+    """Shape and pigment mismatch under mirroring about the mask's own axes.
+
+    The axes come from the second moments, or from ``rectangles``. Each mask pixel is met by
+    the pixels whose mirror images fall on it: pixel and images are keyed by the same
+    (image, y, x), so one window inside the image finds all partners and the mask is computed once.
+    """
+    gray = with_gray(px)
+    inside = moment_axes(gray) if rectangles is None else rectangle_axes(gray, rectangles)
     dx, dy = F.col("x") - F.col("_cx"), F.col("y") - F.col("_cy")
     # Reflection about the major axis, and (negated) about the minor one.
     rx = F.col("_c") * dx + F.col("_s") * dy
     ry = F.col("_s") * dx - F.col("_c") * dy
 
     def nearest(v: Column) -> Column:
-        return F.floor(v + 0.500001).cast("int")
+        # Rounded first, so that a half is one whatever the order of the sums behind it.
+        return F.floor(F.round(v, 6) + 0.500001).cast("int")
+
+    def image(axis: Column, y: Column, x: Column) -> Column:
+        return F.struct(axis.alias("axis"), y.alias("y"), x.alias("x"))
 
-    mirrored = inside.select(
+    met = inside.select(
         "image_id", "gray",
         F.explode(
             F.array(
-                F.struct(F.lit("v").alias("axis"), nearest(F.col("_cy") + ry).alias("my"), nearest(F.col("_cx") + rx).alias("mx")),
-                F.struct(F.lit("h").alias("axis"), nearest(F.col("_cy") - ry).alias("my"), nearest(F.col("_cx") - rx).alias("mx")),
+                image(F.lit(None).cast("string"), F.col("y"), F.col("x")),
+                image(F.lit("v"), nearest(F.col("_cy") + ry), nearest(F.col("_cx") + rx)),
+                image(F.lit("h"), nearest(F.col("_cy") - ry), nearest(F.col("_cx") - rx)),
             )
         ).alias("m"),
-    ).select("image_id", "gray", "m.axis", F.col("m.my").alias("y"), F.col("m.mx").alias("x"))
-    partner = with_gray(px.filter("is_mask")).select("image_id", "y", "x", F.col("gray").alias("gray2"))
-    joined = mirrored.join(partner, ["image_id", "y", "x"], "left")
+    ).select("image_id", "gray", "m.*")
+    there = F.max(F.when(F.col("axis").isNull(), F.col("gray"))).over(W.partitionBy("image_id", "y", "x"))
+    joined = met.withColumn("gray2", there).filter("axis IS NOT NULL")
     miss = F.col("gray2").isNull()
     per_axis = joined.groupBy("image_id", "axis").agg(
         F.avg(F.when(miss, 1.0).otherwise(0.0)).alias("shape"),

@@ -130,7 +130,8 @@ def raster_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     scaled = spread.withColumn(
         "s",
         F.transform(
-            "e", lambda x: F.floor((x - F.col("lo")) / (F.col("hi") - F.col("lo")) * 255.0).cast("double")
+            # A vector of one value has no spread; its picture is black.
+            "e", lambda x: F.floor(F.coalesce(F.try_divide(x - F.col("lo"), F.col("hi") - F.col("lo")), F.lit(0.0)) * 255.0).cast("double")
         ),
     )
 
