@@ -163,8 +163,9 @@ def _segments(batches: Iterator[pa.RecordBatch], keys: tuple[str, ...]) -> Itera
 
 def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", role_col: str = "role", text_col: str = "text", tasks: int | None = None) -> DataFrame:
     """One row per input turn: conv_id, turn, old_role, role, action (turn, or merge into the one
-    before), inserted (roles of empty turns around it), fragment, part and place (order). tasks: into how many ranges turns are dealt; by default as many as
-    the session shuffles into."""
+    before), inserted (roles of empty turns around it), fragment, and place: its number in its
+    conversation from 0 on. A conversation's rendering is its fragments by place. tasks: into how
+    many ranges turns are dealt; by default as many as the session shuffles into."""
     rows = turns.select(
         F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).cast("string").alias("old_role"), F.col(text_col).cast("string").alias("text")
     )
@@ -182,12 +183,15 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         for table in _segments(batches, ("conv_id", "part")):
             costs = product(table.column("old_role").to_pylist()).ravel().tolist()
             yield pa.RecordBatch.from_arrays(
-                [table.column("conv_id").combine_chunks()[:1], pa.array(table.column("part").to_pylist()[:1], pa.int32()), pa.array([costs], pa.list_(pa.float64()))],
-                names=["conv_id", "part", "costs"],
+                [
+                    table.column("conv_id").combine_chunks()[:1], pa.array(table.column("part").to_pylist()[:1], pa.int32()),
+                    pa.array([costs], pa.list_(pa.float64())), pa.array([table.num_rows], pa.int64()),
+                ],
+                names=["conv_id", "part", "costs", "turns"],
             )
 
     sorted_split = split.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "place")
-    pieces = sorted_split.mapInArrow(matrices, f"conv_id {kind}, part int, costs array<double>")
+    pieces = sorted_split.mapInArrow(matrices, f"conv_id {kind}, part int, costs array<double>, turns long")
 
     def cuts(table: pa.Table) -> pa.Table:
         table = table.sort_by("part")
@@ -204,27 +208,32 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
             at = int(choice[at])
             states.append(at)
         states.reverse()
-        return pa.table({"conv_id": table.column("conv_id"), "part": table.column("part"), "entry": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32())})
+        turns = table.column("turns").to_numpy()
+        return pa.table({
+            "conv_id": table.column("conv_id"), "part": table.column("part"), "entry": pa.array(states[:-1], pa.int32()), "leave": pa.array(states[1:], pa.int32()),
+            "before": pa.array(np.cumsum(turns) - turns, pa.int64()),
+        })
 
     # One row per task that a spanning conversation reaches.
-    given = pieces.groupBy("conv_id").applyInArrow(cuts, f"conv_id {kind}, part int, entry int, leave int")
+    given = pieces.groupBy("conv_id").applyInArrow(cuts, f"conv_id {kind}, part int, entry int, leave int, before long")
     given = given.join(spans, F.col("conv_id").eqNullSafe(F.col("_conv"))).select(
-        "_conv", F.col("part").alias("_part"), "entry", "leave", (F.col("part") == F.col("_last")).alias("ends")
+        "_conv", F.col("part").alias("_part"), "entry", "leave", "before", (F.col("part") == F.col("_last")).alias("ends")
     )
     same = F.col("conv_id").eqNullSafe(F.col("_conv")) & (F.col("part") == F.col("_part"))
-    ready = dealt.join(given, same, "left").select("conv_id", "part", "place", "turn", "old_role", "text", "entry", "leave", "ends")
-    names = ["conv_id", "part", "place", "turn", "old_role", "role", "action", "inserted", "fragment"]
+    ready = dealt.join(given, same, "left").select("conv_id", "part", "place", "turn", "old_role", "text", "entry", "leave", "before", "ends")
+    names = ["conv_id", "turn", "old_role", "role", "action", "inserted", "fragment", "place"]
 
     def solved(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, size = [], 0
         for table in _segments(batches, ("conv_id", "part")):
             roles, texts = table.column("old_role").to_pylist(), table.column("text").to_pylist()
-            entry, leave, ends = (table.column(c)[0].as_py() for c in ("entry", "leave", "ends"))
+            entry, leave, before, ends = (table.column(c)[0].as_py() for c in ("entry", "leave", "before", "ends"))
             entry, last = START if entry is None else entry, ends is None or ends
             path = solve(roles, entry, None if ends is None else leave)
             made = list(zip(*render(texts, path, entry, last), strict=True))
             new = [pa.array(c, k) for c, k in zip(made, (pa.string(), pa.string(), pa.list_(pa.string()), pa.string()), strict=True)]
-            held.append(pa.table([*(table.column(c) for c in names[:5]), *new], names=names))
+            place = pa.array(np.arange(table.num_rows) + (before or 0), pa.int64())
+            held.append(pa.table([*(table.column(c) for c in names[:3]), *new, place], names=names))
             size += table.num_rows
             if size >= 2048:
                 yield from pa.concat_tables(held).combine_chunks().to_batches()
@@ -232,11 +241,11 @@ def repair(turns: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn",
         if held:
             yield from pa.concat_tables(held).combine_chunks().to_batches()
 
-    schema = f"conv_id {kind}, part int, place long, turn {turn_kind}, old_role string, role string, action string, inserted array<string>, fragment string"
+    schema = f"conv_id {kind}, turn {turn_kind}, old_role string, role string, action string, inserted array<string>, fragment string, place long"
     return ready.repartition("conv_id", "part").sortWithinPartitions("conv_id", "part", "place").mapInArrow(solved, schema)
 
 
 @query("op9_chat_format")
 def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
     repaired = repair(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
-    return repaired.select("conv_id", "turn", "old_role", "role", "action", F.array_join("inserted", ",").alias("inserted"), "fragment")
+    return repaired.select("conv_id", "turn", "old_role", "role", "action", F.array_join("inserted", ",").alias("inserted"), "fragment", "place")

@@ -81,7 +81,7 @@ def test_products_of_pieces_give_the_same_cost():
 
 
 def conversations(frame) -> dict:
-    rows = frame.orderBy("part", "place").collect()
+    rows = frame.orderBy("place").collect()
     out: dict = {}
     for r in rows:
         out.setdefault(r["conv_id"], []).append(r)
@@ -94,8 +94,8 @@ def test_long_conversation_over_many_tasks(spark):
     turns += [(c, i, draw.choice(["user", "assistant"]), f"t{i}") for c in range(2, 60) for i in range(5)]
     frame = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string").repartition(6)
     found = conversations(chat.repair(frame, tasks=7))
-    assert len({r["part"] for r in found[1]}) > 1
     for conv, rows in found.items():
+        assert [(r["place"], r["turn"]) for r in rows] == [(i, i) for i in range(len(rows))]
         roles = [t[2] for t in sorted(t for t in turns if t[0] == conv)]
         text = "".join(r["fragment"] for r in rows)
         assert LEGAL.fullmatch("".join(ALPHABET[r] for r in rendered_roles(text)))
@@ -117,6 +117,15 @@ def test_odd_rows(spark):
     assert chat.repair(frame.limit(0)).collect() == []
 
 
-def test_query(spark, sf_dir):
-    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet")
-    assert chat.op9(spark, sf_dir).count() == turns.count()
+def test_renderings_are_rebuilt_from_the_result(spark, sf_dir):
+    turns = spark.read.parquet(f"{sf_dir}/conversations.parquet").collect()
+    given: dict = {}
+    for t in sorted(turns, key=lambda t: (t["turn"] is not None, t["turn"] or 0, t["role"] is not None, t["role"] or "", t["text"] is not None, t["text"] or "")):
+        given.setdefault(t["conv_id"], []).append(t)
+    found = conversations(chat.op9(spark, sf_dir))
+    assert set(found) == set(given)
+    for conv, rows in found.items():
+        assert [r["place"] for r in rows] == list(range(len(given[conv])))
+        path = chat.solve([t["role"] for t in given[conv]], chat.START, None)
+        want = "".join(r[3] for r in chat.render([t["text"] for t in given[conv]], path, chat.START, True))
+        assert "".join(r["fragment"] for r in rows) == want and LEGAL.fullmatch("".join(ALPHABET[r] for r in rendered_roles(want)))

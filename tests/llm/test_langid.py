@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import zlib
 
+import pytest
 from pyspark.sql import functions as F
 
 from tallyscope.llm import langid
@@ -29,12 +30,25 @@ def test_parse_against_substring_search():
             assert automaton.phrases(text) == phrases(sample, text)
 
 
-def test_memory_starts_anew(monkeypatch):
-    samples = [("x", " alpha beta gamma "), ("y", " delta epsilon zeta ")]
-    want = [langid.Parser(samples).needed(t)[0].tolist() for t in ("alpha zeta", "beta beta delta nu")]
-    monkeypatch.setattr(langid, "MEMO_ENTRIES", 2)
-    parser = langid.Parser(samples)
-    assert [parser.needed(t)[0].tolist() for t in ("alpha zeta", "beta beta delta nu")] == want
+@pytest.mark.parametrize("segment", [3, 16, 512])
+def test_whole_texts_against_substring_search(monkeypatch, segment):
+    """Texts side by side, cut into segments and blocks, give the phrases of one parse each."""
+    monkeypatch.setattr(langid, "SEGMENT", segment)
+    draw = random.Random(segment)
+    for letters in ("ab", "abcdeé", "abcdefghijklmn"):
+        samples = [(name, " " + "".join(draw.choice(letters + " ") for _ in range(300)) + " ") for name in ("x", "y", "z")]
+        parser = langid.Parser(samples)
+        plain = ["", "½ ² ①", "aba", *("".join(draw.choice(letters.upper() + letters + "  .1ß") for _ in range(draw.randrange(0, 400))) for _ in range(40)), samples[1][1] * 3, "a" * 900]
+        parts = [langid.normalised(t) for t in plain]
+        for block in (50, 1 << 20):
+            monkeypatch.setattr(langid, "BLOCK_CHARS", block)
+            got = parser.needed(parts)
+            assert got.tolist() == [[phrases(sample, langid.spelled(p)) for _, sample in samples] for p in parts]
+
+
+def test_normalised():
+    assert langid.spelled(langid.normalised("¡Hola,  MUNDO 42 straße½ İx!")) == " hola mundo straße İx "
+    assert langid.spelled(langid.normalised("12 ½ ² ① _")) == " "
 
 
 def test_held_out_accuracy(spark):
@@ -54,12 +68,16 @@ def test_odd_rows(nasty, empty):
     rows = {r["doc_id"]: r for r in langid.predict(nasty, learned).collect()}
     assert {rows[i]["lang_pred"] for i in (1, 2, 3)} == {"und"} and rows[1]["score"] == 0
     assert rows[5]["lang_pred"] in {"en", "fr"}
+    odd = nasty.sparkSession.createDataFrame([(1, "½ ² ①"), (2, "٣ _ 7"), (3, "é")], "doc_id long, text string")
+    assert [r["lang_pred"] == "und" for r in langid.predict(odd, learned).orderBy("doc_id").collect()] == [True, True, False]
     assert langid.predict(empty, learned).collect() == []
     assert {r["lang_pred"] for r in langid.predict(nasty, langid.samples(learnable.limit(0), "lang", "text", "doc_id")).collect()} == {"und"}
     assert nasty.filter("doc_id IS NULL").select(langid.held_out("doc_id")).first()[0] is False
 
 
-def test_sample_is_bounded(spark):
-    frame = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.lit("some words "), 2000).alias("text"))
-    ((name, sample),) = langid.samples(frame, "lang", "text", "doc_id", most_docs=50, most_chars=10_000)
-    assert name == "en" and len(sample) == 10_002
+def test_sample_is_bounded_and_whole(spark):
+    frame = spark.range(5000).select(F.col("id").alias("doc_id"), F.lit("en").alias("lang"), F.repeat(F.lit("some words "), F.when(F.col("id") % 2 == 0, 3).otherwise(2000)).alias("text"))
+    ((name, sample),) = langid.samples(frame, "lang", "text", "doc_id", most_docs=50, most_chars=100)
+    assert name == "en" and set(sample.split()) == {"some", "words"} and len(sample.split()) % 6 == 0 and 30 * 6 < len(sample.split()) < 80 * 6
+    with pytest.raises(ValueError):
+        langid.samples(frame.withColumn("lang", F.col("doc_id").cast("string")), "lang", "text", "doc_id", most_languages=5)
