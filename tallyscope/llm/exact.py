@@ -23,7 +23,7 @@ import hashlib
 from collections.abc import Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import SPACE, SPACE_CLASS, clean_rows, documents, query, texts, unused
@@ -214,12 +214,17 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
 
 def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of docs that stay, one of each group of equal texts."""
-    digest, owner, owned = (unused(n, docs) for n in ("_digest", "_keep", "_owned"))
-    keep = owners(docs, id_col, text_col).select(F.col("digest").alias(owned), F.col("keep_id").alias(owner))
-    keyed = docs.withColumn(digest, F.unhex(F.sha2(form_of(text_col), 256)))
-    same = (F.col(digest) == F.col(owned)) & F.col(id_col).eqNullSafe(F.col(owner))
+    digest, mark, owner, owned = (unused(n, docs) for n in ("_digest", "_mark", "_keep", "_owned"))
+
+    def marked(column: Column) -> Column:
+        """The doc_id as text, null told apart: plain equality, so join and merge share one exchange."""
+        return F.coalesce(F.concat(F.lit("="), column.cast("string")), F.lit("-"))
+
+    keep = owners(docs, id_col, text_col).select(F.col("digest").alias(owned), marked(F.col("keep_id")).alias(owner))
+    keyed = docs.withColumn(digest, F.unhex(F.sha2(form_of(text_col), 256))).withColumn(mark, marked(F.col(id_col)))
+    same = (F.col(digest) == F.col(owned)) & (F.col(mark) == F.col(owner))
     # Several rows of a text are left only where its owner's doc_id is repeated; one stays.
-    return keyed.join(keep, same, "left_semi").dropDuplicates([digest]).drop(digest)
+    return keyed.join(keep, same, "left_semi").dropDuplicates([digest, mark]).drop(digest, mark)
 
 
 SQL = r"""

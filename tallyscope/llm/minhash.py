@@ -326,6 +326,19 @@ def _confirmed(pairs: DataFrame, bodies: DataFrame, k: int, num: int, den: int)
     return dealt.mapInArrow(run, "a long, b long, is_link boolean")
 
 
+# A large component's name is met by its members in this many places.
+SALTS = 16
+
+
+def _with_names(rows: DataFrame, column: str, names: DataFrame, how: str) -> DataFrame:
+    """rows (with `node`) joined with names (_at, ...) where `column` is `_at`. One component may hold
+    most rows, so its members are dealt out by their node and its name is there once per salt."""
+    salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
+    spread = names.withColumn("_salt", salts)
+    same = (F.col(column) == F.col("_at")) & (F.pmod("node", F.lit(SALTS).cast("long")) == F.col("_salt"))
+    return rows.join(spread, same, how).drop("_at", "_salt")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, comp): smallest node that each node of the edges (a, b) reaches.
 
@@ -337,10 +350,9 @@ def components(edges: DataFrame) -> DataFrame:
     while True:
         told = both.join(labels, both["a"] == labels["node"]).groupBy(F.col("b").alias("_to")).agg(F.min("comp").alias("_told"))
         lower = labels.join(told, F.col("node") == F.col("_to"), "left").select("node", F.col("comp").alias("_old"), F.least("comp", "_told").alias("_new"))
-        jump = labels.select(F.col("node").alias("_at"), F.col("comp").alias("_next"))
-        moved = stored(
-            lower.join(jump, F.col("_new") == F.col("_at"), "left").select("node", "_old", F.least("_new", "_next").alias("comp")), "labels"
-        )
+        # Only nodes that have moved lead further.
+        jump = labels.filter("comp <> node").select(F.col("node").alias("_at"), F.col("comp").alias("_next"))
+        moved = stored(_with_names(lower, "_new", jump, "left").select("node", "_old", F.least("_new", "_next").alias("comp")), "labels")
         labels = moved.select("node", "comp")
         if moved.filter("comp <> _old").isEmpty():
             return labels
@@ -412,8 +424,8 @@ def near_duplicates(
     if comp is not None:
         label = comp.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
         joined = named.join(label, F.col("node") == F.col("_node"), "left").select("node", "least", F.coalesce("_comp", "node").alias("comp"))
-        lowest = joined.groupBy(F.col("comp").alias("_comp")).agg(F.min("least").alias("component_id"))
-        named = joined.join(lowest, F.col("comp") == F.col("_comp")).select("node", "component_id")
+        lowest = joined.groupBy(F.col("comp").alias("_at")).agg(F.min("least").alias("component_id"))
+        named = _with_names(joined, "comp", lowest, "inner").select("node", "component_id")
     else:
         named = named.withColumnRenamed("least", "component_id")
     found = signed.select("doc_id", "row_key", "node", F.col("n").alias("n_shingles")).join(named, "node", "left")

@@ -109,3 +109,36 @@ def test_components_of_a_long_path(spark):
 def test_short_texts_are_one_shingle(size):
     members = minhash.shingles(b"one two three"[: [0, 3, 7, 13][size]], 3, minhash.WordHashes())
     assert len(members) == (0 if size == 0 else 1)
+
+
+def test_recall_at_the_pipelines_setting(spark):
+    """Five words, 0.8, 48 bands of 4: every pair of one component by brute force is found."""
+    from collections import Counter, defaultdict
+
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    sets = {}
+    for r in docs.collect():
+        words = (r["text"] or "").encode().lower().split()
+        sets[r["doc_id"]] = {tuple(words[i : i + 5]) for i in range(len(words) - 4)} if len(words) > 4 else ({tuple(words)} if words else set())
+    held = defaultdict(list)
+    for doc, own in sets.items():
+        for x in own:
+            held[x].append(doc)
+    shared = Counter((a, b) for own in held.values() for i, a in enumerate(own) for b in own[i + 1 :])
+    root = {d: d for d in sets}
+
+    def find(x):
+        while root[x] != x:
+            root[x] = root[root[x]]
+            x = root[x]
+        return x
+
+    for (a, b), n in shared.items():
+        if 100 * n >= 80 * (len(sets[a]) + len(sets[b]) - n):
+            x, y = sorted((find(a), find(b)))
+            root[y] = x
+    found = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(docs, k=5, similarity=(80, 100), bands=48, rows=4).collect()}
+    want = {d: find(d) for d in sets}
+    joined = [d for d, c in want.items() if c != d]
+    recall = sum(found[d] == want[d] for d in joined) / len(joined)
+    assert joined and recall == 1.0 and found == want
