@@ -13,6 +13,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession, Window as W, functions as F
 
 from ..functions.basic import ratio
+from ..session import stored
 from ..sources.taxonomy import CLASS_CODES, TIERS
 
 CASE_SCHEMA = (
@@ -118,9 +119,9 @@ def filter_cases(
 ) -> DataFrame:
     """Optional AND-ed filters; unknown values are an error, not an empty page."""
     if tier and tier not in TIERS:
-        raise ValueError(f"Unknown tier '{tier}'.")
+        raise ValueError(f"no such tier: {tier}")
     if code and code not in known_codes:
-        raise ValueError(f"Unknown class code '{code}'.")
+        raise ValueError(f"no such class: {code}")
     if tier:
         cases = cases.filter(F.col("tier") == tier)
     if code:
@@ -128,12 +129,41 @@ def filter_cases(
     return cases.filter("requires_review") if review_only else cases
 
 
+# What a page's place is narrowed down by: time in ever smaller units, then the beginning of the id.
+_PLACES = (
+    lambda: F.struct(F.date_trunc("day", "created_at").alias("t")),
+    lambda: F.struct(F.date_trunc("minute", "created_at").alias("t")),
+    lambda: F.struct(F.col("created_at").alias("t"), F.substring("id", 1, 2).alias("i")),
+)
+
+
 def list_cases(cases: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
-    """Newest first, with the total on every row; limit 1..200, offset >= 0."""
+    """Newest first, with the total on every row; limit 1..200, offset >= 0.
+
+    Counts by time and id tell between which keys the page lies: first by day, then by minute
+    inside those days, then by time and beginning of the id. Only the rows between the last keys
+    are sorted, however deep the page. The cases are evaluated once, stored.
+    """
     limit, offset = max(1, min(int(limit), PAGE_LIMIT)), max(0, int(offset))
-    total = cases.agg(F.count(F.lit(1)).alias("total"))
-    page = cases.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset).limit(limit)
-    return page.withColumn("total", total.scalar())
+    cases = stored(cases, "state")
+    inside, skipped, total = cases, 0, None
+    for place in _PLACES:
+        counts = inside.groupBy(place().alias("_k")).agg(F.count(F.lit(1)).alias("n"))
+        upto = W.partitionBy(F.lit(0)).orderBy(F.desc("_k"))
+        # As many rows as there are units in the range that is left.
+        sums = counts.withColumn("_upto", F.sum("n").over(upto))
+        first, last = offset - skipped, offset - skipped + limit
+        at = sums.filter((F.col("_upto") > first) & (F.col("_upto") - F.col("n") < last))
+        row = at.agg(F.min("_k").alias("low"), F.max("_k").alias("high"), F.min(F.col("_upto") - F.col("n")).alias("before")).first()
+        if total is None:
+            total = counts.agg(F.sum("n")).first()[0] or 0
+        if row["low"] is None:
+            return cases.limit(0).withColumn("total", F.lit(total).cast("long"))
+        low, high = (F.struct(*[F.lit(v).alias(n) for n, v in row[c].asDict().items()]) for c in ("low", "high"))
+        inside = inside.filter((place() >= low) & (place() <= high))
+        skipped += row["before"]
+    page = inside.orderBy(F.col("created_at").desc(), F.col("id").desc()).offset(offset - skipped).limit(limit)
+    return page.withColumn("total", F.lit(total).cast("long"))
 
 
 def page_after(cases: DataFrame, last_key: tuple | None, limit: int = 50) -> DataFrame:
@@ -243,23 +273,29 @@ def attach_thumbnail(cases: DataFrame) -> DataFrame:
 # ------------------------------------------------------------------- storage
 
 
-def write_log(rows: DataFrame, path: str, mode: str = "append") -> None:
-    """Append to a log stored as Parquet, by day; rows of one day are sorted by id."""
-    (
-        rows.withColumn("day", F.to_date(F.coalesce("created_at", F.current_timestamp())))
-        .sortWithinPartitions("day", "id")
-        .write.mode(mode)
-        .partitionBy("day")
-        .parquet(path)
-    )
+def write_log(rows: DataFrame, path: str, mode: str = "append", batch: str | None = None) -> None:
+    """Append to a log stored as Parquet, by batch and day; rows of one day are sorted by id.
+
+    A named ``batch`` has a folder of its own that a repeated write replaces as a whole, so a
+    micro-batch that is run again leaves one copy. Rows without a name share one folder.
+    """
+    dated = rows.withColumn("day", F.to_date(F.coalesce("created_at", F.current_timestamp()))).sortWithinPartitions("day", "id")
+    folder = f"{path}/batch={batch or 'direct'}"
+    # Bloom filters on the id let a point read skip the row groups of long days.
+    writer = dated.write.mode("overwrite" if batch else mode).option("parquet.bloom.filter.enabled#id", "true")
+    writer.partitionBy("day").parquet(folder)
 
 
 def read_log(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.schema(f"{LOG_SCHEMA}, day DATE").parquet(path).drop("day")
+    return spark.read.schema(f"{LOG_SCHEMA}, batch STRING, day DATE").parquet(path).drop("batch", "day")
 
 
 def compact(log: DataFrame, path: str) -> None:
-    """Write the current state as a fresh log of plain upserts and notes; path must be new."""
+    """Write the current state as a fresh log of plain upserts and notes; path must be new.
+
+    Files are dealt out by range of (day, id), so an id lies in one narrow range of each day.
+    """
     cases = _versions(log)
     notes = cases.filter("note_seq IS NOT NULL").select("id", F.col("note_seq").alias("seq"), "notes")
-    write_log(append_notes(append_upserts(None, cases.drop("note_seq")), notes), path, mode="error")
+    rows = append_notes(append_upserts(None, cases.drop("note_seq")), notes)
+    write_log(rows.repartitionByRange(F.to_date("created_at"), "id"), path, mode="error")

@@ -102,6 +102,50 @@ def previous_capture(
     )
 
 
+def last_known(df: DataFrame, subject: str, order: Sequence[str], value: str, spans: Sequence[str] = ()) -> DataFrame:
+    """Add ``known``: the last non-null ``value`` of the subject's earlier rows, by ``order`` (time first).
+
+    With ``spans`` (``date_trunc`` units, fine ones first) rows are ordered inside the finest span
+    only; what a span ends with is one summary row, and the same question one unit up carries it on,
+    so a subject that holds a third of all rows is never one group.
+    """
+    ts = order[0]
+    before = lambda *keys: W.partitionBy(*keys).orderBy(*order).rowsBetween(W.unboundedPreceding, -1)
+    if not spans:
+        return df.withColumn("known", F.last(value, ignorenulls=True).over(before(subject)))
+    cell, own, at = (f"_{n}{len(spans)}" for n in ("span", "own", "at"))
+    cut = df.withColumn(cell, F.date_trunc(spans[0], F.col(ts)))
+    inside = cut.withColumn("_in", F.last(value, ignorenulls=True).over(before(subject, cell)))
+    ends = cut.groupBy(subject, cell).agg(F.max_by(value, F.when(F.col(value).isNotNull(), F.struct(*order))).alias("_end"))
+    carried = last_known(ends, subject, [cell], "_end", spans[1:]).select(
+        F.col(subject).alias(own), F.col(cell).alias(at), F.col("known").alias("_carried")
+    )
+    same = F.col(subject).eqNullSafe(F.col(own)) & F.col(cell).eqNullSafe(F.col(at))
+    return inside.join(carried, same, "left").withColumn("known", F.coalesce("_in", "_carried")).drop(cell, own, at, "_in", "_carried")
+
+
+def as_of(
+    followups: DataFrame, baselines: DataFrame, subject: str, ts: str, columns: Sequence[str],
+    span: str | Sequence[str] = (), strict: bool = False,
+) -> DataFrame:
+    """followups with ``base``: ``ts`` and ``columns`` of the subject's latest baseline not later than the
+    row (``strict``: earlier); null where there is none.
+
+    Both tables become one, tagged and ordered inside nested spans (see ``last_known``), so nothing
+    is joined by ranges and neither side has to be small. Of baselines at one time the greatest by
+    ``columns`` counts; rows without a time or subject are kept, with what is known for them.
+    """
+    carried = F.struct(F.col(ts).alias("_ts"), F.struct(*[F.col(c).alias(c) for c in (ts, *[c for c in columns if c != ts])]).alias("_v"))
+    own = F.struct(*[F.col(c) for c in followups.columns]).alias("_row")
+    tags = (1, 0) if strict else (0, 1)
+    first = baselines.filter(F.col(ts).isNotNull()).select(F.col(subject).alias("_subject"), F.col(ts).alias("_at"), F.lit(tags[0]).alias("_tag"), carried.alias("_base"))
+    second = followups.select(F.col(subject).alias("_subject"), F.col(ts).alias("_at"), F.lit(tags[1]).alias("_tag"), own)
+    both = first.unionByName(second, allowMissingColumns=True)
+    spans = (span,) if isinstance(span, str) else tuple(span)
+    found = last_known(both, "_subject", ["_at", "_tag", "_base"], "_base", spans).filter(F.col("_tag") == tags[1])
+    return found.select("_row.*", F.col("known._v").alias("base"))
+
+
 def capture_pairs(df: DataFrame, subject: str, ts: str, measures: Sequence[str]) -> DataFrame:
     """Follow-ups with ``base_*`` columns of the capture before."""
     paired = previous_capture(df, subject, ts, measures).filter("prev IS NOT NULL")

@@ -6,11 +6,13 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.basic import order_key, pin, ratio, uniform
+from ..functions.basic import order_key, ratio, uniform
 from ..functions.texts import LEAK_VERDICT
 from .ranks import class_ranks, join_class, key_cuts
 
 SPLITS = ("train", "val", "test")
+# Into how many parts [0, 1) is cut to meet draws with class intervals.
+SLICES = 4096
 
 
 def _quota(n: Column, fraction: float) -> Column:
@@ -89,15 +91,16 @@ def itemwise_split(
 
 
 def sample_per_class(df: DataFrame, item: str, cls: str, n: int, seed: int = 42) -> DataFrame:
-    """Exactly ``n`` items of each class, the null class too (all where there are fewer)."""
+    """Exactly ``n`` rows of each class, the null class too (all where there are fewer).
+
+    Repeated items have one key: at the cut as many of them stay as are wanted.
+    """
     key = order_key(seed, F.col(cls), F.col(item))
     keys = df.select(cls, key.alias("_key"))
     cuts = key_cuts(keys, cls, "_key", lambda size: {"_cut_at": F.least(size, F.lit(n))})
-    return (
-        join_class(df.withColumn("_key", key), cuts, [cls])
-        .filter(F.col("_key") <= F.col("_cut_at"))
-        .drop("_key", "_cut_at")
-    )
+    upto = join_class(df.withColumn("_key", key), cuts, [cls]).filter(F.col("_key") <= F.col("_cut_at"))
+    # n rows a class, and what equals the last of them.
+    return class_ranks(upto, cls, "_key", "_rank").filter(F.col("_rank") <= n).drop("_key", "_cut_at", "_rank")
 
 
 # ------------------------------------------------------------------ leakage
@@ -266,16 +269,17 @@ def class_share(df: DataFrame, cls: str) -> DataFrame:
 
 
 def describe_splits(df_split: DataFrame, group: str, cls: str, classes: Sequence[str]) -> DataFrame:
-    """Items, groups and class counts of each split."""
+    """Items, groups and class counts of each split; ``n_other`` counts rows of any other or no class."""
     counted = df_split.groupBy("split", group, cls).agg(F.count(F.lit(1)).alias("n"))
     per_group = counted.groupBy("split", group).agg(
         F.sum("n").alias("n"),
         *[F.sum(F.when(F.col(cls) == c, F.col("n")).otherwise(0)).alias(f"n_{c}") for c in classes],
+        F.sum(F.when(F.coalesce(F.col(cls).isin(*classes), F.lit(False)), 0).otherwise(F.col("n"))).alias("n_other"),
     )
     return per_group.groupBy("split").agg(
         F.sum("n").alias("items"),
         F.count(F.lit(1)).alias("groups"),
-        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in classes],
+        *[F.sum(f"n_{c}").alias(f"n_{c}") for c in (*classes, "other")],
     )
 
 
@@ -329,50 +333,29 @@ def weighted_sample(
 
     ``draws`` has one row per draw. All items of a class weigh the same, so the
     cumulative-weight interval a draw falls into is found in two exact steps: the
-    class interval (one row per class), then the rank inside the class, which is
-    an equi-join. Nothing is sorted as a whole and no interval join runs over items.
+    class interval, then the rank inside the class, which is an equi-join. Intervals
+    are met by slices of [0, 1): each is there once per slice that it touches (classes
+    plus slices at most), so draws are joined by slice, however many classes there are.
+    Each interval begins where the one before ends: no draw falls between two.
     """
     sizes = df.groupBy(cls).agg(F.count(F.lit(1)).alias("_n"))
-    mass = sizes.join(weights.select(cls, "weight"), cls).withColumn(
-        "_mass", F.col("_n") * F.col("weight")
-    )
+    mass = join_class(sizes, weights.select(cls, "weight"), [cls]).withColumn("_mass", F.col("_n") * F.col("weight")).filter("_mass > 0")
     everything = W.partitionBy(F.lit(0))
     upto = everything.orderBy(cls)
-    intervals = mass.select(
-        cls,
-        "_n",
-        (F.sum("_mass").over(upto) / F.sum("_mass").over(everything)).alias("_hi"),
-        ((F.sum("_mass").over(upto) - F.col("_mass")) / F.sum("_mass").over(everything)).alias("_lo"),
-        F.row_number().over(everything.orderBy(F.col(cls).desc())).alias("_last"),
-    )
-    # One array of intervals, read by every draw; its length is the class count.
-    table = intervals.agg(
-        F.array_sort(F.collect_list(F.struct("_lo", "_hi", cls, "_n", "_last"))).alias("t")
+    ends = mass.select(cls, "_n", (F.sum("_mass").over(upto) / F.sum("_mass").over(everything)).alias("_end"))
+    intervals = ends.select(
+        cls, "_n",
+        F.coalesce(F.lag("_end").over(upto), F.lit(0.0)).alias("_lo"),
+        F.when(F.lead("_end").over(upto).isNull(), 1.0).otherwise(F.col("_end")).alias("_hi"),
     )
+    last = F.least(F.floor(F.col("_hi") * SLICES), F.lit(SLICES - 1))
+    sliced = intervals.withColumn("_slice", F.explode(F.sequence(F.least(F.floor(F.col("_lo") * SLICES), last), last)))
     u = uniform(seed, F.col(draw))
-    located = (
-        draws.select(draw, u.alias("_u"))
-        .withColumn("_t", table.scalar())
-    )
-    hit = F.filter(
-        "_t",
-        lambda s: (F.col("_u") >= s["_lo"]) & ((F.col("_u") < s["_hi"]) | (s["_last"] == 1)),
-    )[0]
-    located = (
-        pin(located, {"_hit": hit})
-        .select(
-            draw,
-            F.col("_hit")[cls].alias(cls),
-            F.least(
-                F.col("_hit._n"),
-                F.floor(
-                    (F.col("_u") - F.col("_hit._lo"))
-                    / (F.col("_hit._hi") - F.col("_hit._lo"))
-                    * F.col("_hit._n")
-                ) + 1,
-            ).alias("_rank"),
-        )
+    thrown = draws.select(draw, u.alias("_u")).withColumn("_slice", F.floor(F.col("_u") * SLICES))
+    located = thrown.join(sliced, "_slice").filter("_u >= _lo AND _u < _hi").select(
+        draw, cls,
+        F.least(F.col("_n"), F.floor((F.col("_u") - F.col("_lo")) / (F.col("_hi") - F.col("_lo")) * F.col("_n")) + 1).alias("_rank"),
     )
     key = order_key(seed, F.col(cls), F.col(item))
     ranked = class_ranks(df.select(item, cls, key.alias("_key")), cls, "_key", "_rank").drop("_key")
-    return located.join(ranked, [cls, "_rank"]).select(draw, item, cls)
+    return join_class(located, ranked.withColumnRenamed(item, "_item"), [cls, "_rank"]).select(draw, F.col("_item").alias(item), cls)

@@ -279,6 +279,19 @@ def j8_spans(spark, sf_dir):
     return out.select("event_id", F.col("prev.event_id").alias("prev_event"), r6("prev.value", "prev_value"))
 
 
+@query(
+    "j8_two_tables",
+    """SELECT f.event_id, b.event_id AS base_event, round(b.value, 6) AS base_value FROM (SELECT * FROM events WHERE event_type <> 'signup') f
+ ASOF LEFT JOIN (SELECT * FROM events WHERE event_type = 'signup') b ON f.user_id = b.user_id AND f.ts >= b.ts""",
+)
+def j8_two(spark, sf_dir):
+    # One user may own a third of both tables.
+    events = B.table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "value", "event_type")
+    first, later = events.filter("event_type = 'signup'"), events.filter("event_type <> 'signup'").select("event_id", "user_id", "ts")
+    out = CH.as_of(later, first, "user_id", "ts", ("event_id", "value"), span=("minute", "hour", "day"))
+    return out.select("event_id", F.col("base.event_id").alias("base_event"), r6("base.value", "base_value"))
+
+
 @query(
     "p26_relative_change",
     f"WITH {PAIRS} SELECT subject, d, round({rel_sql('diameter')}, 6) AS diameter_change, round({rel_sql('a')}, 6) AS a_change FROM pairs",

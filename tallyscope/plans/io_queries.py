@@ -11,12 +11,14 @@ from pyspark.sql import functions as F
 from ..operators import cases as C
 from ..operators import grading as G
 from ..operators import metrics as M
+from ..operators import raster as R
 from ..sources import bindings as B
 from ..sources import io as IO
 from ..session import scratch_path as scratch
 from ..streaming import triage as ST
 from ..functions.scores import linear_logits, softmax
 from .grading_queries import parts_sql
+from .raster_queries import PX
 from .registry import query
 from .score_queries import COMPARISON_METRICS, SUMMARY_SQL, r6
 from .sql import CASES, CLASSES, PREDS, TIERS_CTE, VECS
@@ -122,6 +124,21 @@ def a8(spark, sf_dir):
     ).select("page_id", "reject_reason")
 
 
+@query("a6_image_rows", f"WITH {PX} SELECT image_id, y, x, r, g, b FROM px0")
+def a6(spark, sf_dir):
+    """Pictures as the image source has them (bytes in BGR order), taken apart into pixels."""
+    arrays = B.raster_arrays(spark, sf_dir)
+    two = lambda v: F.lpad(F.hex(v.cast("long")), 2, "0")
+    coded = F.array_join(F.transform("px", lambda p: F.concat(two(p["b"]), two(p["g"]), two(p["r"]))), "")
+    images = arrays.select(
+        F.struct(
+            F.concat(F.lit("file:/pictures/"), F.col("image_id").cast("string"), F.lit(".png")).alias("origin"), F.col("h").alias("height"), F.col("w").alias("width"),
+            F.lit(3).alias("nChannels"), F.lit(16).alias("mode"), F.unhex(coded).alias("data"),
+        ).alias("image")
+    )
+    return R.pixels(R.image_arrays(images)).select(F.col("image_id").cast("long").alias("image_id"), "y", "x", "r", "g", "b")
+
+
 DIRTY = "CASE WHEN event_id % 17 = 0 THEN substr(props, 1, 4) WHEN event_id % 19 = 0 THEN NULL ELSE props END"
 
 
@@ -249,7 +266,9 @@ def t1(spark, sf_dir):
         kept = batch.withColumn("label", F.col("label") % 7).withColumn("_w", head.scalar())
         logits = linear_logits(F.col("embedding").cast("array<double>"), F.col("_w"), scale=40.0)
         return kept.withColumn("logits", logits).select(
-            "vec_id", softmax(F.col("logits")).alias("probs"), F.lit("2024-01-01").alias("created_at")
+            "vec_id", softmax(F.col("logits")).alias("probs"),
+            # One capture a minute: the log is laid out by the record's own day.
+            F.timestamp_seconds(F.lit(1704067200) + F.col("vec_id") * 60).alias("created_at"),
         )
 
     ST.triage_stream(source, log_dir, checkpoint, "vec_id", "vec_id", "created_at", prepare).awaitTermination()

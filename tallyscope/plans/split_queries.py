@@ -213,7 +213,8 @@ SEGMENT_COUNTS = ", ".join(
 @query(
     "g3_describe_splits",
     f"""WITH {ITEMS_BIG}, {GROUPED} SELECT split, count(*) AS items,
- count(DISTINCT group_id) AS groups, {SEGMENT_COUNTS} FROM gsplit GROUP BY split""",
+ count(DISTINCT group_id) AS groups, {SEGMENT_COUNTS},
+ count(*) FILTER (WHERE cls IS NULL OR cls NOT IN ({", ".join(repr(c) for c in B.SEGMENTS)})) AS n_other FROM gsplit GROUP BY split""",
 )
 def g3(spark, sf_dir):
     return S.describe_splits(_grouped(spark, sf_dir, big=True), "group_id", "cls", B.SEGMENTS)
@@ -257,9 +258,9 @@ def g6(spark, sf_dir):
     f"""WITH {ITEMS},
 w AS (SELECT cls, n, CAST(sum(n) OVER () AS DOUBLE) / (count(*) OVER () * n) AS weight
   FROM (SELECT cls, count(*) AS n FROM items GROUP BY cls)),
-m AS (SELECT *, sum(n * weight) OVER (ORDER BY cls) / sum(n * weight) OVER () AS hi,
-  (sum(n * weight) OVER (ORDER BY cls) - n * weight) / sum(n * weight) OVER () AS lo,
+m0 AS (SELECT *, sum(n * weight) OVER (ORDER BY cls) / sum(n * weight) OVER () AS hi,
   row_number() OVER (ORDER BY cls DESC) AS back FROM w),
+m AS (SELECT * REPLACE (CASE WHEN back = 1 THEN 1 ELSE hi END AS hi), coalesce(lag(hi) OVER (ORDER BY cls), 0) AS lo FROM m0),
 d AS (SELECT item_id AS draw, CAST('0x' || substr(md5('42:' || item_id), 1, 13) AS BIGINT)
   / CAST(4503599627370496 AS DOUBLE) AS u FROM items),
 h AS (SELECT draw, cls, least(n, CAST(floor((u - lo) / (hi - lo) * n) AS BIGINT) + 1) AS rk

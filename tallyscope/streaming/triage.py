@@ -1,8 +1,8 @@
 """Continuous triage and live statistics.
 
-Both read a file stream. Triage is stateless: each micro-batch is graded and
-appended to the case log as upserts whose ``seq`` comes from the source, so a
-replayed batch or a late row changes nothing but to be upserted again.
+Both read a file stream. Triage is stateless: each micro-batch is graded and written to
+the case log as upserts whose ``seq`` comes from the source, under the batch's own name. A
+replayed batch replaces itself, and a late row is upserted again.
 """
 
 from __future__ import annotations
@@ -17,6 +17,10 @@ from ..operators import grading as G
 from ..sources.taxonomy import CLASS_CODES, CLASS_NAMES
 
 
+# Versions of the live statistics that stay.
+KEPT_VERSIONS = 2
+
+
 def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
@@ -40,16 +44,17 @@ def graded_cases(graded: DataFrame, item: str, seq: str, created_at: str) -> Dat
 
 def triage_stream(
     source: DataFrame, log_dir: str, checkpoint: str, item: str, seq: str, created_at: str,
-    prepare: Callable[[DataFrame], DataFrame] = lambda df: df,
+    prepare: Callable[[DataFrame], DataFrame] = lambda df: df, name: str = "triage",
 ) -> StreamingQuery:
     """Grade a stream of scored records into the case log; handles what is available.
 
-    ``prepare`` turns a micro-batch into scored records (``probs`` plus evidence).
+    ``prepare`` turns a micro-batch into scored records (``probs`` plus evidence). ``name`` tells
+    the streams of one log apart.
     """
 
-    def upsert(batch: DataFrame, _batch_id: int) -> None:
+    def upsert(batch: DataFrame, batch_id: int) -> None:
         rows = graded_cases(G.grade(prepare(batch)), item, seq, created_at)
-        C.write_log(C.append_upserts(None, rows), log_dir)
+        C.write_log(C.append_upserts(None, rows), log_dir, batch=f"{name}-{batch_id}")
 
     return (
         source.writeStream.foreachBatch(upsert)
@@ -76,6 +81,9 @@ def live_stats(source: DataFrame, path: str, checkpoint: str) -> StreamingQuery:
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.coalesce(1).write.mode("overwrite").parquet(f"{path}/version={batch_id}")
+        # A reader may still be at the version before; older ones go.
+        old = batch.sparkSession._jvm.org.apache.hadoop.fs.Path(f"{path}/version={batch_id - KEPT_VERSIONS}")
+        old.getFileSystem(batch.sparkSession._jsc.hadoopConfiguration()).delete(old, True)
 
     return (
         tier_counts(source)

@@ -161,3 +161,43 @@ def test_records_delivered_twice_and_notes_after_compaction(spark, tmp_path):
     assert "SortAggregate" not in plan and "HashAggregate" in plan
     with pytest.raises(AnalysisException):
         C.compact(log, str(tmp_path / "log"))
+
+
+def test_as_of_over_a_subject_that_holds_a_third(spark):
+    import random
+    from datetime import datetime, timedelta
+
+    draw = random.Random(5)
+    start = datetime(2024, 3, 1)
+
+    def rows(n, salt):
+        out = []
+        for i in range(n):
+            subject = draw.choice([None, "s1", "s2", "hot", "hot", "hot"])
+            out.append((salt + i, subject, None if draw.random() < 0.03 else start + timedelta(seconds=draw.randrange(0, 400_000, 7)), draw.choice([None, draw.random()])))
+        return out
+
+    left, right = rows(400, 0), rows(300, 1000)
+    right += [(5000, "hot", left[0][2] or start, 1.0), (5001, "hot", left[0][2] or start, 2.0)]
+    schema = "k long, who string, at timestamp, v double"
+    later, first = spark.createDataFrame(left, schema).withColumn("base_k", F.lit(1)), spark.createDataFrame(right, schema)
+    for strict in (False, True):
+        want = {}
+        for k, who, at, _ in left:
+            known = [r for r in right if at is not None and r[2] is not None and r[1] == who and (r[2] < at or not strict and r[2] == at)]
+            best = max(known, key=lambda r: (r[2], r[0])) if known else None
+            want[k] = best and best[0]
+        for span in ((), ("minute", "hour", "day")):
+            got = {r["k"]: r["base"] and r["base"]["k"] for r in CH.as_of(later, first, "who", "at", ("k", "v"), span, strict).collect()}
+            assert got == want, (strict, span)
+
+
+def test_pages_at_any_depth(spark):
+    rows = spark.range(3000).selectExpr(
+        "CAST(id * 7919 % 3001 AS STRING) AS id", "CASE WHEN id % 3 = 0 THEN timestamp'2025-01-01 10:00:00' WHEN id % 97 = 0 THEN NULL ELSE timestamp'2025-01-01' + make_dt_interval(0, 0, id * 13) END AS created_at",
+    ).repartition(5).cache()
+    whole = [tuple(r) for r in rows.orderBy(F.desc("created_at"), F.desc("id")).collect()]
+    for offset, limit in ((0, 1), (49, 50), (1900, 200), (2950, 200), (2999, 1), (3000, 5)):
+        page = C.list_cases(rows, limit, offset).collect()
+        assert [tuple(r)[:2] for r in page] == whole[offset : offset + limit] and {r["total"] for r in page} <= {3000}
+    assert C.list_cases(rows.limit(0)).collect() == []

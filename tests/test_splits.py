@@ -152,3 +152,28 @@ def test_checks_report_trouble(spark):
     assert S.classes_per_group(frame, "grp", "cls").first()["mixed_groups"] == 1
     overlap = {r["pair"]: r["shared_groups"] for r in S.split_overlap(frame, "grp").collect()}
     assert overlap == {"train-val": 0, "train-test": 1, "val-test": 0}
+
+
+def test_sample_is_exact_for_repeated_items(spark):
+    rows = [(1, "a"), (1, "a"), (1, "a"), (2, "a"), (3, None), (3, None), (4, "b")]
+    frame = spark.createDataFrame(rows, "item int, cls string").repartition(3)
+    for n in (1, 2, 3):
+        found = S.sample_per_class(frame, "item", "cls", n)
+        assert {r["cls"]: r["count"] for r in found.groupBy("cls").count().collect()} == {"a": min(n, 4), None: min(n, 2), "b": 1}
+
+
+def test_every_draw_finds_an_item(spark):
+    """Many classes, whose cumulative weights round; none with weight 0 is drawn."""
+    frame = spark.range(3000).selectExpr("id AS item", "CASE WHEN id % 3 = 0 THEN 'hot' ELSE concat('c', id % 500) END AS cls")
+    weights = frame.select("cls").distinct().selectExpr("cls", "CASE WHEN cls = 'c7' THEN 0D ELSE 1D / (3 + length(cls)) END AS weight")
+    draws = spark.range(20_000).selectExpr("id AS draw")
+    found = S.weighted_sample(frame, "item", "cls", weights, draws, "draw")
+    assert found.count() == 20_000 and found.filter("cls = 'c7'").isEmpty()
+    assert found.join(frame.withColumnRenamed("cls", "own"), "item").filter("cls <> own").isEmpty()
+
+
+def test_other_classes_are_counted(spark):
+    rows = [("train", "g", "x"), ("train", "g", None), ("train", "h", "zz"), ("test", "h", "x")]
+    frame = spark.createDataFrame(rows, "split string, grp string, cls string")
+    got = {r["split"]: (r["items"], r["n_x"], r["n_other"]) for r in S.describe_splits(frame, "grp", "cls", ("x",)).collect()}
+    assert got == {"train": (3, 1, 2), "test": (1, 1, 0)}
