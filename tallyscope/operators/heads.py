@@ -13,7 +13,8 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.basic import let, literal_array, pin, total
+from ..functions.basic import let, literal_array, total
+from ..session import stored
 from ..sources.taxonomy import CLASS_CODES
 from .metrics import confusion_counts, macro_f1
 
@@ -167,36 +168,55 @@ def _nll(logits: Column, target: Column, t: Column) -> Column:
     )
 
 
-def _nll_by_temperature(df: DataFrame, grid: Column) -> DataFrame:
-    """Mean NLL per grid value; partial sums keep the shuffle as small as the grid."""
-    return (
-        df.withColumn("t", F.explode_outer(grid))
-        .select("t", _nll(F.col("logits"), F.col("target"), F.col("t")).alias("nll"))
-        .groupBy("t")
-        .agg(F.avg("nll").alias("nll"))
-    )
+def _slope(logits: Column, target: Column, by: Column) -> tuple[Column, Column]:
+    """First and second derivative of the loss in the inverse temperature ``by``: how far the mean
+    logit under the scores lies above the target's, and the logits' variance under the scores."""
+    weights = let(F.array_max(logits), lambda top: F.transform(logits, lambda x: F.exp((x - top) * by)))
+
+    def moments(e: Column) -> Column:
+        mass = total(e)
+        mean = total(F.zip_with(e, logits, lambda w, x: w * x)) / mass
+        square = total(F.zip_with(e, logits, lambda w, x: w * x * x)) / mass
+        return F.struct((mean - F.element_at(logits, target + 1)).alias("first"), F.greatest(square - mean * mean, F.lit(0.0)).alias("second"))
+
+    found = let(weights, moments)
+    return found["first"], found["second"]
+
 
+# Inverse temperatures that the first pass looks at, and passes in all.
+BRACKETS, PASSES = 16, 8
 
-def calibrate(df: DataFrame, lo: float = 0.25, hi: float = 10.0, step: float = 0.25, zoom: int = 64) -> DataFrame:
-    """One row (temperature, nll): grid minimum, then a finer grid around it.
 
-    The loss is unimodal in T, so the finer grid brackets the true minimum.
+def calibrate(df: DataFrame, lo: float = 0.25, hi: float = 10.0, tolerance: float = 1e-9) -> DataFrame:
+    """One row (temperature, nll), nulls where there is nothing to fit on.
+
+    The loss is convex in the inverse temperature. A first pass takes its slope at a few
+    values between the limits and so brackets the minimum; Newton steps on the averaged
+    derivatives follow, halving the bracket where a step would leave it, until the slope in
+    T is below ``tolerance``: at most PASSES passes over stored scores, a few numbers each.
     """
-    first, last = int(lo / step), int(hi / step)
-    coarse = literal_array([i * step for i in range(max(first, 1), last + 1)])
-    best = _nll_by_temperature(df, coarse).agg(F.min_by("t", "nll").alias("t0"))
-    fine = step / zoom
-    offsets = literal_array([j * fine for j in range(-zoom, zoom + 1)])
-    around = df.withColumn("_t0", best.scalar())
-    grid = F.array_distinct(
-        F.transform(
-            offsets, lambda o: F.least(F.lit(hi), F.greatest(F.lit(lo), F.col("_t0") + o))
-        )
-    )
-    scanned = _nll_by_temperature(pin(around, {"_grid": grid}), F.col("_grid"))
-    return scanned.agg(F.min(F.struct("nll", "t")).alias("m")).select(
-        F.col("m.t").alias("temperature"), F.col("m.nll").alias("nll")
-    )
+    spark = df.sparkSession
+    schema = "temperature DOUBLE, nll DOUBLE"
+    rows = stored(df.select("target", "logits"), "scores")
+    target, logits = F.col("target"), F.col("logits")
+    ratio = (hi / lo) ** (1 / (BRACKETS - 1))
+    tried = [ratio**i / hi for i in range(BRACKETS)]
+    slopes = list(rows.agg(*[F.avg(_slope(logits, target, F.lit(by))[0]) for by in tried]).first())
+    if slopes[0] is None:
+        return spark.createDataFrame([(None, None)], schema)
+    rising = [s > 0 for s in slopes]
+    at = rising.index(True) if any(rising) else BRACKETS
+    low, high = tried[max(0, at - 1)], tried[min(at, BRACKETS - 1)]
+    by = low if low == high else (low + high) / 2
+    for _ in range(PASSES - 1):
+        first, second = _slope(logits, target, F.lit(by))
+        row = rows.agg(F.avg(first).alias("first"), F.avg(second).alias("second"), F.avg(_nll(logits, target, F.lit(1.0 / by))).alias("nll")).first()
+        if abs(row["first"]) * by * by < tolerance or low == high:
+            break
+        low, high = (low, by) if row["first"] > 0 else (by, high)
+        step = by - row["first"] / row["second"] if row["second"] > 0 else low
+        by = step if low < step < high else (low + high) / 2
+    return spark.createDataFrame([(1.0 / by, row["nll"])], schema)
 
 
 def fit_temperature(df: DataFrame, lo: float = 0.25, hi: float = 10.0) -> float:

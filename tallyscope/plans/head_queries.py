@@ -65,38 +65,46 @@ def s5(spark, sf_dir):
     return df.select("vec_id", "pass", *spread(df))
 
 
-@query(
-    "g18_view_summary",
-    VIEW_PASSES + f""", pt AS (SELECT *, list_position(probs, list_max(probs)) - 1 AS top FROM ps WHERE pass < 5),
+VIEW_SUMMARY = VIEW_PASSES + f""", pt AS (SELECT *, list_position(probs, list_max(probs)) - 1 AS top FROM ps WHERE pass < 5),
 a AS (SELECT vec_id, {MEAN_COLS}, {STD_COLS}, list(top ORDER BY pass) AS picks FROM pt GROUP BY 1),
 b AS (SELECT *, {MEAN_LIST} AS probs, {STD_LIST} AS stds FROM a),
 c AS (SELECT *, list_position(probs, list_max(probs)) - 1 AS consensus FROM b)
 SELECT vec_id, {PASS_COLS}, CAST(consensus AS INTEGER) AS consensus, round(len(list_filter(picks, lambda t: t = consensus)) / CAST(5 AS DOUBLE), 6) AS agreement,
- round(stds[consensus + 1], 6) AS top_std, array_to_string(picks, ',') AS per_pass FROM c""",
-)
-def g18(spark, sf_dir):
-    s = P.summarise_views(view_passes(spark, sf_dir, 5), "vec_id")
+ round(stds[consensus + 1], 6) AS top_std, array_to_string(picks, ',') AS per_pass FROM c"""
+DROP_SUMMARY = DROP_PASSES + f""", pt AS (SELECT *, {entropy_sql('probs')} AS ent FROM ps),
+a AS (SELECT vec_id, {MEAN_COLS}, {STD_COLS}, avg(ent) AS eh, count(*) AS n FROM pt GROUP BY 1),
+b AS (SELECT *, {MEAN_LIST} AS probs, {STD_LIST} AS stds FROM a)
+SELECT vec_id, {PASS_COLS}, round(list_sum(stds) / 7, 6) AS mean_std, round(least(1, greatest(0, {entropy_sql('probs')} - eh)), 6) AS mutual_information, n AS passes FROM b"""
+
+
+def view_columns(s):
     return s.select(
         "vec_id", *spread(s), "consensus", r6("agreement", "agreement"), r6("top_std", "top_std"),
         F.concat_ws(",", F.col("per_pass").cast("array<string>")).alias("per_pass"),
     )
 
 
-@query(
-    "g19_stochastic_summary",
-    DROP_PASSES + f""", pt AS (SELECT *, {entropy_sql('probs')} AS ent FROM ps),
-a AS (SELECT vec_id, {MEAN_COLS}, {STD_COLS}, avg(ent) AS eh, count(*) AS n FROM pt GROUP BY 1),
-b AS (SELECT *, {MEAN_LIST} AS probs, {STD_LIST} AS stds FROM a)
-SELECT vec_id, {PASS_COLS}, round(list_sum(stds) / 7, 6) AS mean_std, round(least(1, greatest(0, {entropy_sql('probs')} - eh)), 6) AS mutual_information, n AS passes FROM b""",
-)
-def g19(spark, sf_dir):
-    s = P.summarise_stochastic(drop_passes(spark, sf_dir), "vec_id")
+def drop_columns(s):
     return s.select(
         "vec_id", *spread(s), r6("mean_std", "mean_std"), r6("mutual_information", "mutual_information"),
         "passes",
     )
 
 
+@query("g18_view_summary", VIEW_SUMMARY)
+def g18(spark, sf_dir):
+    vectors = B.vecs(spark, sf_dir).select("vec_id", "v")
+    passes = P.dihedral_in_row(vectors, "vec_id", "v", head(spark, sf_dir), side=8, n=5, scale=40.0)
+    return view_columns(P.summarise_views_in_row(passes, "vec_id"))
+
+
+@query("g19_stochastic_summary", DROP_SUMMARY)
+def g19(spark, sf_dir):
+    vectors = B.vecs(spark, sf_dir).select("vec_id", "v")
+    passes = P.masked_in_row(vectors, "vec_id", "v", head(spark, sf_dir), passes=10, scale=40.0)
+    return drop_columns(P.summarise_stochastic_in_row(passes, "vec_id"))
+
+
 @query(
     "s6_fold_scaler",
     f"""WITH {SPLIT_VECS}, {MEANS}, st AS (SELECT list(mu ORDER BY pos) AS mu, list(sd ORDER BY pos) AS sd FROM (
@@ -124,6 +132,17 @@ def standardised(spark, sf_dir):
     return stored(scaled, "features")
 
 
+@query("g18_long_passes", VIEW_SUMMARY)
+def g18_long(spark, sf_dir):
+    """The same from passes that arrive as rows."""
+    return view_columns(P.summarise_views(view_passes(spark, sf_dir, 5), "vec_id"))
+
+
+@query("g19_long_passes", DROP_SUMMARY)
+def g19_long(spark, sf_dir):
+    return drop_columns(P.summarise_stochastic(drop_passes(spark, sf_dir), "vec_id"))
+
+
 @query("s1_fitted_head")
 def s1(spark, sf_dir):
     """Summary per split of a head fitted on train and selected on val."""

@@ -443,17 +443,15 @@ def g21(spark, sf_dir):
     )
 
 
-CALIBRATE = f"""WITH {PROBS}, val AS (SELECT target, logits FROM probs WHERE split = 'val'),
-n0 AS (SELECT t, avg(-(logits[target + 1] / t - list_max(logits) / t
-    - ln(list_sum(list_transform(logits, lambda x: exp(x / t - list_max(logits) / t)))))) AS nll
-  FROM val CROSS JOIN (SELECT i * CAST(0.25 AS DOUBLE) AS t FROM range(1, 41) g(i)) GROUP BY t),
-b0 AS (SELECT arg_min(t, nll) AS t0 FROM n0),
-n1 AS (SELECT t, avg(-(logits[target + 1] / t - list_max(logits) / t
-    - ln(list_sum(list_transform(logits, lambda x: exp(x / t - list_max(logits) / t)))))) AS nll
-  FROM val CROSS JOIN (SELECT least(10.0, greatest(0.25, t0 + j * CAST(0.00390625 AS DOUBLE))) AS t
-    FROM b0 CROSS JOIN range(-64, 65) g(j)) GROUP BY t),
-b1 AS (SELECT t, nll FROM n1 ORDER BY nll, t LIMIT 1)
-SELECT round(t, 6) AS temperature, round(nll, 6) AS nll FROM b1"""
+CALIBRATE = f"""WITH RECURSIVE {PROBS}, val AS (SELECT target, logits FROM probs WHERE split = 'val'),
+halved AS (SELECT 0 AS i, CAST(0.1 AS DOUBLE) AS lo, CAST(4 AS DOUBLE) AS hi
+  UNION ALL SELECT i + 1, CASE WHEN avg(list_dot_product(e, logits) / list_sum(e) - logits[target + 1]) > 0 THEN lo ELSE mid END,
+    CASE WHEN avg(list_dot_product(e, logits) / list_sum(e) - logits[target + 1]) > 0 THEN mid ELSE hi END
+  FROM (SELECT i, lo, hi, (lo + hi) / 2 AS mid, target, logits, list_transform(logits, lambda x: exp((x - list_max(logits)) * (lo + hi) / 2)) AS e FROM halved CROSS JOIN val WHERE i < 50)
+  GROUP BY i, lo, hi, mid),
+fit AS (SELECT 2 / (lo + hi) AS t FROM halved WHERE i = 50)
+SELECT round(t, 6) AS temperature, round(avg(-(logits[target + 1] / t - list_max(logits) / t
+    - ln(list_sum(list_transform(logits, lambda x: exp(x / t - list_max(logits) / t)))))), 6) AS nll FROM fit CROSS JOIN val GROUP BY t"""
 
 
 @query("s3_temperature", CALIBRATE)

@@ -161,6 +161,17 @@ def test_temperature_recovers_a_known_scale(spark):
     frame = spark.createDataFrame(data, "target INT, logits ARRAY<DOUBLE>")
     assert H.fit_temperature(frame) == pytest.approx(2.0, abs=0.2)
     assert H.fit_temperature(frame.limit(0)) == 1.0
+    rows = [(r["target"], r["logits"]) for r in frame.select("target", "logits").collect()]
+
+    def loss(t):
+        return sum(math.log(sum(math.exp((x - max(z)) / t) for x in z)) - (z[y] - max(z)) / t for y, z in rows) / len(rows)
+
+    found = H.calibrate(frame).first()
+    t = found["temperature"]
+    assert found["nll"] == pytest.approx(loss(t)) and abs(loss(t + 1e-4) - loss(t - 1e-4)) / 2e-4 < 1e-6
+    # A minimum outside the limits is the nearer limit.
+    assert H.calibrate(frame, lo=t * 2, hi=t * 3).first()["temperature"] == pytest.approx(t * 2)
+    assert H.calibrate(frame, lo=t / 3, hi=t / 2).first()["temperature"] == pytest.approx(t / 2)
 
 
 def test_loss_without_weights_is_plain_cross_entropy(spark):
