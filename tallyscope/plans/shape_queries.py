@@ -6,15 +6,24 @@ The SQL twins take other ways: parts by reachability, hull edges by trying all p
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import functions as F
 
+from ..operators import analysis as AN
+from ..operators import passes as P
 from ..operators import raster_components as RC
 from ..operators import raster_hull as RH
 from ..operators import raster_shape as RS
 from ..operators import raster_structures as RT
-from .raster_queries import FLAT, MASK, W3, masked, mirror, stencil
+from ..sources import bindings as B
+from ..streaming.triage import graded_cases
+from .grading_queries import REASONS, parts_sql as graded_sql
+from .head_queries import VIEW_SUMMARY, head
+from .raster_queries import ASYM, BORDER, COLOR_PARTS, FLAT, GEOMETRY, MASK, QUALITY, W3, masked, mirror, px, stencil
 from .registry import query
-from .score_queries import r6
+from .score_queries import MARGIN_SQL, VERDICT_SQL, r6
+from .sql import CLASSES, TIERS_CTE, entropy_sql
 
 
 def parts_sql(source: str, flag: str, out: str) -> str:
@@ -178,3 +187,61 @@ def m17_structures(spark, sf_dir):
         "image_id", "dots", *[r6(c, c) for c in ("ridge_share", "mesh_share")], "rim", *[r6(c, c) for c in ("rim_slope", "core_slope")],
         "dots_globules", "pigment_network", "streaks", F.concat_ws(",", "structures").alias("structures"), "d",
     )
+
+
+# ------------------------------------------------------------- whole analysis
+
+
+def on_picked(sql: str) -> str:
+    """A twin over the plain mask, over the picked one."""
+    return PARTS + re.sub(r"\bmk\b", "pk", sql.removeprefix("WITH ").removeprefix(MASK))
+
+
+VIEWS = VIEW_SUMMARY[: VIEW_SUMMARY.rindex("\nSELECT vec_id")]
+ANALYSIS = f"""WITH {CLASSES}, {TIERS_CTE},
+x_views AS ({VIEWS} SELECT vec_id, probs, len(list_filter(picks, lambda t: t = consensus)) / CAST(5 AS DOUBLE) AS agreement FROM c),
+x_geo AS ({on_picked(GEOMETRY)} SELECT image_id, conf >= 0.5 AS reliable FROM gc),
+x_a AS ({on_picked(ASYM)}), x_b AS ({on_picked(BORDER)}), x_d AS ({DETECTORS}),
+x_c AS ({PARTS}, c AS (SELECT image_id, concat_ws(',', {COLOR_PARTS}) AS colors FROM pk WHERE is_mask GROUP BY 1)
+  SELECT image_id, colors, CAST(CASE WHEN colors = '' THEN 0 ELSE len(string_split(colors, ',')) END AS INTEGER) AS c FROM c),
+x_q AS (WITH {QUALITY} SELECT image_id, CAST(greatest(0, 100 - 40 - CASE WHEN brightness < 45 OR brightness > 215 THEN 12 ELSE 0 END
+  - CASE WHEN contrast < 18 THEN 10 ELSE 0 END - CASE WHEN glare > 0.12 THEN 10 ELSE 0 END - CASE WHEN texture < 0.5 THEN 35 ELSE 0 END
+  - CASE WHEN colorfulness < 4 THEN 30 WHEN skin < 0.30 THEN 35 ELSE 0 END) AS DOUBLE) AS quality_score,
+  (skin >= 0.30 AND colorfulness >= 4 AND texture >= 0.50) AS in_domain FROM q1 JOIN q2 USING (image_id)),
+ev1 AS (SELECT vec_id, probs, list_max(probs) AS conf, list_position(probs, list_max(probs)) - 1 AS pred, probs[5] AS pc, agreement, {entropy_sql('probs')} AS ent, {MARGIN_SQL} AS margin,
+  CAST(coalesce(a, 0) AS INTEGER) AS a, coalesce(b, 0) AS b, coalesce(c, 0) AS c, colors, d, structures, reliable, quality_score, in_domain, TRUE AS blocking, CAST(NULL AS DOUBLE) AS attention
+  FROM x_views v JOIN x_geo g ON g.image_id = v.vec_id JOIN x_d USING (image_id) JOIN x_q USING (image_id) LEFT JOIN x_a USING (image_id) LEFT JOIN x_b USING (image_id) LEFT JOIN x_c USING (image_id)),
+ev AS (SELECT *, CAST(1.3 AS DOUBLE) * a + CAST(0.1 AS DOUBLE) * b + CAST(0.5 AS DOUBLE) * c + CAST(0.5 AS DOUBLE) * d AS tds, {VERDICT_SQL} AS stability FROM ev1), {graded_sql(True)}"""
+
+
+def analysed(spark, sf_dir):
+    """Every picture, scored over its views, measured, graded and told."""
+    vectors = B.vecs(spark, sf_dir).select("vec_id", "v")
+    passes = P.dihedral_in_row(vectors, "vec_id", "v", head(spark, sf_dir), side=8, n=5, scale=40.0)
+    views = P.summarise_views_in_row(passes, "vec_id").select(F.col("vec_id").alias("image_id"), "probs", "agreement")
+    return AN.analyse(px(spark, sf_dir, True), views, blur=0, stencil=3, structure_options=SMALL)
+
+
+@query(
+    "analysis_document",
+    ANALYSIS + """ SELECT vec_id AS image_id, a, b, c, d, round(tds, 6) AS tds, coalesce(colors, '') AS colors, structures, reliable, quality_score, in_domain, round(agreement, 6) AS agreement,
+ stability, round(morphology, 6) AS morphology, round(score, 6) AS score, tier FROM gt""",
+)
+def analysis_document(spark, sf_dir):
+    out = analysed(spark, sf_dir)
+    return out.select(
+        "image_id", "a", "b", "c", "d", r6("tds", "tds"), F.concat_ws(",", "colors").alias("colors"), F.concat_ws(",", "structures").alias("structures"), "reliable", "quality_score",
+        "in_domain", r6("agreement", "agreement"), "stability", *[r6(c, c) for c in ("morphology", "score")], "tier",
+    )
+
+
+@query(
+    "analysis_case_rows",
+    ANALYSIS + f""" SELECT CAST(vec_id AS VARCHAR) AS id, tier, round(score, 1) AS severity_score, round(tds, 6) AS tds, quality_score,
+ ({REASONS.replace("'Input failed a critical quality check.'", "'x'")} <> '' OR tier IN ('HIGH', 'CRITICAL', 'INDETERMINATE')) AS requires_review FROM gt""",
+)
+def analysis_case_rows(spark, sf_dir):
+    """The analysis as rows of the case log."""
+    graded = analysed(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("image_id") * 60))
+    rows = graded_cases(graded, "image_id", "image_id", "at")
+    return rows.select("id", "tier", "severity_score", r6("tds", "tds"), "quality_score", "requires_review")
