@@ -336,7 +336,8 @@ def _with_names(rows: DataFrame, column: str, names: DataFrame, how: str) -> Dat
     salts = F.explode(F.sequence(F.lit(0).cast("long"), F.lit(SALTS - 1).cast("long")))
     spread = names.withColumn("_salt", salts)
     same = (F.col(column) == F.col("_at")) & (F.pmod("node", F.lit(SALTS).cast("long")) == F.col("_salt"))
-    return rows.join(spread, same, how).drop("_at", "_salt")
+    # Names grow with the data: they are never sent to all executors.
+    return rows.join(spread.hint("merge"), same, how).drop("_at", "_salt")
 
 
 def components(edges: DataFrame) -> DataFrame:
