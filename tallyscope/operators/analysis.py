@@ -8,15 +8,17 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.grading import composite_abcd
 from ..functions.scores import confidence, entropy, margin, verdict
 from ..session import stored
+from . import change as CH
 from . import grading as G
 from . import raster as R
 from . import raster_components as RC
 from . import raster_hull as RH
+from . import raster_pairs as RP
 from . import raster_shape as RS
 from . import raster_structures as RT
 from .rules import IMAGE_RULES, Rule, apply_rules, in_domain
@@ -44,6 +46,7 @@ def mask_evidence(px: DataFrame, structure_options: Mapping | None = None) -> Da
         RS.border(px).select("image_id", "b", "irregularity"),
         RS.colors_present(px).select("image_id", "colors", "c"),
         RT.structures(px, **(structure_options or {})).select("image_id", "structures", "d"),
+        RS.color_variance(px),
         RH.shape_descriptors(px).select("image_id", "circularity", "compactness", "solidity"),
     ):
         joined = joined.join(found, "image_id")
@@ -70,3 +73,52 @@ def analyse(
     )
     joined = scored.join(evidence, "image_id").join(picture_quality(px, rules, stencil), "image_id")
     return G.narrative(G.grade(G.disable_stages(joined, options), trained=trained))
+
+
+# What a comparison takes of each capture, and what it calls it.
+_COMPARED = {
+    "diameter": "diameter_fraction", "area": "area_ratio", "tds": "tds", "a": "a", "b": "b", "c": "c", "color_variance": "color_variance",
+    "colors": "colors", "structures": "structures", "reliable": "reliable",
+}
+
+
+def compare(evidence: DataFrame, pairs: DataFrame, pair_px: DataFrame, ts: str, field_mm: float | None = None) -> DataFrame:
+    """Change report of pairs of pictures from what was measured on them.
+
+    evidence: rows of ``mask_evidence``. pairs: pair_id, base_id, follow_id and the captures' times
+    ``base_<ts>`` and ``<ts>``. pair_px: pixels of both sides, colocated by pair (see ``raster_pairs``);
+    their colour distance and similarity are part of the score. Pairs that lack a side are left out.
+    """
+    def side(key: str, prefix: str) -> DataFrame:
+        return evidence.select(F.col("image_id").alias(key), *[F.col(c).alias(prefix + n) for n, c in _COMPARED.items()])
+
+    distance, likeness = RP.histogram_distance(pair_px), RP.structural_similarity(pair_px)
+    joined = pairs.join(side("base_id", "base_"), "base_id").join(side("follow_id", ""), "follow_id").join(distance, "pair_id").join(likeness, "pair_id")
+    both = F.col("reliable") & F.col("base_reliable")
+    return CH.change_report(joined.withColumn("reliable", both), ts, field_mm)
+
+
+def batch_items(items: DataFrame, graded: DataFrame, batch: str, item: str) -> DataFrame:
+    """The document of each batch, a row per item: ok, error, tier, short_name, confidence (per cent),
+    queue_place (of urgent items, most confident first) and the batch's count, succeeded, failed, urgent.
+
+    items: batch, item and error (null where the item was admitted). An admitted item without a
+    graded row has failed too. Places are windows over one batch, which an upload limit bounds.
+    """
+    name = G._pick([G.SHORT_NAMES[c] for c in G.CLASS_CODES], F.col("top_idx"))
+    found = graded.select(item, "tier", name.alias("short_name"), "confidence", F.lit(True).alias("_graded"))
+    joined = items.select(batch, item, "error").join(found, item, "left")
+    ok = F.col("error").isNull() & F.col("_graded").isNotNull()
+    told = joined.select(
+        batch, item, ok.alias("ok"), F.when(~ok, F.coalesce("error", F.lit("not_analysed"))).alias("error"),
+        *[F.when(ok, F.col(c)).alias(c) for c in ("tier", "short_name")], F.when(ok, F.round(F.col("confidence") * 100, 2)).alias("confidence"),
+        F.when(ok & F.col("tier").isin("HIGH", "CRITICAL"), F.col("confidence")).alias("_urgency"),
+    )
+    whole = W.partitionBy(batch)
+    place = F.row_number().over(whole.orderBy(F.desc_nulls_last("_urgency"), item))
+    return told.withColumns(
+        {
+            "queue_place": F.when(F.col("_urgency").isNotNull(), place), "count": F.count(F.lit(1)).over(whole), "succeeded": F.count_if("ok").over(whole),
+            "failed": F.count_if(~F.col("ok")).over(whole), "urgent": F.count("_urgency").over(whole),
+        }
+    ).drop("_urgency")

@@ -18,10 +18,12 @@ from ..operators import raster_shape as RS
 from ..operators import raster_structures as RT
 from ..sources import bindings as B
 from ..streaming.triage import graded_cases
-from .grading_queries import REASONS, parts_sql as graded_sql
+from ..sources import io as IO
+from .case_queries import rel_sql
+from .grading_queries import GRADED, REASONS, graded, parts_sql as graded_sql
 from .head_queries import VIEW_SUMMARY, head
-from .raster_queries import ASYM, BORDER, COLOR_PARTS, FLAT, GEOMETRY, MASK, QUALITY, W3, masked, mirror, px, stencil
-from .registry import query
+from .raster_queries import ASYM, BORDER, COLOR_PARTS, FLAT, GEOMETRY, MASK, QUALITY, W3, masked, mirror, paired, px, stencil
+from .registry import ORACLES, query
 from .score_queries import MARGIN_SQL, VERDICT_SQL, r6
 from .sql import CLASSES, TIERS_CTE, entropy_sql
 
@@ -245,3 +247,63 @@ def analysis_case_rows(spark, sf_dir):
     graded = analysed(spark, sf_dir).withColumn("at", F.timestamp_seconds(F.lit(1704067200) + F.col("image_id") * 60))
     rows = graded_cases(graded, "image_id", "image_id", "at")
     return rows.select("id", "tier", "severity_score", r6("tds", "tds"), "quality_score", "requires_review")
+
+
+def raw(name: str, column: str) -> str:
+    """A registered twin whose result is not rounded."""
+    return re.sub(rf"round\(((?:sqrt|least)\(.*), 6\) AS {column}", rf"\1 AS {column}", ORACLES[name], flags=re.S)
+
+
+COMPARED = f"""WITH x_geo AS ({on_picked(GEOMETRY)} SELECT image_id, ratio, sqrt(4 * area / pi()) / 8 AS diameter, conf >= 0.5 AS reliable FROM gc),
+x_a AS ({on_picked(ASYM)}), x_b AS ({on_picked(BORDER)}), x_d AS ({DETECTORS}), x_dist AS ({raw('m24_histogram_distance', 'color_distance')}), x_sim AS ({raw('m25_similarity', 'similarity')}),
+x_c AS ({PARTS} SELECT image_id, concat_ws(',', {COLOR_PARTS}) AS colors, (stddev_pop(r) + stddev_pop(g) + stddev_pop(b)) / 3 AS cv FROM pk WHERE is_mask GROUP BY 1),
+im AS (SELECT image_id, diameter, ratio AS area, list_filter(string_split(coalesce(colors, ''), ','), lambda v: v <> '') AS colors, string_split(structures, ',') AS structures, reliable, d,
+  CAST(coalesce(a, 0) AS INTEGER) AS a, coalesce(b, 0) AS b, coalesce(cv, 0) AS color_variance
+  FROM x_geo JOIN x_d USING (image_id) LEFT JOIN x_a USING (image_id) LEFT JOIN x_b USING (image_id) LEFT JOIN x_c USING (image_id)),
+it AS (SELECT *, CAST(1.3 AS DOUBLE) * a + CAST(0.1 AS DOUBLE) * b + CAST(0.5 AS DOUBLE) * len(colors) + CAST(0.5 AS DOUBLE) * d AS tds FROM im),
+pairs AS (SELECT pair_id, f.*, p.diameter AS base_diameter, p.area AS base_area, p.tds AS base_tds, p.colors AS base_colors, p.structures AS base_structures, color_distance, similarity
+  FROM it p JOIN it f ON f.image_id = p.image_id + 1 AND p.image_id % 2 = 0 JOIN x_dist ON pair_id = p.image_id // 2 JOIN x_sim USING (pair_id)),
+s0 AS (SELECT *, {rel_sql('diameter')} AS dc, {rel_sql('area')} AS ac, len(list_filter(colors, lambda v: NOT list_contains(base_colors, v))) AS nn,
+  list_contains(structures, 'blue_white_veil') AND NOT list_contains(base_structures, 'blue_white_veil') AS veiled FROM pairs),
+s1 AS (SELECT *, least(100, greatest(0, least(abs(dc) / CAST(0.5 AS DOUBLE), 1) * 28 + least(abs(ac) / CAST(0.8 AS DOUBLE), 1) * 18 + least(abs(tds - base_tds) / 2, 1) * 22
+  + (1 - similarity) * 14 + least(color_distance / CAST(0.6 AS DOUBLE), 1) * 10 + least(nn / CAST(2 AS DOUBLE), 1) * 8 + CASE WHEN veiled THEN 10 ELSE 0 END)) AS score FROM s0)"""
+
+
+@query(
+    "comparison_document",
+    COMPARED + """ SELECT pair_id, round(base_diameter, 6) AS base_diameter, round(diameter, 6) AS diameter, round(tds - base_tds, 6) AS tds_change, round(color_distance, 6) AS color_distance,
+ round(similarity, 6) AS similarity, 1 AS days, round(score, 6) AS change_score, CASE WHEN score >= 55 THEN 'significant_change' WHEN score >= 28 THEN 'minor_change' ELSE 'stable' END AS verdict FROM s1""",
+)
+def comparison_document(spark, sf_dir):
+    """Pictures 2k and 2k+1 as captures of one subject on following days."""
+    evidence = AN.mask_evidence(picked(spark, sf_dir).repartition("image_id"), SMALL)
+    n = F.col("vec_id")
+    day = lambda i: F.date_add(F.lit("2024-01-01").cast("date"), i.cast("int"))
+    pairs = B.table(spark, sf_dir, "embeddings").filter(n % 2 == 0).select(
+        F.floor(n / 2).alias("pair_id"), n.alias("base_id"), (n + 1).alias("follow_id"), day(n).alias("base_day"), day(n + 1).alias("day")
+    )
+    out = AN.compare(evidence, pairs, paired(spark, sf_dir), "day")
+    return out.select(
+        "pair_id", r6("base_diameter", "base_diameter"), r6("diameter", "diameter"), (F.round(F.col("tds") - F.col("base_tds"), 6) + 0.0).alias("tds_change"), r6("color_distance", "color_distance"),
+        (F.round("similarity", 6) + 0.0).alias("similarity"), "days", r6("change_score", "change_score"), "verdict",
+    )
+
+
+@query(
+    "batch_document",
+    GRADED + """,
+it AS (SELECT vec_id, vec_id // 16 AS batch, CASE WHEN vec_id % 17 = 0 THEN 'unsupported_type' WHEN vec_id % 19 = 0 THEN 'empty' END AS error FROM embeddings),
+bi AS (SELECT batch, it.vec_id, error IS NULL AND tier IS NOT NULL AS ok, CASE WHEN error IS NOT NULL OR tier IS NULL THEN coalesce(error, 'not_analysed') END AS error, tier, short_name, conf FROM it LEFT JOIN gt USING (vec_id)),
+bu AS (SELECT *, CASE WHEN ok AND tier IN ('HIGH', 'CRITICAL') THEN conf END AS urgency FROM bi)
+SELECT batch, vec_id, ok, error, CASE WHEN ok THEN tier END AS tier, CASE WHEN ok THEN short_name END AS short_name, CASE WHEN ok THEN round(conf * 100, 2) END AS confidence,
+ CASE WHEN urgency IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY batch ORDER BY urgency DESC NULLS LAST, vec_id) AS INTEGER) END AS queue_place, count(*) OVER w AS count,
+ count(*) FILTER (WHERE ok) OVER w AS succeeded, count(*) FILTER (WHERE NOT ok) OVER w AS failed, count(urgency) OVER w AS urgent FROM bu WINDOW w AS (PARTITION BY batch)""",
+)
+def batch_document(spark, sf_dir):
+    """Pictures in batches of 16; some come under another type, some without content."""
+    n = F.col("vec_id")
+    files = B.table(spark, sf_dir, "embeddings").select(
+        "vec_id", F.floor(n / 16).alias("batch"), F.concat(F.lit("picture-"), n, F.when(n % 17 == 0, ".txt").otherwise(".png")).alias("filename"), F.when(n % 19 == 0, 0).otherwise(192).alias("size")
+    )
+    admitted = IO.admit(files, "filename", F.lit(None).cast("string"), F.col("size")).withColumnRenamed("reject_reason", "error")
+    return AN.batch_items(admitted, graded(spark, sf_dir), "batch", "vec_id")
