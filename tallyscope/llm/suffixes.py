@@ -42,6 +42,7 @@ BLOCK_BYTES = 1 << 18
 SALTS = 64
 
 _BASE = 0x9E3779B97F4A7C15
+_OTHER_BASE = 0xD6E8FEB86659FD93
 _ODD = 0x1E3779B97F4A7C15
 _PLACE_BITS = 22
 
@@ -59,15 +60,15 @@ def _inverse(odd: int) -> int:
     return x
 
 
-_TABLES: list[np.ndarray] = []
+_TABLES: dict[int, list[np.ndarray]] = {}
 
 
-def _tables(n: int) -> tuple[np.ndarray, np.ndarray]:
+def _tables(n: int, base: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse modulo 2^64, for n positions at least."""
-    if not _TABLES or len(_TABLES[0]) < n:
+    if base not in _TABLES or len(_TABLES[base][0]) < n:
         size = max(n, 2 * CHUNK_BYTES)
-        _TABLES[:] = [_powers(_BASE, size), _powers(_inverse(_BASE), size)]
-    return _TABLES[0][:n], _TABLES[1][:n]
+        _TABLES[base] = [_powers(base, size), _powers(_inverse(base), size)]
+    return _TABLES[base][0][:n], _TABLES[base][1][:n]
 
 
 def _mixed(h: np.ndarray, factor: int) -> np.ndarray:
@@ -78,8 +79,8 @@ def _mixed(h: np.ndarray, factor: int) -> np.ndarray:
 class Rolling:
     """Hashes of any substring of a buffer: differences of a sum of byte times power."""
 
-    def __init__(self, raw: np.ndarray):
-        powers, self.back = _tables(len(raw) + 1)
+    def __init__(self, raw: np.ndarray, base: int = _BASE):
+        powers, self.back = _tables(len(raw) + 1, base)
         self.sums = np.zeros(len(raw) + 1, dtype=np.uint64)
         np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers[:-1], out=self.sums[1:])
 
@@ -345,7 +346,8 @@ def _same_row(a: DataFrame, b: DataFrame):
 def _with_bytes(source: DataFrame, wanted: DataFrame) -> DataFrame:
     """source joined with `wanted` (fp, settled, lo, n, hot) gathered per row."""
     grouped = wanted.groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).agg(
-        F.collect_list(F.struct("fp", "settled", "lo", "n", "hot")).alias("wanted")
+        # A set: a row that is there r times sends its contexts r times.
+        F.collect_set(F.struct("fp", "settled", "lo", "n", "hot")).alias("wanted")
     )
     return source.join(grouped, _same_row(source, grouped)).select("doc_id", "row_key", "text", "wanted")
 
@@ -382,10 +384,10 @@ def _single_strings(joined: DataFrame, length: int) -> DataFrame:
                     if w["hot"]:
                         lo, n = w["lo"], w["n"]
                         raw = np.frombuffer(text[lo : lo + n - 1 + length], dtype=np.uint8)
-                        plain = Rolling(raw).every(length)
+                        # Two hashes of their own: 128 bits decide which strings are equal.
                         found.append([
-                            _mixed(plain, 0xBF58476D1CE4E5B9).view(np.int64),
-                            _mixed(plain, 0x94D049BB133111EB).view(np.int64),
+                            _mixed(Rolling(raw).every(length), 0xBF58476D1CE4E5B9).view(np.int64),
+                            _mixed(Rolling(raw, _OTHER_BASE).every(length), 0x94D049BB133111EB).view(np.int64),
                             np.full(n, row), np.arange(lo, lo + n), np.ones(n, dtype=np.int64),
                         ])
             if found:
@@ -426,7 +428,9 @@ def _compared(rows: DataFrame, length: int) -> DataFrame:
         if some:
             yield block(some, id_type)
 
-    dealt = rows.repartition("fp").sortWithinPartitions("fp")
+    # Sorting costs time, not bytes: a number of its own keeps small partitions from being joined.
+    tasks = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.repartition(tasks, "fp").sortWithinPartitions("fp")
     return dealt.mapInArrow(run, f"doc_id {kind}, row_key long, lo long, n long")
 
 
@@ -439,7 +443,8 @@ def repeats(source: DataFrame, length: int, gram: int, most_contexts: int) -> Da
     crowded = open_rows.groupBy("fp").count().filter(F.col("count") > most_contexts).select(F.col("fp").alias("_fp"), salts.alias("_salt"))
     salted = open_rows.withColumn("salt", F.pmod("row_key", F.lit(SALTS).cast("long")))
     same = (F.col("fp") == F.col("_fp")) & (F.col("salt") == F.col("_salt"))
-    wanted = salted.join(crowded, same, "left").withColumn("hot", F.col("_fp").isNotNull())
+    # Crowded anchors grow with the data: they are never sent to all executors.
+    wanted = salted.join(crowded.hint("merge"), same, "left").withColumn("hot", F.col("_fp").isNotNull())
     joined = _with_bytes(source, wanted)
     by_array = _compared(_context_bytes(joined.filter(F.exists("wanted", lambda w: ~w["hot"])), length), length)
     by_string = _marks(_met(_single_strings(joined.filter(F.exists("wanted", lambda w: w["hot"])), length)))
@@ -458,7 +463,7 @@ def remove_repeats(
     bytes that are removed), kept binary (the other bytes)."""
     source = _keyed(docs, id_col, text_col)
     marks = repeats(source, length, gram, most_contexts)
-    grouped = marks.groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).agg(F.collect_list(F.struct("lo", "n")).alias("marks"))
+    grouped = marks.groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).agg(F.collect_set(F.struct("lo", "n")).alias("marks"))
     joined = source.join(grouped, _same_row(source, grouped), "left").select("doc_id", "text", "marks")
     kind = joined.schema["doc_id"].dataType.simpleString()
     span = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
