@@ -95,7 +95,8 @@ def _versions(log: DataFrame, columns: Sequence[str] | None = None) -> DataFrame
     last = log.groupBy("id").agg(
         F.max(F.when(~is_note, F.col("seq"))).alias("_seq"), F.max(F.when(is_note, F.col("seq"))).alias("_note_seq")
     )
-    once = W.partitionBy("id").orderBy("seq")
+    # By the keys of the join, so that copies of a record are told apart without another exchange.
+    once = W.partitionBy("id", "seq").orderBy("seq")
 
     def at(rows: DataFrame, which: str) -> DataFrame:
         keys = last.select(F.col("id").alias("_id"), which, "_note_seq" if which == "_seq" else "_seq")

@@ -185,7 +185,11 @@ def a11(spark, sf_dir):
     return IO.parse_payload(stripped, "payload", "k BIGINT").select("event_id", "payload", F.col("parsed.k").alias("k"))
 
 
-@query("a12_artifacts")
+@query(
+    "a12_artifacts",
+    f"""SELECT TRUE AS found, {", ".join(COMPARISON_METRICS)} FROM ({SUMMARY_SQL})
+UNION ALL SELECT FALSE, {", ".join("NULL" for _ in COMPARISON_METRICS)}""",
+)
 def a12(spark, sf_dir):
     """Metric documents written for the scored table, read back; one is missing."""
     folder = scratch(spark, "artifacts")
@@ -193,7 +197,8 @@ def a12(spark, sf_dir):
     IO.write_artifact(summary.select(F.struct(*COMPARISON_METRICS).alias("measured")), folder)
     name = IO.index_files(spark, folder, ("json",)).select(F.concat("stem", F.lit(".json"))).first()[0]
     rows = IO.read_artifacts(spark, folder, [name, "absent.json"])
-    return rows.select(F.col("document").isNotNull().alias("found"), F.length("document").alias("chars"))
+    parsed = F.from_json("document", f"measured STRUCT<{', '.join(f'{m}: DOUBLE' for m in COMPARISON_METRICS)}>")
+    return rows.select(F.col("document").isNotNull().alias("found"), parsed.alias("p")).select("found", "p.measured.*")
 
 
 @query("a13_result_documents", SUMMARY_SQL)
