@@ -15,7 +15,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.basic import ratio
+from ..functions.basic import let, ratio
 from ..functions.color import luma, with_gray, with_hsv, with_ycrcb
 
 # ---- fixed values -----------------------------------------------------------
@@ -45,21 +45,26 @@ def pixels(arrays: DataFrame, colocate: bool = False) -> DataFrame:
 def image_arrays(images: DataFrame) -> DataFrame:
     """Rows of the ``image`` source to pixel arrays; its bytes are in BGR order."""
 
-    def byte(at: Column) -> Column:
-        return F.conv(F.hex(F.substring(F.col("data"), at, F.lit(1))), 16, 10).cast("double")
-
     n = F.col("nChannels")
-    pixel = F.transform(
-        F.sequence(F.lit(0), F.col("width") * F.col("height") - 1),
-        lambda i: F.struct(
-            byte(i * n + F.when(n >= 3, 3).otherwise(1)).alias("r"),
-            byte(i * n + F.when(n >= 3, 2).otherwise(1)).alias("g"),
-            byte(i * n + 1).alias("b"),
-        ),
-    )
+
+    def pixel(codes: Column) -> Column:
+        def byte(at: Column) -> Column:
+            return F.element_at(codes, at).cast("double")
+
+        return F.transform(
+            F.sequence(F.lit(0), F.col("width") * F.col("height") - 1),
+            lambda i: F.struct(
+                byte(i * n + F.when(n >= 3, 3).otherwise(1)).alias("r"),
+                byte(i * n + F.when(n >= 3, 2).otherwise(1)).alias("g"),
+                byte(i * n + 1).alias("b"),
+            ),
+        )
+
+    # Every byte is one Latin-1 character: one pass over the picture gives all their numbers.
+    codes = F.transform(F.split(F.decode(F.col("data"), "ISO-8859-1"), ""), F.ascii)
     return images.select("image.*").select(
         F.regexp_extract("origin", r"([^/]+)\.[^./]+$", 1).alias("image_id"),
-        F.col("width").alias("w"), F.col("height").alias("h"), pixel.alias("px"),
+        F.col("width").alias("w"), F.col("height").alias("h"), let(codes, pixel).alias("px"),
     )
 
 
