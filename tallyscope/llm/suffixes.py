@@ -492,7 +492,24 @@ def remove_repeats(
     return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
 
 
-@query("op2_suffix_dedup")
+# Every string of 400 bytes by its checksum, from hexadecimal text.
+SQL = """
+WITH bytes AS (SELECT doc_id, hex(encode(coalesce(text, ''))) AS h FROM documents),
+starts AS (SELECT doc_id, i, md5(substr(h, 2 * i + 1, 800)) AS k FROM (SELECT doc_id, h, unnest(range(0, length(h) // 2 - 399)) AS i FROM bytes)),
+repeated AS (SELECT doc_id, i FROM starts QUALIFY count(*) OVER (PARTITION BY k) > 1),
+marked AS (SELECT doc_id, i, CASE WHEN i - lag(i) OVER (PARTITION BY doc_id ORDER BY i) <= 400 THEN 0 ELSE 1 END AS fresh FROM repeated),
+numbered AS (SELECT doc_id, i, sum(fresh) OVER (PARTITION BY doc_id ORDER BY i) AS run FROM marked),
+spans AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM numbered GROUP BY doc_id, run),
+gaps AS (SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS a, lo AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
+  UNION ALL SELECT doc_id, coalesce(max(hi), 0), any_value(length(h) // 2) FROM bytes LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
+kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id),
+counted AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed FROM spans GROUP BY doc_id)
+SELECT b.doc_id, length(b.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
+FROM bytes b JOIN kept k USING (doc_id) LEFT JOIN counted USING (doc_id)
+"""
+
+
+@query("op2_suffix_dedup", SQL)
 def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = remove_repeats(documents(spark, sf_dir))
     return found.select(
