@@ -55,16 +55,18 @@ def mask_evidence(px: DataFrame, structure_options: Mapping | None = None) -> Da
 
 
 def analyse(
-    px: DataFrame, views: DataFrame, blur: int = 7, stencil: int = 9, rules: Sequence[Rule] = IMAGE_RULES,
+    px: DataFrame, views: DataFrame, blur: int = 7, clean: int = RT.CLEAN_SIZE, stencil: int = 9, rules: Sequence[Rule] = IMAGE_RULES,
     structure_options: Mapping | None = None, options: Mapping | None = None, trained: bool = True,
 ) -> DataFrame:
     """One graded row per image with its evidence and narrative.
 
     px: pixels colocated by image. views: image_id, probs and agreement over repeated views of
-    the picture; images without a score are not graded. options switch stages off (see
+    the picture; images without a score are not graded. clean: size of the mask's opening and
+    closing, 0 for none. options switch stages off (see
     ``grading.STAGES``).
     """
-    mask, _ = RC.picked_mask(RS.with_mask(px, blur))
+    mask = RS.with_mask(px, blur)
+    mask, _ = RC.picked_mask(RT.cleaned_mask(mask, clean) if clean else mask)
     # One exchange of the stored pixels, reused by every measure.
     held = stored(mask, "picked").repartition("image_id")
     evidence = stored(mask_evidence(held, structure_options), "evidence")

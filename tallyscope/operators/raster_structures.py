@@ -1,4 +1,4 @@
-"""Differential structures inside a mask: grey morphology and three detectors built on it."""
+"""Grey morphology and what is built on it: cleaned masks and detectors of structures inside them."""
 
 from __future__ import annotations
 
@@ -21,6 +21,7 @@ BLUR = 1.6
 MIN_AREA = 100
 DOT_RANK, DOT_AREA, DOT_AREA_MAX, DOT_AREA_SHARE, MIN_DOTS = 0.97, 6, 40, 0.01, 6
 RIDGE_RANK, RIDGE_MIN, RIDGE_SIZE, RIDGE_SHARE, MESH_SHARE = 0.92, 6.0, 9, 0.04, 0.25
+CLEAN_SIZE, CLOSINGS = 7, 2
 RIM_SIZE, MIN_RIM, RIM_FACTOR = 15, 50, 1.35
 STRUCTURES = ("structureless_area", "dots_globules", "pigment_network", "streaks", "blue_white_veil")
 # ---- end of fixed values ----------------------------------------------------
@@ -105,6 +106,15 @@ def closed(px: DataFrame, value: str, size: int, out: str) -> DataFrame:
     return extremes(extremes(px, value, size, True, "_o"), "_o", size, False, out).drop("_o")
 
 
+def cleaned_mask(px: DataFrame, size: int = CLEAN_SIZE, closings: int = CLOSINGS) -> DataFrame:
+    """px with ``is_mask`` opened (specks go) and then closed (gaps shut): ``closings`` dilations
+    before as many erosions, all under an ellipse of this size."""
+    out = opened(px.withColumn("_on", F.col("is_mask").cast("int")), "_on", size, "_on0")
+    for i in range(2 * closings):
+        out = extremes(out, f"_on{i}", size, i < closings, f"_on{i + 1}").drop(f"_on{i}")
+    return out.withColumn("is_mask", F.col(f"_on{2 * closings}") > 0).select(*px.columns)
+
+
 def _inside(column: str) -> Column:
     return F.when(F.col("is_mask"), F.col(column))
 

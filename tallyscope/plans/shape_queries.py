@@ -143,6 +143,15 @@ def filters_sql(source: str, value: str, radius: int, outs: str) -> str:
     return f"SELECT p.image_id, p.y, p.x, any_value(p.gray) AS gray, any_value(p.is_mask) AS is_mask, {outs} FROM {source} p CROSS JOIN range({-radius}, {radius + 1}) dy(o) CROSS JOIN range({-radius}, {radius + 1}) dx(o) {at} GROUP BY 1, 2, 3"
 
 
+CLEANED = ("min", "max", "max", "max", "min", "min")  # opened, then twice dilated and twice eroded
+STEPS = ",\n".join(extreme_sql(f"c{i}", "v", f"c{i + 1}", fn) for i, fn in enumerate(CLEANED))
+
+
+@query("m12_cleaned_mask", f"WITH {MASK}, c0 AS (SELECT *, CAST(is_mask AS INTEGER) AS v FROM mk), {STEPS} SELECT image_id, y, x, v > 0 AS is_mask FROM c{len(CLEANED)}")
+def m12_cleaned(spark, sf_dir):
+    return RT.cleaned_mask(masked(spark, sf_dir), 3).select("image_id", "y", "x", "is_mask")
+
+
 CURVE = f"round(sum(q.soft * ({kernel_sql(RT.SMOOTHING, RT.SECOND)} + {kernel_sql(RT.SECOND, RT.SMOOTHING)})), 6) AS curve"
 SLOPES = f"sum(q.gray * {kernel_sql(RT.SLOPE, RT.SLOPE_SMOOTHING)}) AS gx, sum(q.gray * {kernel_sql(RT.SLOPE_SMOOTHING, RT.SLOPE)}) AS gy"
 DETECTORS = f"""{PARTS},
@@ -221,7 +230,7 @@ def analysed(spark, sf_dir):
     vectors = B.vecs(spark, sf_dir).select("vec_id", "v")
     passes = P.dihedral_in_row(vectors, "vec_id", "v", head(spark, sf_dir), side=8, n=5, scale=40.0)
     views = P.summarise_views_in_row(passes, "vec_id").select(F.col("vec_id").alias("image_id"), "probs", "agreement")
-    return AN.analyse(px(spark, sf_dir, True), views, blur=0, stencil=3, structure_options=SMALL)
+    return AN.analyse(px(spark, sf_dir, True), views, blur=0, clean=0, stencil=3, structure_options=SMALL)
 
 
 @query(

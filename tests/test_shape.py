@@ -222,6 +222,17 @@ def test_extremes(spark, size):
         assert all(r["out"] == want[r["image_id"]][r["y"], r["x"]] for r in rows)
 
 
+def test_cleaned_mask(px, shapes):
+    got = {name: np.zeros((H, WIDTH), bool) for name in shapes}
+    for r in RT.cleaned_mask(px, 5).filter("is_mask").collect():
+        got[r["image_id"]][r["y"], r["x"]] = True
+    for name, mask in shapes.items():
+        want = mask.astype(int)
+        for fn in (min, max, max, max, min, min):
+            want = extreme(want, 5, fn)
+        assert (got[name] == (want > 0)).all(), name
+
+
 def correlate(img: np.ndarray, kernel: np.ndarray) -> np.ndarray:
     ry, rx = kernel.shape[0] // 2, kernel.shape[1] // 2
     wide = np.pad(img, ((ry, ry), (rx, rx)), mode="reflect")
