@@ -154,10 +154,13 @@ def list_cases(cases: DataFrame, limit: int = 50, offset: int = 0) -> DataFrame:
         # As many rows as there are units in the range that is left.
         sums = counts.withColumn("_upto", F.sum("n").over(upto))
         first, last = offset - skipped, offset - skipped + limit
-        at = sums.filter((F.col("_upto") > first) & (F.col("_upto") - F.col("n") < last))
-        row = at.agg(F.min("_k").alias("low"), F.max("_k").alias("high"), F.min(F.col("_upto") - F.col("n")).alias("before")).first()
+        at = (F.col("_upto") > first) & (F.col("_upto") - F.col("n") < last)
+        row = sums.agg(
+            F.min(F.when(at, F.col("_k"))).alias("low"), F.max(F.when(at, F.col("_k"))).alias("high"),
+            F.min(F.when(at, F.col("_upto") - F.col("n"))).alias("before"), F.max("_upto").alias("all"),
+        ).first()
         if total is None:
-            total = counts.agg(F.sum("n")).first()[0] or 0
+            total = row["all"] or 0
         if row["low"] is None:
             return cases.limit(0).withColumn("total", F.lit(total).cast("long"))
         low, high = (F.struct(*[F.lit(v).alias(n) for n, v in row[c].asDict().items()]) for c in ("low", "high"))
