@@ -460,7 +460,8 @@ def remove_repeats(
     text_col: str = "text",
 ) -> DataFrame:
     """One row per document: doc_id, n_bytes, spans array<struct<start, end>> (maximal runs of
-    bytes that are removed), kept binary (the other bytes)."""
+    bytes that are removed), kept binary (the other bytes), kept_text (these as text, without
+    the rest of characters that a cut went through)."""
     source = _keyed(docs, id_col, text_col)
     marks = repeats(source, length, gram, most_contexts)
     grouped = marks.groupBy(F.col("doc_id").alias("_doc"), F.col("row_key").alias("_key")).agg(F.collect_set(F.struct("lo", "n")).alias("marks"))
@@ -470,7 +471,7 @@ def remove_repeats(
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in clean_rows(batches, 256):
-            sizes, spans, kept = [], [], []
+            sizes, spans, kept, texts = [], [], [], []
             marks = batch.column(2)
             flat, counts = marks.flatten(), marks.value_lengths().fill_null(0).to_numpy(zero_copy_only=False)
             lows, ns = (flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1))
@@ -484,12 +485,13 @@ def remove_repeats(
                 sizes.append(len(text))
                 spans.append([{"start": a, "end": b} for a, b in zip(*(x.tolist() for x in runs(gone)), strict=True)])
                 kept.append(np.frombuffer(text, dtype=np.uint8)[~gone].tobytes() if count else text)
+                texts.append(kept[-1].decode("utf-8", "ignore"))
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary())],
-                names=["doc_id", "n_bytes", "spans", "kept"],
+                [batch.column(0), pa.array(sizes, pa.int64()), pa.array(spans, span), pa.array(kept, pa.binary()), pa.array(texts, pa.string())],
+                names=["doc_id", "n_bytes", "spans", "kept", "kept_text"],
             )
 
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, spans array<struct<start:long,end:long>>, kept binary, kept_text string")
 
 
 # Every string of 400 bytes by its checksum, from hexadecimal text.
@@ -503,9 +505,12 @@ spans AS (SELECT doc_id, min(i) AS lo, max(i) + 400 AS hi FROM numbered GROUP BY
 gaps AS (SELECT doc_id, coalesce(lag(hi) OVER w, 0) AS a, lo AS b FROM spans WINDOW w AS (PARTITION BY doc_id ORDER BY lo)
   UNION ALL SELECT doc_id, coalesce(max(hi), 0), any_value(length(h) // 2) FROM bytes LEFT JOIN spans USING (doc_id) GROUP BY doc_id),
 kept AS (SELECT doc_id, string_agg(substr(h, 2 * a + 1, 2 * (b - a)), '' ORDER BY a) AS h FROM gaps JOIN bytes USING (doc_id) GROUP BY doc_id),
+whole AS (SELECT doc_id, array_to_string(regexp_extract_all(regexp_replace(lower(h), '(..)', ' \\1', 'g'),
+  ' [0-7].| (?:c[2-9a-f]|d.) [89ab].| (?:e0 [ab].|e[1-9a-cef] [89ab].|ed [89].) [89ab].| (?:f0 [9ab].|f[1-3] [89ab].|f4 8.) [89ab]. [89ab].'), '') AS h FROM kept),
 counted AS (SELECT doc_id, count(*) AS n_spans, sum(hi - lo)::BIGINT AS n_removed FROM spans GROUP BY doc_id)
-SELECT b.doc_id, length(b.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256
-FROM bytes b JOIN kept k USING (doc_id) LEFT JOIN counted USING (doc_id)
+SELECT b.doc_id, length(b.h) // 2 AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(k.h)) AS kept_sha256,
+  decode(unhex(replace(w.h, ' ', ''))) AS text
+FROM bytes b JOIN kept k USING (doc_id) JOIN whole w USING (doc_id) LEFT JOIN counted USING (doc_id)
 """
 
 
@@ -518,4 +523,5 @@ def op2(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("n_bytes") - F.length("kept")).cast("long").alias("n_removed"),
         F.size("spans").cast("long").alias("n_spans"),
         hex_digest(F.col("kept")).alias("kept_sha256"),
+        F.col("kept_text").alias("text"),
     )

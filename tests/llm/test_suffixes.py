@@ -45,6 +45,7 @@ def compare(frame, texts: dict, length: int):
         assert [(s["start"], s["end"]) for s in got[doc]["spans"]] == list(zip(begins.tolist(), ends.tolist(), strict=True)), doc
         assert bytes(got[doc]["kept"]) == bytes(b for b, f in zip(texts[doc], covered, strict=True) if not f)
         assert got[doc]["n_bytes"] == len(texts[doc])
+        assert got[doc]["kept_text"] == bytes(got[doc]["kept"]).decode("utf-8", "ignore")
 
 
 @pytest.mark.parametrize("most_contexts", [1024, 2])
@@ -71,6 +72,14 @@ def test_long_text_is_cut_into_overlapping_pieces(spark, monkeypatch):
     assert starts == 3 * suffixes.CHUNK_BYTES - 399
 
 
+def test_a_cut_through_a_character_leaves_no_part_of_it_in_the_text(spark):
+    same = "".join(chr(97 + (i * i + i // 7) % 26) for i in range(420))
+    frame = spark.createDataFrame([(1, f"a {same}é b"), (2, f"c {same}ã d")], "doc_id long, text string")
+    got = {r["doc_id"]: r for r in suffixes.remove_repeats(frame).collect()}
+    assert [bytes(got[i]["kept"]) for i in (1, 2)] == [b"a\xa9 b", b"c\xa3 d"]  # the blank and the first byte of the letter repeat too
+    assert [got[i]["kept_text"] for i in (1, 2)] == ["a b", "c d"]
+
+
 def test_odd_rows(nasty, empty):
     rows = suffixes.remove_repeats(nasty).collect()
     assert len(rows) == nasty.count()
