@@ -12,10 +12,10 @@ confirmed on full sets.
 
 Only components are asked for, so not all links of a band are followed: each band first
 proposes a forest, its likeliest candidates that join parts not joined yet. Links that are
-confirmed join components, refuted ones are remembered, and rounds go on until no band has a
-candidate left between two components. In round r each class proposes its 16^(r - 1)
-likeliest partners that are left, so a band of n classes is done after log16(n) rounds and
-has proposed few more pairs than had to be refuted. A band with more than `block` classes is
+confirmed join components, refuted ones are not confirmed again, and rounds go on until no
+band has a candidate left between two components. In round r each class proposes its 16^(r - 1)
+likeliest partners; a band in which these are all others is done, so a band of n classes is
+done after log16(n) rounds and has proposed few more pairs than had to be refuted. A band with more than `block` classes is
 dealt out as pairs of blocks.
 
 A pair at the threshold shares no band with probability (1 - similarity^rows)^bands: 7e-11
@@ -186,7 +186,7 @@ class Proposer:
             kept.append((x[go], y[go], unequal[go]))
         return tuple(map(np.concatenate, zip(*kept, strict=True))) if kept else (a, b, a)
 
-    def forest(self, a: np.ndarray, b: np.ndarray, unequal: np.ndarray, comp: np.ndarray, refuted: dict[int, set], node: np.ndarray) -> list[tuple[int, int]]:
+    def forest(self, a: np.ndarray, b: np.ndarray, unequal: np.ndarray, comp: np.ndarray, node: np.ndarray) -> list[tuple[int, int]]:
         """Of the likely pairs of one band a forest over its components, likeliest first."""
         order = np.argsort(unequal, kind="stable")
         a, b = a[order], b[order]
@@ -202,7 +202,7 @@ class Proposer:
         while len(a):
             for i, j in zip(a[:step].tolist(), b[:step].tolist(), strict=True):
                 u, v = find(int(comp[i])), find(int(comp[j]))
-                if u != v and int(node[j]) not in refuted.get(int(node[i]), ()):
+                if u != v:
                     root[u] = v
                     out.append((int(node[i]), int(node[j])))
             a, b = a[step:], b[step:]
@@ -212,13 +212,13 @@ class Proposer:
                 a, b, step = a[go], b[go], step * 2
         return out
 
-    def partners(self, a: np.ndarray, b: np.ndarray, unequal: np.ndarray, width: int, refuted: dict[int, set], node: np.ndarray) -> list[tuple[int, int]]:
-        """Of the likely pairs of one band each class's `width` likeliest that are not refuted."""
+    def partners(self, a: np.ndarray, b: np.ndarray, unequal: np.ndarray, width: int, node: np.ndarray) -> list[tuple[int, int]]:
+        """Of the likely pairs of one band each class's `width` likeliest."""
         order = np.argsort(unequal, kind="stable")
         taken: dict[int, int] = {}
         out = []
         for i, j in zip(node[a[order]].tolist(), node[b[order]].tolist(), strict=True):
-            if (taken.get(i, 0) < width or taken.get(j, 0) < width) and j not in refuted.get(i, ()):
+            if taken.get(i, 0) < width or taken.get(j, 0) < width:
                 taken[i], taken[j] = taken.get(i, 0) + 1, taken.get(j, 0) + 1
                 out.append((i, j))
         return out
@@ -235,11 +235,6 @@ def _proposed(rows: DataFrame, count: int, num: int, den: int, width: int) -> Da
         def flush(table: pa.Table) -> pa.RecordBatch:
             columns = {c: table.column(c).to_numpy() for c in ("key", "left", "right", "block", "node", "comp", "n")}
             sketch = np.frombuffer(b"".join(table.column("sketch").to_pylist()), dtype=np.uint64).reshape(table.num_rows, -1)
-            refuted: dict[int, set] = {}
-            if table.column("refuted").null_count < table.num_rows:
-                for node, others in zip(columns["node"].tolist(), table.column("refuted").to_pylist(), strict=True):
-                    if others:
-                        refuted.setdefault(node, set()).update(others)
             ids = np.stack([columns[c] for c in ("key", "left", "right")], axis=1)
             cuts = np.flatnonzero((ids[1:] != ids[:-1]).any(axis=1)) + 1
             out: list[tuple[int, int]] = []
@@ -254,9 +249,9 @@ def _proposed(rows: DataFrame, count: int, num: int, den: int, width: int) -> Da
                         begin, end = begins[band[part[0]]], ends[band[part[0]]]
                         some, node = (a[part] - begin, b[part] - begin, unequal[part]), columns["node"][begin:end]
                         if width == 1:
-                            out.extend(proposer.forest(*some, columns["comp"][begin:end], refuted, node))
+                            out.extend(proposer.forest(*some, columns["comp"][begin:end], node))
                         else:
-                            out.extend(proposer.partners(*some, width, refuted, node))
+                            out.extend(proposer.partners(*some, width, node))
 
             begins, ends = np.concatenate([[0], cuts]), np.concatenate([cuts, [table.num_rows]])
             group = np.repeat(np.arange(len(begins)), ends - begins)
@@ -388,30 +383,30 @@ def near_duplicates(
 
     comp: DataFrame | None = None
     refuted: DataFrame | None = None
-    width = 1
+    width, done = 1, 0
     while True:
-        at = placed.withColumn("comp", F.col("node"))
+        # With `done` partners for each class a band of done + 1 classes has proposed all its pairs.
+        at = placed.filter(F.col("crowd") > done + 1).withColumn("comp", F.col("node"))
         if comp is not None:
             label = comp.select(F.col("node").alias("_node"), F.col("comp").alias("_comp"))
-            at = placed.join(label, F.col("node") == F.col("_node"), "left").select("key", "node", "crowd", F.coalesce("_comp", "node").alias("comp"))
+            at = at.drop("comp").join(label, F.col("node") == F.col("_node"), "left").select("key", "node", "crowd", F.coalesce("_comp", "node").alias("comp"))
             mixed = at.groupBy(F.col("key").alias("_key")).agg(F.min("comp").alias("_low"), F.max("comp").alias("_high")).filter("_low < _high")
             at = at.join(mixed, F.col("key") == F.col("_key"), "left_semi")
         at = at.join(classes.select("node", "n", "sketch"), "node")
-        if refuted is None:
-            at = at.withColumn("refuted", F.lit(None).cast("array<long>"))
-        else:
-            both = refuted.select("a", "b").unionByName(refuted.select(F.col("b").alias("a"), F.col("a").alias("b")))
-            at = at.join(both.groupBy(F.col("a").alias("node")).agg(F.collect_list("b").alias("refuted")), "node", "left")
         blocks = F.ceil(F.col("crowd") / block)
         at = at.withColumn("block", F.pmod(F.col("node"), blocks)).withColumn(
             "_pair",
             F.explode(F.transform(F.sequence(F.lit(0).cast("long"), blocks - 1), lambda j: F.struct(F.least(F.col("block"), j).alias("left"), F.greatest(F.col("block"), j).alias("right")))),
         )
-        at = at.select("key", "_pair.left", "_pair.right", "block", "node", "comp", "n", "sketch", "refuted")
+        at = at.select("key", "_pair.left", "_pair.right", "block", "node", "comp", "n", "sketch")
         pairs = stored(_proposed(at, bands * rows, num, den, width), "pairs")
-        width *= 16
+        width, done = width * 16, width
         if pairs.isEmpty():
             break
+        if refuted is not None:
+            pairs = stored(pairs.join(refuted, ["a", "b"], "left_anti"), "pairs")
+            if pairs.isEmpty():
+                continue
         judged = stored(_confirmed(pairs, bodies, k, num, den), "judged")
         links, wrong = judged.filter("is_link").select("a", "b"), judged.filter("NOT is_link").select("a", "b")
         refuted = wrong if refuted is None else refuted.unionByName(wrong)
