@@ -74,21 +74,6 @@ def test_bands_in_blocks_give_the_same(spark):
     check(frame, 3, (85, 100), bands=40, rows=5, block=7)
 
 
-def test_a_band_of_many_refuted_pairs(spark):
-    """Texts under the threshold meet in common bands, so rounds with more and more partners follow."""
-    draw = random.Random(3)
-    base = [f"w{i}" for i in range(200)]
-    texts = []
-    for i in range(80):
-        words = base.copy()
-        begin = draw.randrange(150)
-        words[begin : begin + 22] = [f"y{i // 2}_{j}" for j in range(22)]
-        texts.append(" ".join(words))
-    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    check(frame, 3, (85, 100), bands=40, rows=5)
-    check(frame, 3, (85, 100), bands=40, rows=5, block=9)
-
-
 def test_odd_rows(nasty, empty):
     check(nasty, 5, (80, 100))
     assert minhash.near_duplicates(empty).collect() == []
