@@ -1,6 +1,6 @@
 """Linear heads on feature vectors: fitting, selection, calibration, folding.
 
-Fitting is ``pyspark.ml``: the optimiser's gradient sums run on the executors and
+Gradient sums run on the executors (``descent``, and ``pyspark.ml`` for the margin baseline) and
 only coefficients (classes x dimensions) reach the driver.
 """
 
@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.ml.classification import LinearSVC, LogisticRegression, OneVsRest
+from pyspark.ml.classification import LinearSVC, OneVsRest
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame, functions as F
@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions.basic import let, literal_array, total
 from ..session import stored
 from ..sources.taxonomy import CLASS_CODES
+from .descent import fit_heads
 from .metrics import confusion_counts, macro_f1
 
 STD_FLOOR = 1e-6
@@ -51,52 +52,28 @@ def standardise(df: DataFrame, moments: DataFrame, vector: str, out: str, std: s
     )
 
 
-def soft_labels(df: DataFrame, weights: Sequence[float], smoothing: float) -> DataFrame:
-    """Label smoothing as weighted rows: one row per (record, class).
-
-    The true class weighs w_y(1-eps) plus its share, every class c adds w_c*eps/K.
-    """
-    k = len(CLASS_CODES)
-    w = literal_array([float(x) for x in weights])
-    share = F.transform(w, lambda c: c * (smoothing / k))
-    rows = df.select("*", F.posexplode(share).alias("label", "_share"))
-    own = F.when(
-        F.col("label") == F.col("target"), F.element_at(w, F.col("target") + 1) * (1.0 - smoothing)
-    ).otherwise(0.0)
-    return rows.withColumn("weight", own + F.col("_share")).drop("_share").filter("weight > 0")
-
-
 def fit_head(
     train: DataFrame, val: DataFrame, weights: Sequence[float],
-    reg_grid: Sequence[float] = (0.0001, 0.01), smoothing: float = 0.05, max_iter: int = 60,
+    reg_grid: Sequence[float] = (0.0001, 0.01), smoothing: float = 0.05, max_iter: int = 100,
 ) -> tuple[DataFrame, DataFrame]:
-    """Weighted multinomial fit per regularisation; (selection table, best head).
+    """Smoothed, class-weighted fit per penalty; (selection table, best head).
 
-    Both inputs carry ``v`` (standardised) and ``target``. The head with the best
-    validation macro-F1 wins; the first one wins a tie.
+    Both inputs carry ``v`` (standardised) and ``target``; train is read once per pass, so
+    store it. The head with the best validation macro-F1 wins; the first one wins a tie.
     """
     spark = train.sparkSession
-    rows = soft_labels(train, weights, smoothing).select(
-        array_to_vector("v").alias("features"), F.col("label").cast("double"), "weight"
-    ).persist()  # read once per optimiser step
+    fitted, norms = fit_heads(train, weights, reg_grid, smoothing, passes=max_iter)
     tried = []
-    for reg in reg_grid:
-        model = LogisticRegression(
-            regParam=float(reg), maxIter=max_iter, weightCol="weight", family="multinomial",
-            standardization=False,
-        ).fit(rows)
-        w = [[float(x) for x in row] for row in model.coefficientMatrix.toArray()]
-        b = [float(x) for x in model.interceptVector]
-        scored = score_linear(val, head_frame(spark, w, b), "v")
+    for reg, head, norm in zip(reg_grid, fitted, norms, strict=True):
+        scored = score_linear(val, head_frame(spark, head[:, :-1].tolist(), head[:, -1].tolist()), "v")
         f1 = macro_f1(confusion_counts(scored.withColumnRenamed("logits", "probs"))).first()[0]
-        tried.append((float(reg), float(f1), w, b))
-    rows.unpersist()
+        tried.append((float(reg), float(f1), float(norm), head))
     best = max(tried, key=lambda t: t[1])
     table = spark.createDataFrame(
-        [(reg, f1, reg == best[0]) for reg, f1, _w, _b in tried],
-        "reg DOUBLE, val_macro_f1 DOUBLE, chosen BOOLEAN",
+        [(reg, f1, reg == best[0], norm < 1e-3) for reg, f1, norm, _head in tried],
+        "reg DOUBLE, val_macro_f1 DOUBLE, chosen BOOLEAN, converged BOOLEAN",
     )
-    return table, head_frame(spark, best[2], best[3])
+    return table, head_frame(spark, best[3][:, :-1].tolist(), best[3][:, -1].tolist())
 
 
 def head_frame(spark, weights: Sequence[Sequence[float]], bias: Sequence[float]) -> DataFrame:
