@@ -265,7 +265,7 @@ def t1(spark, sf_dir):
     train = B.split_vecs(spark, sf_dir).filter("split = 'train'")
     head = IO.cached(spark, scratch(spark, "head"), lambda: B.class_means(train))
     schema = B.table(spark, sf_dir, "embeddings").schema
-    source = ST.file_stream(spark, sf_dir, schema, "embeddings.parquet")
+    source = ST.table_stream(spark, sf_dir, "embeddings", schema)
 
     def prepare(batch):
         kept = batch.withColumn("label", F.col("label") % 7).withColumn("_w", head.scalar())
@@ -287,7 +287,7 @@ def t1(spark, sf_dir):
 )
 def t2(spark, sf_dir):
     schema = B.table(spark, sf_dir, "events").schema
-    events = ST.file_stream(spark, sf_dir, schema, "events.parquet")
+    events = ST.table_stream(spark, sf_dir, "events", schema)
     v = F.col("value")
     tier = F.when(v >= 150, "CRITICAL").when(v >= 75, "HIGH").when(v >= 25, "MODERATE").otherwise("LOW")
     cases = events.select(tier.alias("tier"), (v / (v + 50)).alias("confidence"), (v >= 75).alias("requires_review"))

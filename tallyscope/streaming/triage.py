@@ -21,6 +21,12 @@ from ..sources.taxonomy import CLASS_CODES, CLASS_NAMES
 KEPT_VERSIONS = 2
 
 
+def table_stream(spark: SparkSession, folder: str, name: str, schema) -> DataFrame:
+    """A table of the folder as a stream, be it stored as one file or as a folder of files."""
+    # A path with a pattern may stand for either.
+    return spark.readStream.schema(schema).parquet(f"{folder}/{{{name}.parquet}}")
+
+
 def file_stream(spark: SparkSession, folder: str, schema, glob: str = "*.parquet") -> DataFrame:
     return spark.readStream.schema(schema).option("pathGlobFilter", glob).parquet(folder)
 
