@@ -267,8 +267,9 @@ def asymmetry(px: DataFrame, rectangles: DataFrame | None = None) -> DataFrame:
     ry = F.col("_s") * dx - F.col("_c") * dy
 
     def nearest(v: Column) -> Column:
-        # Rounded first, so that a half is one whatever the order of the sums behind it.
-        return F.floor(F.round(v, 6) + 0.500001).cast("int")
+        # Moments are whole numbers, so a half is off by the last digits at most, less than what is
+        # added. A rectangle's sides are sums: rounded first, a half is one whatever their order.
+        return F.floor((v if rectangles is None else F.round(v, 6)) + 0.500001).cast("int")
 
     def image(axis: Column, y: Column, x: Column) -> Column:
         return F.struct(axis.alias("axis"), y.alias("y"), x.alias("x"))

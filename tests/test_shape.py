@@ -298,3 +298,27 @@ def test_asymmetry_about_the_rectangle(spark, shapes):
     for name in ("bar", "full"):
         assert rows[name]["a"] == 0 and rows[name]["shape_index"] == 0.0
     assert {r["image_id"]: r["a"] for r in RS.asymmetry(px).collect()}["full"] == 0
+
+
+# A picture of which a mirrored pixel falls between 0.4999985 and 0.499999 beyond a whole number.
+NEAR_HALF = [
+    193, 147, 162, 178, 133, 210, 81, 166, 142, 181, 195, 158, 224, 75, 167, 138, 106, 130, 44, 75, 0, 232, 194, 99,
+    115, 145, 167, 94, 172, 145, 215, 146, 121, 255, 188, 210, 184, 170, 192, 184, 94, 245, 201, 143, 85, 136, 113, 124,
+    115, 114, 159, 212, 154, 140, 233, 172, 146, 138, 219, 108, 152, 215, 68, 139,
+]
+
+
+def test_mirrored_pixels_near_a_half_fall_as_in_the_twin(spark, tmp_path):
+    from compare import compare, connect
+
+    from __spark_entry__ import oracle_sql, queries
+
+    # Stretching numbers from 0 to 255 leaves them as they are.
+    assert min(NEAR_HALF) == 0 and max(NEAR_HALF) == 255
+    spark.createDataFrame([(528, [float(v) for v in NEAR_HALF], 0)], "vec_id LONG, embedding ARRAY<FLOAT>, label INT").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    part = next((tmp_path / "embeddings.parquet").glob("*.parquet"))
+    (tmp_path / "tables").mkdir()
+    part.rename(tmp_path / "tables" / "embeddings.parquet")
+    for name in ("m14_asymmetry", "j10_mirror_join"):
+        rows, problems = compare(queries()[name](spark, str(tmp_path / "tables")), connect(str(tmp_path / "tables")), oracle_sql()[name])
+        assert rows == 1 and not problems, problems
