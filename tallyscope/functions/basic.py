@@ -54,6 +54,15 @@ def uniform(seed: int | str, *parts: Column) -> Column:
     return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long") / F.lit(float(1 << 52))
 
 
+def by_sort(df: DataFrame) -> DataFrame:
+    """A table that joins are to sort and merge: one with rows for each picture or more.
+
+    At some sizes such a table still passes for small. Then it would be sent through the driver
+    to every task, and a job of many joins would send many of them.
+    """
+    return df.hint("merge")
+
+
 def pin(df: DataFrame, columns: dict[str, Column]) -> DataFrame:
     """Add columns through a one-row generator.
 

@@ -12,6 +12,7 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..functions.basic import by_sort
 from ..session import stored
 from .raster import along_rows
 
@@ -77,7 +78,7 @@ def connected(nodes: DataFrame, links: DataFrame, name: str = "part") -> DataFra
     def joined(frame: DataFrame, steps: DataFrame, column: str) -> DataFrame:
         """The column's nodes replaced by where their steps lead."""
         to = steps.select("image_id", F.col("a").alias(column), F.col("b").alias("_to"))
-        out = frame.join(to, ["image_id", column], "left")
+        out = frame.join(by_sort(to), ["image_id", column], "left")
         return out.withColumn(column, F.coalesce("_to", column)).drop("_to")
 
     def down(frame: DataFrame) -> DataFrame:
@@ -88,7 +89,7 @@ def connected(nodes: DataFrame, links: DataFrame, name: str = "part") -> DataFra
     while not left.isEmpty():
         steps = stored(left.groupBy("image_id", "a").agg(F.min("b").alias("b")), "steps")
         # Chains are followed to their ends: each join with itself doubles the steps taken.
-        while not steps.join(steps.select("image_id", F.col("a").alias("b")), ["image_id", "b"], "left_semi").isEmpty():
+        while not steps.join(by_sort(steps.select("image_id", F.col("a").alias("b"))), ["image_id", "b"], "left_semi").isEmpty():
             for _ in range(3):
                 steps = joined(steps, steps, "b")
             steps = stored(steps.select("image_id", "a", "b"), "steps")
@@ -122,7 +123,7 @@ def filled_parts(px: DataFrame) -> DataFrame:
     holes = around.withColumn("_open", reach).filter("NOT _open").select(*nodes.columns)
     filled = stored(nodes.filter("on").unionByName(holes), "filled")
     known = filled.select("image_id", F.col("node").alias("a"))
-    inside = links.join(known, ["image_id", "a"], "left_semi").join(known.withColumnRenamed("a", "b"), ["image_id", "b"], "left_semi")
+    inside = links.join(by_sort(known), ["image_id", "a"], "left_semi").join(by_sort(known.withColumnRenamed("a", "b")), ["image_id", "b"], "left_semi")
     return connected(filled, inside)
 
 
@@ -160,10 +161,10 @@ def picked_mask(px: DataFrame) -> tuple[DataFrame, DataFrame]:
     runs = stored(with_runs(px), "pixels")
     filled = filled_parts(runs)
     scored = scored_parts(filled)
-    chosen = filled.join(scored.select("image_id", "part", "picked"), ["image_id", "part"])
+    chosen = filled.join(by_sort(scored.select("image_id", "part", "picked")), ["image_id", "part"])
     any_picked = F.max("picked").over(W.partitionBy("image_id"))
     chosen = chosen.withColumn("_any", any_picked).filter("picked OR NOT _any").select("image_id", F.col("node").alias("run"), F.lit(True).alias("_in"))
-    out = runs.join(chosen, ["image_id", "run"], "left")
+    out = runs.join(by_sort(chosen), ["image_id", "run"], "left")
     return out.withColumn("is_mask", F.coalesce("_in", F.lit(False))).select(*px.columns), scored
 
 
@@ -181,4 +182,4 @@ def mask_components(px: DataFrame) -> DataFrame:
     )
     ids = px.select("image_id").distinct()
     zero = F.lit(0).cast("long")
-    return ids.join(found, "image_id", "left").select("image_id", F.coalesce("parts", zero).alias("parts"), F.coalesce("filled", zero).alias("filled"), "part", "area", "score")
+    return ids.join(by_sort(found), "image_id", "left").select("image_id", F.coalesce("parts", zero).alias("parts"), F.coalesce("filled", zero).alias("filled"), "part", "area", "score")

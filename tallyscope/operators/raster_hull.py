@@ -12,7 +12,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.basic import clip, ratio
+from ..functions.basic import by_sort, clip, ratio
 from .raster import along_columns, along_rows
 from .raster_shape import every_image
 
@@ -135,7 +135,7 @@ def shape_descriptors(px: DataFrame) -> DataFrame:
     """Circularity, compactness and solidity of the mask (zeros where it is empty)."""
     area, around = F.greatest("outlined", F.lit(1.0)), F.col("perimeter")
     lines = outline(px).filter("area > 0")
-    found = lines.join(hulls(px), "image_id").select(
+    found = lines.join(by_sort(hulls(px)), "image_id").select(
         "image_id", "perimeter", "outlined", hull_area(F.col("hull")).alias("hull_area"),
         F.when(around > 0, clip(ratio(4.0 * math.pi * area, around * around), 0.0, 1.0)).otherwise(0.0).alias("circularity"),
         (around * around / (4.0 * math.pi * area)).alias("compactness"),

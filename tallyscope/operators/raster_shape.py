@@ -9,7 +9,7 @@ import math
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
-from ..functions.basic import clip, ratio
+from ..functions.basic import by_sort, clip, ratio
 from ..functions.color import with_gray, with_hsv, with_lab
 from .raster import along_columns, along_rows, dilate, gaussian_weights, local_std, smooth, with_ranks
 
@@ -207,7 +207,7 @@ def every_image(px: DataFrame, found: DataFrame, **empty: Column) -> DataFrame:
     """``found`` with a row for images whose mask is empty too: there the values in ``empty``."""
     ids = px.select("image_id").distinct()
     columns = [F.coalesce(F.col(name), value).alias(name) for name, value in empty.items()]
-    return ids.join(found, "image_id", "left").select("image_id", *columns)
+    return ids.join(by_sort(found), "image_id", "left").select("image_id", *columns)
 
 
 def eccentricity(px: DataFrame) -> DataFrame:
@@ -249,7 +249,7 @@ def rectangle_axes(px: DataFrame, rectangles: DataFrame) -> DataFrame:
     sides = rectangles.select(
         "image_id", F.col("cx").alias("_cx"), F.col("cy").alias("_cy"), (ux * ux - uy * uy).alias("_c"), (2.0 * ux * uy).alias("_s"),
     )
-    return px.filter("is_mask").join(sides, "image_id").select("image_id", "y", "x", "gray", "_cx", "_cy", "_c", "_s")
+    return px.filter("is_mask").join(by_sort(sides), "image_id").select("image_id", "y", "x", "gray", "_cx", "_cy", "_c", "_s")
 
 
 def asymmetry(px: DataFrame, rectangles: DataFrame | None = None) -> DataFrame:

@@ -7,7 +7,7 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from ..functions.basic import ratio
+from ..functions.basic import by_sort, ratio
 from ..functions.color import with_gray
 from ..session import stored
 from .raster import along_columns, along_rows, pad, unpad, with_ranks
@@ -135,7 +135,7 @@ def dots(px: DataFrame, weights: Sequence[float] | None = None, rank: float = DO
     blobs = stored(opened(raw, "_blob", size, "_open").select("image_id", "w", "h", "y", "x", "is_mask", (F.col("_open") > 0).alias("on")), "blobs")
     total = blobs.groupBy("image_id").agg(F.count_if("is_mask").alias("total"))
     fits = F.col("area").between(least, F.greatest(F.lit(float(most)), F.col("total") * DOT_AREA_SHARE))
-    found = parts(blobs, "on").join(total, "image_id").groupBy("image_id").agg(F.count_if(fits).alias("dots"))
+    found = parts(blobs, "on").join(by_sort(total), "image_id").groupBy("image_id").agg(F.count_if(fits).alias("dots"))
     return every_image(px, found, dots=F.lit(0).cast("long"))
 
 
@@ -148,7 +148,7 @@ def network(px: DataFrame, size: int = RIDGE_SIZE, rank: float = RIDGE_RANK, lea
     ridges = stored(closed(raw, "_ridge", close, "_full").select("image_id", "w", "h", "y", "x", "is_mask", (F.col("_full") > 0).alias("on")), "ridges")
     total = ridges.groupBy("image_id").agg(F.count_if("is_mask").alias("total"))
     sizes = parts(ridges, "on").groupBy("image_id").agg(F.sum("area").alias("all"), F.max("area").alias("most"))
-    found = sizes.join(total, "image_id").select("image_id", ratio(F.col("all"), F.col("total")).alias("ridge_share"), ratio(F.col("most"), F.col("all")).alias("mesh_share"))
+    found = sizes.join(by_sort(total), "image_id").select("image_id", ratio(F.col("all"), F.col("total")).alias("ridge_share"), ratio(F.col("most"), F.col("all")).alias("mesh_share"))
     return every_image(px, found, ridge_share=F.lit(0.0), mesh_share=F.lit(0.0))
 
 
@@ -185,7 +185,7 @@ def structures(
     for found in (
         structureless(px, flat_size).select("image_id", "flat_share"), dots(px, **(dot_options or {})), network(px, **(network_options or {})), streaks(px, rim_size), veil_fraction(px),
     ):
-        joined = joined.join(found, "image_id")
+        joined = joined.join(by_sort(found), "image_id")
     tests = {
         "structureless_area": F.col("flat_share") > FLAT_SHARE,
         "dots_globules": F.col("dots") >= min_dots,

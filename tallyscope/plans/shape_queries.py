@@ -10,6 +10,7 @@ import re
 
 from pyspark.sql import functions as F
 
+from ..functions.basic import by_sort
 from ..operators import analysis as AN
 from ..operators import passes as P
 from ..operators import raster_components as RC
@@ -89,7 +90,7 @@ SELECT image_id, round(perimeter, 6) AS perimeter, outlined, hull_area, round(CA
 def m20_shape(spark, sf_dir):
     px = picked(spark, sf_dir)
     filled = px.groupBy("image_id").agg(F.max("is_mask").alias("any")).filter("any")
-    found = RH.shape_descriptors(px).join(filled, "image_id", "left_semi")
+    found = RH.shape_descriptors(px).join(by_sort(filled), "image_id", "left_semi")
     return found.select("image_id", r6("perimeter", "perimeter"), "outlined", "hull_area", *[r6(c, c) for c in ("circularity", "compactness", "solidity")])
 
 
@@ -124,7 +125,7 @@ SELECT image_id, count(*) FILTER (WHERE greatest(shape, color) > 0.12) AS a, rou
 def m14_rectangle_axes(spark, sf_dir):
     px = picked(spark, sf_dir)
     rectangles = RH.smallest_rectangles(px)
-    found = RS.asymmetry(px, rectangles).join(rectangles, "image_id", "left_semi")
+    found = RS.asymmetry(px, rectangles).join(by_sort(rectangles), "image_id", "left_semi")
     return found.select("image_id", "a", r6("shape_index", "shape_index"), r6("color_index", "color_index"))
 
 

@@ -322,3 +322,14 @@ def test_mirrored_pixels_near_a_half_fall_as_in_the_twin(spark, tmp_path):
     for name in ("m14_asymmetry", "j10_mirror_join"):
         rows, problems = compare(queries()[name](spark, str(tmp_path / "tables")), connect(str(tmp_path / "tables")), oracle_sql()[name])
         assert rows == 1 and not problems, problems
+
+
+def test_tables_of_a_row_per_picture_are_not_broadcast(spark):
+    """Small here, they pass for broadcasting; a job of many joins would send all of them through the driver."""
+    arrays = spark.range(6).selectExpr("CAST(id AS STRING) AS image_id", "8 AS w", "8 AS h", "transform(sequence(0, 63), i -> struct(pmod(i * 7 + id * 31, 256) AS r, pmod(i * 13, 256) AS g, pmod(i * 5, 256) AS b)) AS px")
+    mask = RS.with_mask(R.pixels(arrays, colocate=True), blur=0)
+    picked, _ = RC.picked_mask(mask)
+    for frame in (RC.mask_components(mask), picked, RH.shape_descriptors(picked), RS.asymmetry(picked, RH.smallest_rectangles(picked))):
+        assert frame.count() > 0
+        frame.collect()
+        assert "BroadcastExchange" not in frame._jdf.queryExecution().executedPlan().toString()
