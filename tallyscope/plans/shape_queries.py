@@ -17,6 +17,7 @@ from ..operators import raster_components as RC
 from ..operators import raster_hull as RH
 from ..operators import raster_shape as RS
 from ..operators import raster_structures as RT
+from ..session import stored
 from ..sources import bindings as B
 from ..streaming.triage import graded_cases
 from ..sources import io as IO
@@ -49,7 +50,7 @@ pk AS (SELECT fl.* REPLACE (bs.part IS NOT NULL AND pt.part IS NOT DISTINCT FROM
 
 def picked(spark, sf_dir):
     """Pixels with the picked part of the filled mask; read from storage by all measures."""
-    return RC.picked_mask(masked(spark, sf_dir))[0]
+    return stored(RC.picked_mask(masked(spark, sf_dir))[0], "picked")
 
 
 @query(
@@ -64,7 +65,7 @@ def m12_components(spark, sf_dir):
 
 @query("m12_picked_mask", PARTS + " SELECT image_id, y, x, is_mask FROM pk")
 def m12_picked(spark, sf_dir):
-    return picked(spark, sf_dir).select("image_id", "y", "x", "is_mask")
+    return RC.picked_mask(masked(spark, sf_dir))[0].select("image_id", "y", "x", "is_mask")
 
 
 HULL = f"""{PARTS},
@@ -286,7 +287,8 @@ s1 AS (SELECT *, least(100, greatest(0, least(abs(dc) / CAST(0.5 AS DOUBLE), 1)
 )
 def comparison_document(spark, sf_dir):
     """Pictures 2k and 2k+1 as captures of one subject on following days."""
-    evidence = AN.mask_evidence(picked(spark, sf_dir).repartition("image_id"), SMALL)
+    # Both sides of a pair read what was measured once.
+    evidence = stored(AN.mask_evidence(picked(spark, sf_dir).repartition("image_id"), SMALL), "evidence")
     n = F.col("vec_id")
     day = lambda i: F.date_add(F.lit("2024-01-01").cast("date"), i.cast("int"))
     pairs = B.table(spark, sf_dir, "embeddings").filter(n % 2 == 0).select(

@@ -333,3 +333,11 @@ def test_tables_of_a_row_per_picture_are_not_broadcast(spark):
         assert frame.count() > 0
         frame.collect()
         assert "BroadcastExchange" not in frame._jdf.queryExecution().executedPlan().toString()
+
+
+def test_measures_read_the_picked_mask_from_storage(spark, sf_dir):
+    from tallyscope.plans.shape_queries import picked
+
+    # Every measure would else find the mask and its parts' join anew.
+    plan = picked(spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Window" not in plan
