@@ -20,16 +20,28 @@ from ..functions.color import luma, with_gray, with_hsv, with_ycrcb
 
 # ---- fixed values -----------------------------------------------------------
 MAX_INPUT_DIM = 1600
+PIXELS_A_TASK = 250_000
 SKIN_HSV = ((0, 28), (160, 180))  # hue on the half-degree scale
 SKIN_SAT_MIN, SKIN_VAL_MIN = 15, 30
 SKIN_CR, SKIN_CB = (130, 183), (74, 130)
 # ---- end of fixed values ----------------------------------------------------
 
 
+def moved(arrays: DataFrame, key: str) -> DataFrame:
+    """Image rows moved to the partition of their ``key``, in as many partitions as their pixels need.
+
+    The rows are compact, so their bytes would merge far too many into one task: exploded, a task's
+    pixels are what its sorts have to hold.
+    """
+    held = arrays.agg(F.sum(F.col("w").cast("long") * F.col("h"))).first()[0] or 0
+    tasks = max(arrays.sparkSession.sparkContext.defaultParallelism, -(-held // PIXELS_A_TASK))
+    return arrays.repartition(tasks, key)
+
+
 def pixels(arrays: DataFrame, colocate: bool = False) -> DataFrame:
     """One row per pixel from one row per image (``px`` ARRAY<STRUCT<r,g,b>>)."""
     if colocate:
-        arrays = arrays.repartition("image_id")
+        arrays = moved(arrays, "image_id")
     # The outer form spares an extra evaluation of the array to see whether it is empty.
     long = arrays.select("image_id", "w", "h", F.posexplode_outer("px").alias("_pos", "_p")).filter(
         "_pos IS NOT NULL"

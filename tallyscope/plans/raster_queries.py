@@ -33,7 +33,7 @@ def paired(spark, sf_dir):
     arrays = B.raster_arrays(spark, sf_dir).withColumns(
         {"pair_id": F.floor(F.col("image_id") / 2), "side": (F.col("image_id") % 2).cast("int")}
     )
-    long = arrays.repartition("pair_id").select(
+    long = R.moved(arrays, "pair_id").select(
         "pair_id", "side", "w", "h", F.posexplode_outer("px").alias("_pos", "_p")
     ).filter("_pos IS NOT NULL")
     return long.select(

@@ -178,3 +178,15 @@ def test_large_full_mask_and_wide_sums(spark):
     sums = spark.createDataFrame([(5 * 10**8, 10**10, 10**9, 2 * 10**11)], "_n1 LONG, _s1 LONG, _n LONG, _s LONG")
     apart = 10**9 * 10**10 - 5 * 10**8 * 2 * 10**11
     assert sums.select(RS._between()).first()[0] == pytest.approx(apart**2 / (5 * 10**8) ** 2)
+
+
+def test_pixels_of_a_task_are_bounded(spark, monkeypatch):
+    from tallyscope.operators import raster as R
+
+    # At least a task a core: the bound is set low enough to ask for more.
+    monkeypatch.setattr(R, "PIXELS_A_TASK", 16)
+    arrays = spark.range(40).selectExpr("id AS image_id", "4 AS w", "4 AS h", "transform(sequence(1, 16), i -> struct(i AS r, i AS g, i AS b)) AS px")
+    px = R.pixels(arrays, colocate=True)
+    assert px.count() == 40 * 16
+    assert px.rdd.getNumPartitions() == 40
+    assert R.pixels(arrays.limit(0), colocate=True).count() == 0
