@@ -25,6 +25,22 @@ def total(values: Column) -> Column:
     return F.aggregate(values, F.lit(0.0), lambda acc, x: acc + x)
 
 
+def moments(values: Column) -> Column:
+    """Struct of an ARRAY<DOUBLE>: n, total and square (sum of squared distances from the mean),
+    taken element by element in the array's order."""
+    none = F.struct(*[F.lit(0.0).alias(k) for k in ("n", "total", "mean", "square")])
+
+    def step(acc: Column, x: Column) -> Column:
+        n = acc["n"] + 1.0
+        mean = acc["mean"] + (x - acc["mean"]) / n
+        return F.struct(
+            n.alias("n"), (acc["total"] + x).alias("total"), mean.alias("mean"),
+            (acc["square"] + (x - mean) * (x - acc["mean"])).alias("square"),
+        )
+
+    return F.aggregate(values, none, step)
+
+
 def clip(value: Column, low: float, high: float) -> Column:
     """Value limited to low..high; a missing value counts as ``low``."""
     return F.least(F.lit(float(high)), F.greatest(F.lit(float(low)), value))

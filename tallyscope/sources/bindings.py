@@ -6,7 +6,7 @@ from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.ml.stat import Summarizer
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from ..functions.basic import literal_array, pin
+from ..functions.basic import literal_array, moments, pin
 from ..functions.scores import linear_logits, softmax
 from ..operators.splits import itemwise_split
 from .taxonomy import CLASS_CODES
@@ -172,21 +172,25 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One capture per user and day.
 
     Aggregating to the day first keeps a subject's history short (one row a day)
-    however many events one user has.
+    however many events one user has. Values are added up in the order of event_id, so that
+    sums don't hang on which task was done first; for that a day of one user is held as
+    (event_id, value) pairs.
     """
-    events = table(spark, sf_dir, "events").select("user_id", "ts", "event_type", "value")
-    return events.groupBy(
-        F.col("user_id").alias("subject"), F.to_date("ts").alias("day")
-    ).agg(
-        F.avg("value").alias("diameter"),
-        F.sum("value").alias("area"),
+    events = table(spark, sf_dir, "events").select("event_id", "user_id", "ts", "event_type", "value")
+    known = F.when(F.col("value").isNotNull(), F.struct("event_id", "value"))
+    in_order = F.transform(F.array_sort(F.collect_list(known)), lambda e: e["value"])
+    days = events.groupBy(F.col("user_id").alias("subject"), F.to_date("ts").alias("day")).agg(
+        moments(in_order).alias("_m"),
         F.log(1.0 + F.max("value")).alias("tds"),
         F.least(F.lit(2).cast("long"), F.count_if(F.col("event_type") == "error")).alias("a"),
         F.least(F.lit(8).cast("long"), F.count(F.lit(1))).alias("b"),
         F.size(F.collect_set("event_type")).cast("long").alias("c"),
-        F.coalesce(F.stddev_pop("value"), F.lit(0.0)).alias("color_variance"),
         F.array_sort(F.collect_set("event_type")).alias("colors"),
     )
+    return pin(
+        days, {"diameter": F.try_divide("_m.total", "_m.n"), "area": F.when(F.col("_m.n") > 0, F.col("_m.total")),
+               "color_variance": F.coalesce(F.sqrt(F.try_divide("_m.square", "_m.n")), F.lit(0.0))},
+    ).select("subject", "day", "diameter", "area", "tds", "a", "b", "c", "color_variance", "colors")
 
 
 def document_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:

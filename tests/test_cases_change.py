@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from tallyscope.operators import cases as C
 from tallyscope.operators import change as CH
+from tallyscope.sources import bindings as B
 
 
 def case(spark, *rows):
@@ -201,3 +202,19 @@ def test_pages_at_any_depth(spark):
         page = C.list_cases(rows, limit, offset).collect()
         assert [tuple(r)[:2] for r in page] == whole[offset : offset + limit] and {r["total"] for r in page} <= {3000}
     assert C.list_cases(rows.limit(0)).collect() == []
+
+
+def test_captures_add_up_in_event_order(spark, tmp_path):
+    """Bitwise the sums of a plain loop by event_id, in whatever order rows are stored or tasks end."""
+    values = [0.1, 0.2, 0.3, 1e16, 1.0, None, 1.0, 0.7]
+    rows = [(i, datetime(2024, 1, 1, 12), 5, "view", v) for i, v in enumerate(values)] + [(90, datetime(2024, 1, 2), 5, "view", None)]
+    kinds = "event_id BIGINT, ts TIMESTAMP, user_id BIGINT, event_type STRING, value DOUBLE"
+    for row in reversed(rows):
+        spark.createDataFrame([row], kinds).coalesce(1).write.mode("append").parquet(f"{tmp_path}/events.parquet")
+    first, empty = B.captures(spark, str(tmp_path)).orderBy("day").collect()
+    n, total, mean, square = 0, 0.0, 0.0, 0.0
+    for v in (v for v in values if v is not None):
+        n, total, before, mean = n + 1, total + v, mean, mean + (v - mean) / (n + 1)
+        square += (v - mean) * (v - before)
+    assert (first["area"], first["diameter"], first["color_variance"]) == (total, total / n, (square / n) ** 0.5)
+    assert first["b"] == 8 and (empty["area"], empty["diameter"], empty["color_variance"], empty["b"]) == (None, None, 0.0, 1)
