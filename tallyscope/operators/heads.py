@@ -20,6 +20,8 @@ from .descent import fit_heads
 from .metrics import confusion_counts, macro_f1
 
 STD_FLOOR = 1e-6
+# One-vs-rest fits at a time; each holds its own copy of the rows (memory and disk).
+FITS = 4
 
 
 def feature_moments(df: DataFrame, vector: str) -> DataFrame:
@@ -123,7 +125,8 @@ def fit_margin_baseline(
         F.element_at(w, F.col("target") + 1).alias("weight"),
     )
     svc = LinearSVC(maxIter=max_iter, regParam=0.1, weightCol="weight")
-    models = OneVsRest(classifier=svc, weightCol="weight").fit(rows).models
+    # The fits don't depend on each other: run side by side they fill the cores that short passes leave idle.
+    models = OneVsRest(classifier=svc, weightCol="weight", parallelism=FITS).fit(rows).models
     return head_frame(
         train.sparkSession,
         [[float(x) for x in m.coefficients.toArray()] for m in models],

@@ -3,6 +3,7 @@ from __future__ import annotations
 import numpy as np
 import pytest
 
+from tallyscope.operators import heads as H
 from tallyscope.operators.descent import fit_heads, smoothed_loss
 
 
@@ -56,3 +57,22 @@ def test_fit_reaches_the_minimum(data):
 def test_without_rows_heads_are_zero(data):
     heads, norms = fit_heads(data[2].limit(0), [1.0, 1.0], (0.1,))
     assert not heads.any() and not norms.any()
+
+
+def test_margin_fits_run_side_by_side_with_the_same_heads(spark, monkeypatch):
+    """The one-vs-rest fits overlap and give what they give one after the other."""
+    rng = np.random.default_rng(3)
+    rows = [(rng.normal(size=4).tolist(), int(rng.integers(0, 3))) for _ in range(90)]
+    train = spark.createDataFrame(rows, "v ARRAY<DOUBLE>, target INT").coalesce(1)
+    seen = []
+
+    class Watched(H.OneVsRest):
+        def fit(self, data):
+            seen.append(self.getParallelism())
+            return super().fit(data)
+
+    monkeypatch.setattr(H, "OneVsRest", Watched)
+    heads = [H.fit_margin_baseline(train, [1.0, 2.0, 1.0]).collect()]
+    monkeypatch.setattr(H, "FITS", 1)
+    heads.append(H.fit_margin_baseline(train, [1.0, 2.0, 1.0]).collect())
+    assert seen[0] > 1 and seen[1] == 1 and heads[0] == heads[1] and len(heads[0]) == 3
