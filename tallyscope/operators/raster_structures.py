@@ -22,6 +22,7 @@ MIN_AREA = 100
 DOT_RANK, DOT_AREA, DOT_AREA_MAX, DOT_AREA_SHARE, MIN_DOTS = 0.97, 6, 40, 0.01, 6
 RIDGE_RANK, RIDGE_MIN, RIDGE_SIZE, RIDGE_SHARE, MESH_SHARE = 0.92, 6.0, 9, 0.04, 0.25
 CLEAN_SIZE, CLOSINGS = 7, 2
+NEAR = 3  # up to this half width neighbours are compared one by one
 RIM_SIZE, MIN_RIM, RIM_FACTOR = 15, 50, 1.35
 STRUCTURES = ("structureless_area", "dots_globules", "pigment_network", "streaks", "blue_white_veil")
 # ---- end of fixed values ----------------------------------------------------
@@ -61,17 +62,30 @@ def extremes(px: DataFrame, value: str, size: int, largest: bool, out: str) -> D
     """Greatest (or least) value under an ellipse of odd ``size`` around each pixel; what lies
     outside the picture does not count.
 
-    Along a row a window of length L = 2k + 1 is the end of one block of L pixels and the start
-    of the next. Extremes from each block's start and to its end are running values: pairs
+    Under a small ellipse neighbours are compared one by one, along the row and then along the column:
+    two sorts. Else a window of length L = 2k + 1 along a row is the end of one block of L pixels and
+    the start of the next. Extremes from each block's start and to its end are running values: pairs
     (block, value) rise with the block, so each pixel costs the same whatever the size.
     """
     rows, back = along_rows(), along_rows().orderBy(F.desc("x"))
     pick, best = (F.max, F.greatest) if largest else (F.min, F.least)
-    widths = sorted(set(half_widths(size).values()))
+    half = half_widths(size)
+    widths = sorted(set(half.values()))
     x = F.col("x")
 
-    def block(k: int, at: Column) -> Column:
-        return F.floor(at / (2 * k + 1))
+    def at(name: str, by: int, axis) -> Column:
+        return F.lead(name, by).over(axis) if by else F.col(name)
+
+    def over_columns(frame: DataFrame) -> DataFrame:
+        over = [at(f"_e{half[abs(dy)]}", dy, along_columns()) for dy in range(-(size // 2), size // 2 + 1)]
+        return frame.withColumn(out, best(*over) if len(over) > 1 else over[0])
+
+    if widths[-1] <= NEAR:
+        near = {f"_e{k}": best(*[at(value, dx, rows) for dx in range(-k, k + 1)]) if k else F.col(value) for k in widths}
+        return over_columns(px.withColumns(near)).drop(*near)
+
+    def block(k: int, where: Column) -> Column:
+        return F.floor(where / (2 * k + 1))
 
     def rising(k: int, falling_x: bool) -> Column:
         number = block(k, x)
@@ -91,10 +105,7 @@ def extremes(px: DataFrame, value: str, size: int, largest: bool, out: str) -> D
             spans[f"_e{k}"] = F.when((x < k) & (x + k < F.col("w")), F.when(block(k, x + k) == 0, F.lead(f"_p{k}", k).over(rows)).otherwise(best(head, tail))).when(
                 (x < k) & (block(k, F.col("w") - 1) == 0), F.col(f"_l{k}")
             ).otherwise(best(head, tail))
-    px = px.withColumns(spans)
-    r, half = size // 2, half_widths(size)
-    over = [F.lead(f"_e{half[abs(dy)]}", dy).over(along_columns()) for dy in range(-r, r + 1)]
-    px = px.withColumn(out, best(*over) if len(over) > 1 else over[0])
+    px = over_columns(px.withColumns(spans))
     return px.drop(*[f"_{n}{k}" for n in "psle" for k in widths])
 
 

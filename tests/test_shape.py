@@ -222,6 +222,20 @@ def test_extremes(spark, size):
         assert all(r["out"] == want[r["image_id"]][r["y"], r["x"]] for r in rows)
 
 
+@pytest.mark.parametrize("size", [1, 3, 5, 7])
+def test_small_extremes_take_two_windows(px, monkeypatch, size):
+    """Near neighbours are compared directly; the running extremes of blocks say the same."""
+    kept = ("image_id", "y", "x", "out")
+    for largest in (True, False):
+        near = RT.extremes(px, "r", size, largest, "out").select(*kept)
+        plan = near._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count("Window [") <= 2
+        with monkeypatch.context() as m:
+            m.setattr(RT, "NEAR", -1)
+            blocks = RT.extremes(px, "r", size, largest, "out").select(*kept)
+        assert near.exceptAll(blocks).isEmpty() and near.count() == blocks.count()
+
+
 def test_cleaned_mask(px, shapes):
     got = {name: np.zeros((H, WIDTH), bool) for name in shapes}
     for r in RT.cleaned_mask(px, 5).filter("is_mask").collect():
