@@ -20,6 +20,9 @@ are read.
 
 from __future__ import annotations
 
+import json
+import re
+import struct
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -34,8 +37,15 @@ from tallyscope.session import stored
 
 from .common import clean_rows, documents, query, texts
 
-# White-space separated words whose ids a worker remembers; beyond it the memory starts anew.
-MEMO_ENTRIES = 700_000
+# White-space separated words, and matches inside of them, whose ids a worker remembers; beyond it
+# the memory starts anew.
+MEMO_ENTRIES = 250_000
+MATCH_ENTRIES = 650_000
+
+# Words that are cut here: of visible ASCII and Latin-1 letters, without what may begin a special token.
+PLAIN = re.compile(r"(?!.*<\|)[!-~À-ÖØ-öø-ÿ]+")
+# The tokenizer's matches in such a word, in lower case.
+MATCH = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-zß-öø-ÿ]+|[0-9]|[^a-z0-9ß-öø-ÿ]+")
 
 PIECES = (
     "start long, length long, ids_crc32 long, doc_tokens long, "
@@ -43,25 +53,67 @@ PIECES = (
 )
 
 
-class WordIds(dict):
-    """Ids of a white-space separated word, as little-endian unsigned 32-bit numbers.
+class Ids(dict):
+    """Ids of pieces of text, as little-endian unsigned 32-bit numbers."""
+
+    entries = MATCH_ENTRIES
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.model = tokenizer, tokenizer.model
+
+    def found(self, piece: str) -> bytes:
+        """Of one match in lower case: the model alone knows those of ASCII, whose bytes stand for themselves."""
+        ids = [t.id for t in self.model.tokenize(piece)] if piece.isascii() else self.tokenizer.encode(piece, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+    def __missing__(self, piece):
+        if len(self) >= self.entries:
+            self.clear()
+        ids = self[piece] = self.found(piece)
+        return ids
+
+
+class WordIds(Ids):
+    """Ids of a white-space separated word.
 
     White space ends every match of the tokenizer and is never part of one, so a text's
-    ids are its words' ids in a row.
+    ids are its words' ids in a row. A plain word's ids are its matches' ids in a row: most
+    words that are new (in other case, with signs, codes) are made of matches that are known.
     """
 
+    entries = MEMO_ENTRIES
+
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
-        super().__init__()
-        self.tokenizer = Tokenizer.from_file(path)
-
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= MEMO_ENTRIES:
-            self.clear()
-        ids = self.tokenizer.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
-        found = self[word] = np.array(ids, dtype="<u4").tobytes()
-        return found
+        super().__init__(Tokenizer.from_file(path))
+        self.cuts = cuts_plain_words(path)
+        self.matches = Ids(self.tokenizer)
+
+    def found(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if self.cuts and PLAIN.fullmatch(text):
+            return b"".join(map(self.matches.__getitem__, MATCH.findall(text.lower())))
+        ids = self.tokenizer.encode(text, add_special_tokens=False).ids
+        return struct.pack(f"<{len(ids)}I", *ids)
+
+
+def cuts_plain_words(path: str) -> bool:
+    """Whether the tokenizer takes a plain word by the matches of MATCH, each for itself."""
+    with open(path, encoding="utf-8") as file:
+        made = json.load(file)
+    steps = (made.get("pre_tokenizer") or {}).get("pretokenizers") or [{}]
+    norms = [n.get("type") for n in (made.get("normalizer") or {}).get("normalizers") or []]
+    return (
+        norms == ["NFC", "Replace", "Lowercase"]
+        and made["normalizer"]["normalizers"][1]["pattern"] == {"Regex": r"\s+"}
+        and steps[0].get("pattern") == {"Regex": r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"}
+        and (steps[0].get("behavior"), steps[0].get("invert")) == ("Removed", True)
+        and [(p.get("type"), p.get("add_prefix_space"), p.get("use_regex")) for p in steps[1:]] == [("ByteLevel", False, False)]
+        and made.get("post_processor") is None
+        and all(t["content"].startswith("<|") for t in made["added_tokens"])
+    )
 
 
 _WORDS: dict[str, WordIds] = {}

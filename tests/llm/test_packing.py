@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import random
 import zlib
 from collections import defaultdict
 
@@ -69,3 +70,27 @@ def test_best_fit_and_fullest_first():
     assert packer.room_for(7) == 7  # the fullest has room 1, not above the gap: it goes as it is
     packer.add(("f",), 7)
     assert [w.number for w in packer.done] == [100, 101]
+
+
+ODD = [
+    b"<|startoftext|>", b"a<|endoftext|>b", b"it's", b"!'s", b"'S", b"I'LL!!'ve'd'x", b"x'", b"''s", b"\x1c\x7f", b"A1b2--9'm", b"don't.can't",
+    "Àßÿ×÷".encode(), "été".encode(), "µªº1½".encode(), "İĀǅ".encode(), "中文\U0001f600".encode(), b"\xff\xfea", b"",
+]
+
+
+def test_words_are_cut_as_the_tokenizer_cuts_them():
+    whole, cut = Tokenizer.from_file(PATH), packing.WordIds(PATH)
+    rng = random.Random(5)
+    signs = "'stremvldSTRELaZ09<|>!-~ÀßÿéÉµĀ́"
+    made = ["".join(rng.choice(signs) for _ in range(rng.randint(1, 12))).encode() for _ in range(5000)]
+    assert cut.cuts
+    for word in ODD + made:
+        ids = whole.encode(word.decode("utf-8", "replace"), add_special_tokens=False).ids
+        assert cut[word] == b"".join(i.to_bytes(4, "little") for i in ids), word
+
+
+def test_new_words_of_known_matches_need_no_tokenizer():
+    cut = packing.WordIds(PATH)
+    known = cut[b"hello"] + cut[b"!!"]
+    cut.tokenizer = cut.matches.tokenizer = cut.matches.model = None
+    assert cut[b"HELLO!!"] == known
