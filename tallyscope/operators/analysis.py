@@ -69,7 +69,7 @@ def analyse(
     mask = RS.with_mask(px, blur)
     mask, _ = RC.picked_mask(RT.cleaned_mask(mask, clean) if clean else mask)
     # One exchange of the stored pixels, reused by every measure.
-    held = stored(mask, "picked").repartition("image_id")
+    held = R.dealt(stored(mask, "picked"))
     evidence = stored(mask_evidence(held, structure_options), "evidence")
     scored = views.withColumns({"entropy": entropy("probs"), "margin": margin("probs")}).withColumn(
         "stability", verdict(confidence("probs"), F.col("entropy"), F.col("agreement"))

@@ -34,8 +34,16 @@ def moved(arrays: DataFrame, key: str) -> DataFrame:
     pixels are what its sorts have to hold.
     """
     held = arrays.agg(F.sum(F.col("w").cast("long") * F.col("h"))).first()[0] or 0
-    tasks = max(arrays.sparkSession.sparkContext.defaultParallelism, -(-held // PIXELS_A_TASK))
-    return arrays.repartition(tasks, key)
+    return arrays.repartition(_tasks(arrays, held), key)
+
+
+def dealt(px: DataFrame) -> DataFrame:
+    """Stored pixel rows moved to the partition of their image, in as many partitions as they need."""
+    return px.repartition(_tasks(px, px.count()), "image_id")
+
+
+def _tasks(frame: DataFrame, held: int) -> int:
+    return max(frame.sparkSession.sparkContext.defaultParallelism, -(-held // PIXELS_A_TASK))
 
 
 def pixels(arrays: DataFrame, colocate: bool = False) -> DataFrame:

@@ -222,6 +222,16 @@ def test_extremes(spark, size):
         assert all(r["out"] == want[r["image_id"]][r["y"], r["x"]] for r in rows)
 
 
+def test_stored_pixels_are_dealt_by_their_number(px, monkeypatch):
+    """Merged by their bytes, far too many pixels would meet in one task."""
+    n = px.count()
+    monkeypatch.setattr(R, "PIXELS_A_TASK", 10)
+    held = R.dealt(px)
+    assert held.rdd.getNumPartitions() == max(px.sparkSession.sparkContext.defaultParallelism, -(-n // 10)) and held.count() == n
+    where = held.select("image_id", F.spark_partition_id().alias("at")).distinct()
+    assert where.count() == px.select("image_id").distinct().count()
+
+
 @pytest.mark.parametrize("size", [1, 3, 5, 7])
 def test_small_extremes_take_two_windows(px, monkeypatch, size):
     """Near neighbours are compared directly; the running extremes of blocks say the same."""
